@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bsi_topk
+from quillon.llm import bsi_topk, exact_dedup, simhash
 from quillon.llm.common import read_table
 
 
@@ -14,7 +14,15 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bsi_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-QUERIES = {"op1_topk": op1_topk}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op8_exact": op8_exact}
 
 ORACLE_SQL = {
     "op1_topk": """
@@ -24,4 +32,8 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+    "op8_exact": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
