@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bsi_topk, chat, exact_dedup, mixing, simhash
+from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, simhash
 from quillon.llm.common import read_table
 
+#: The vocabulary's name among the public tokenizers' files.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = bsi_topk.quantise(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -22,6 +31,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.Tokenizer(docs, vocabulary_path()).digest(docs)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.canonical_rows(read_table(spark, sf_dir, "conversations"))
     both = "<|im_end|><|im_start|>assistant ok"
@@ -34,7 +48,7 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op5_mixing": op5_mixing, "op7_chat": op7_chat, "op8_exact": op8_exact}
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact}
 
 ORACLE_SQL = {
     "op1_topk": """
