@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, simhash
+from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, quality, simhash
 from quillon.llm.common import read_table
 
 #: The vocabulary's name among the public tokenizers' files.
@@ -48,7 +48,12 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact, "op10_quality": op10_quality}
 
 ORACLE_SQL = {
     "op1_topk": """
