@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, quality, simhash, suffix_dedup
+from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, paragraph_dedup, quality, simhash, suffix_dedup
 from quillon.llm.common import read_table
 
 #: The vocabulary's name among the public tokenizers' files.
@@ -27,6 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.near_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), texts=False)
 
@@ -57,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op4_suffix": op4_suffix, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact, "op10_quality": op10_quality}
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_paragraphs": op3_paragraphs, "op4_suffix": op4_suffix, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact, "op10_quality": op10_quality}
 
 ORACLE_SQL = {
     "op1_topk": """
