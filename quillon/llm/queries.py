@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, paragraph_dedup, quality, simhash, suffix_dedup
+from quillon.llm import bpe, bsi_topk, chat, exact_dedup, mixing, paragraph_dedup, pii, quality, simhash, suffix_dedup
 from quillon.llm.common import read_table
 
 #: The vocabulary's name among the public tokenizers' files.
@@ -56,12 +56,16 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_paragraphs": op3_paragraphs, "op4_suffix": op4_suffix, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact, "op10_quality": op10_quality}
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_paragraphs": op3_paragraphs, "op4_suffix": op4_suffix, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_exact": op8_exact, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 ORACLE_SQL = {
     "op1_topk": """
