@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialize
+
 PARTIAL = pa.schema([("hash", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64())])
 GROUP = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
@@ -177,9 +179,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     found = exact_groups(docs, id_col, text_col, **options)
     gone = found.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_copies"))
-    gone = gone.where(~F.col("_kept") | (F.col("_copies") > 1))
+    gone = materialize(gone.where(~F.col("_kept") | (F.col("_copies") > 1)))
     marked = docs.withColumn("_own_sha", sha)
     on = marked[id_col].eqNullSafe(F.col("_gone_id")) & (F.col("_own_sha") == F.col("_gone_sha"))
-    joined = marked.join(gone, on, "left")
-    once = joined.where(F.col("_kept")).dropDuplicates(["_gone_id", "_gone_sha"]).select(*docs.columns)
-    return joined.where(F.col("_gone_sha").isNull()).select(*docs.columns).union(once)
+    rest = marked.join(gone, on, "left_anti").select(*docs.columns)
+    repeated = gone.where("_kept")
+    if repeated.isEmpty():
+        return rest
+    return rest.union(marked.join(repeated, on).dropDuplicates(["_gone_id", "_gone_sha"]).select(*docs.columns))

@@ -175,6 +175,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     that id, one). Rows without an id stay."""
     found = near_groups(docs, id_col, text_col, **options)
     gone = found.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.min(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_copies"))
-    joined = docs.join(gone.where(~F.col("_stays") | (F.col("_copies") > 1)), docs[id_col] == F.col("_gone_id"), "left")
-    once = joined.where(F.col("_stays")).dropDuplicates(["_gone_id"]).select(*docs.columns)
-    return joined.where(F.col("_gone_id").isNull()).select(*docs.columns).union(once)
+    gone = materialize(gone.where(~F.col("_stays") | (F.col("_copies") > 1)))
+    on = docs[id_col] == F.col("_gone_id")
+    rest = docs.join(gone, on, "left_anti")
+    repeated = gone.where("_stays")
+    if repeated.isEmpty():
+        return rest
+    return rest.union(docs.join(repeated, on).dropDuplicates(["_gone_id"]).select(*docs.columns))
