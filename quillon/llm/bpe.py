@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
+import os.path
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +26,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialize
+
 #: Words of byte-level BPE, as published with the vocabulary; its white space is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO = 150_000
+MEMO = 250_000
 LONGEST = 64  # bytes of a word in the lexicon
+SHORT = 32  # bytes of a word that is merged side by side with others
+NO_RANK = 2**30
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -55,6 +59,80 @@ class Model:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self.new_of = np.zeros(len(spec["model"]["merges"]), np.int32)  # by rank
+        for rank, new in self.merges.values():
+            self.new_of[rank] = new
+        self.byte_ids = np.array(self.of_byte, np.int32)
+        self._hash_pairs()
+
+    def _hash_pairs(self) -> None:
+        """An open-addressing table of the pairs, read for many pairs at once."""
+        bits = max(4, (8 * len(self.merges)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot_pair, self.slot_rank, self.probes = np.full(2**bits + 64, -1, np.int64), np.full(2**bits + 64, NO_RANK, np.int32), 1
+        for (a, b), (rank, _) in self.merges.items():
+            at = int((a << 20 | b) * 0x9E3779B97F4A7C15 % 2**64 >> int(self.shift))
+            start = at
+            while self.slot_pair[at] >= 0:
+                at += 1
+            self.slot_pair[at], self.slot_rank[at] = a << 20 | b, rank
+            self.probes = max(self.probes, at - start + 1)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NO_RANK for pairs that don't merge; a negative id is none."""
+        key = a.astype(np.int64) << 20 | b
+        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        there = self.slot_pair[at]
+        out = np.where(there == key, self.slot_rank[at], NO_RANK)
+        open_ = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        for probe in range(1, self.probes):
+            if not len(open_):
+                break
+            there = self.slot_pair[at.flat[open_] + probe]
+            hit = there == key.flat[open_]
+            out.flat[open_[hit]] = self.slot_rank[at.flat[open_[hit]] + probe]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of many words at once: in each step every word makes its own best merge."""
+        out: list = [None] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_width.setdefault(4 * -(-len(w) // 4), []).append(i)
+        groups = [(w, m[lo : lo + 4096]) for w, m in by_width.items() for lo in range(0, len(m), 4096)]
+        for width, members in groups:
+            if width > SHORT or width == 0:
+                for i in members:
+                    out[i] = self.merge(words[i])
+                continue
+            rows = np.array(members)
+            size = np.fromiter((len(words[i]) for i in members), np.int64, len(members))
+            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in members), np.uint8).reshape(-1, width)
+            ids = np.where(np.arange(width) < size[:, None], self.byte_ids[raw], np.int32(-1))
+            rank = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                at = rank.argmin(axis=1)
+                line = np.arange(len(rows))
+                best = rank[line, at]
+                done = best == NO_RANK
+                if done.any():
+                    for i, row, n in zip(rows[done].tolist(), ids[done].tolist(), size[done].tolist(), strict=True):
+                        out[i] = row[:n]
+                    rows, ids, rank, at, best, size = (x[~done] for x in (rows, ids, rank, at, best, size))
+                    line = np.arange(len(rows))
+                if not len(rows):
+                    break
+                ids[line, at] = self.new_of[best]
+                late = np.arange(ids.shape[1] - 1) > at[:, None]  # what stands behind the merge moves one place up
+                ids = np.concatenate([np.where(late, ids[:, 1:], ids[:, :-1]), np.full((len(rows), 1), -1, np.int32)], axis=1)
+                rank = np.concatenate([np.where(late[:, :-1], rank[:, 1:], rank[:, :-1]), np.full((len(rows), 1), NO_RANK, np.int32)], axis=1)
+                size = size - 1
+                nxt = at + 1 < ids.shape[1]
+                rank[line[nxt], at[nxt]] = self.ranks(ids[line[nxt], at[nxt]], ids[line[nxt], at[nxt] + 1])
+                prv = at > 0
+                rank[line[prv], at[prv] - 1] = self.ranks(ids[line[prv], at[prv] - 1], ids[line[prv], at[prv]])
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of least rank first, leftmost on ties; n log n for long words."""
@@ -82,8 +160,8 @@ class Model:
         return [x for x in ids if x is not None]
 
 
-def build_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first arc of each state, arcs' bytes with states' finals, arcs' targets, arcs' numbers) of sorted distinct words.
+def build_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arcs as state * 256 + byte, sorted; their targets; their numbers, then whether each state is final.
 
     Incremental construction (Daciuk et al. 2000): states are merged with an equal one as soon as no word can change
     them, so the automaton is minimal at any time.
@@ -135,9 +213,8 @@ def build_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
             skip.append(before)
             before += count[t]
         first.append(len(label))
-    head = np.array([number[0], *first], np.int32)  # the root comes first in order
     key = np.repeat(np.arange(len(order)), np.diff(first)) * 256 + np.array(label, np.int64) if label else np.zeros(0, np.int64)
-    return head, key.astype(np.int64), np.array(target, np.int32), np.concatenate([np.array(skip, np.int32), np.array([final[s] for s in order], np.int32)])
+    return key.astype(np.int64), np.array(target, np.int64), np.array([*skip, *(final[s] for s in order)], np.int64)
 
 
 def _postorder(arcs: list[dict[int, int]]) -> list[int]:
@@ -156,19 +233,19 @@ def _postorder(arcs: list[dict[int, int]]) -> list[int]:
 class Lexicon:
     """The transducer, mapped from a file: word to token ids."""
 
-    PARTS = ("head", "key", "target", "skip", "offset", "ids")
+    PARTS = ("key", "target", "skip", "offset", "ids")
 
     @staticmethod
     def compile(words: list[bytes], model: Model) -> bytes:
         words = sorted(set(words))
-        head, key, target, skip = build_automaton(words)
-        merged = [model.merge(w) for w in words]
+        key, target, skip = build_automaton(words)
+        merged = model.merge_many(words)
         offset = np.concatenate([[0], np.cumsum([len(m) for m in merged])]).astype(np.int64)
-        arrays = [head.astype(np.int64), key, target.astype(np.int64), skip.astype(np.int64), offset, np.array([i for m in merged for i in m], np.int64)]
-        return np.concatenate([np.array([len(a) for a in arrays], np.int64), *arrays]).tobytes()
+        arrays = [key, target, skip, offset, np.array([i for m in merged for i in m])]
+        return np.concatenate([[len(a) for a in arrays], *arrays]).astype(np.int32).tobytes()
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int64, "r")
+        data = np.memmap(path, np.int32, "r")
         at = len(self.PARTS)
         for name, n in zip(self.PARTS, data[:at].tolist(), strict=True):
             setattr(self, name, data[at : at + n])
@@ -219,16 +296,19 @@ class Encoder:
         return [w for i, p in enumerate(self.split.split(text)) for w in ([p] if i % 2 else self.words.findall(p))]
 
     def learn(self, words: set[str]) -> None:
+        """Remember words: those of the automaton by its output, the others by merging."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         fresh = [w for w in words if w not in self.memo]
-        if not fresh:
-            return
         raw = [w.encode("utf-8", "replace") for w in fresh]
-        for word, b, number in zip(fresh, raw, self.lexicon.find(raw).tolist(), strict=True):
-            special = self.model.special.get(word)
-            ids = [special] if special is not None else self.lexicon.ids_of(number) if number >= 0 else self.model.merge(b)
-            self.memo[word] = (",".join(map(str, ids)), len(ids), b"".join(self.model.bytes_of[i] for i in ids))
+        found = self.lexicon.find(raw).tolist()
+        unseen = iter(self.model.merge_many([b for b, number in zip(raw, found, strict=True) if number < 0]))
+        of = self.model.bytes_of
+        for word, number in zip(fresh, found, strict=True):
+            ids = self.lexicon.ids_of(number) if number >= 0 else next(unseen)
+            if (special := self.model.special.get(word)) is not None:
+                ids = [special]
+            self.memo[word] = (",".join(map(str, ids)), b"".join([of[i] for i in ids]))
 
     def encode(self, text: str) -> list[int]:
         words = self.parts(text)
@@ -238,30 +318,33 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.model.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids and of the decoded text; the pieces are those of each word's ids."""
-        words = self.parts(text)
-        if (missing := set(words)) and not missing <= self.memo.keys():
-            self.learn(missing)
-        memo = self.memo
-        pieces = [memo[w] for w in words]
-        decoded = b"".join([p[2] for p in pieces]).decode("utf-8", "replace")
-        return sum([p[1] for p in pieces]), hashlib.sha256(",".join([p[0] for p in pieces]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        out = []
+        for lo in range(0, len(texts), 256):
+            parts = [self.parts(t) for t in texts[lo : lo + 256]]
+            self.learn(set().union(*parts))
+            memo = self.memo
+            for words in parts:
+                pieces = [memo[w] for w in words]
+                ids = ",".join([p[0] for p in pieces])
+                decoded = b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
+                out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(model: Broadcast, lexicon: Broadcast, name: str) -> Encoder:
-    """The process's encoder; the lexicon's file is written once on each machine and mapped."""
+    """The process's encoder; the lexicon's file is mapped and unlinked, so nothing stays behind."""
     if name not in _encoders:
-        path = os.path.join(tempfile.gettempdir(), f"quillon-lexicon-{name}")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
-                f.write(lexicon.value)
-            os.replace(f.name, path)
+        with tempfile.NamedTemporaryFile(prefix="quillon-lexicon-") as f:
+            f.write(lexicon.value)
+            f.flush()
+            mapped = Lexicon(f.name)
         _encoders.clear()
-        _encoders[name] = Encoder(model.value, Lexicon(path))
+        _encoders[name] = Encoder(model.value, mapped)
     return _encoders[name]
 
 
@@ -294,8 +377,15 @@ class Tokenizer:
 
     def __init__(self, docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = 50_000):
         model = Model(path)
-        counts = word_counts(docs, text_col).where((F.length("word") <= LONGEST) & (F.length("word") > 0))
-        frequent = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect()]
+        counts = word_counts(docs, text_col).where((F.length("word") <= LONGEST) & (F.col("n") > 1))
+        counts = materialize(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+        least, held = 0, 0  # of the levels of frequency (under 1024), as many from the top as fit
+        for level, words in sorted(counts.groupBy("level").count().collect(), reverse=True):
+            held += words
+            if held > lexicon_words:
+                least = level + 1
+                break
+        frequent = [bytes(r[0]) for r in counts.where(F.col("level") >= least).select("word").toLocalIterator()]
         compiled = Lexicon.compile(frequent, model)
         context = docs.sparkSession.sparkContext
         self.name = hashlib.sha256(compiled).hexdigest()[:24]
@@ -332,7 +422,7 @@ class Tokenizer:
         """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row. Null text counts as empty: no tokens."""
 
         def fn(enc: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
-            n, ids, text = zip(*(enc.digest(t) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            n, ids, text = zip(*enc.digests(b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return self._map(docs, text_col, fn, [id_col], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
