@@ -75,11 +75,14 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 def mapping_of(df: DataFrame) -> Mapping:
     """The mapping of a table's layout; ValueError if no layout has these paths."""
-    paths = [p for p in schema_paths(df.schema) if p in VOCABULARY]
-    for drop in ([], ["text"], ["system"], ["input"], ["text", "system", "input"]):  # a plain column may clash with a layout's name
-        if (found := REGISTRY.get(fingerprint([p for p in paths if p not in drop]))) is not None:
-            return found
-    raise ValueError(f"no chat layout has the fields {paths}")
+    paths = {p for p in schema_paths(df.schema) if p in VOCABULARY}
+    if (found := REGISTRY.get(fingerprint(list(paths)))) is not None:
+        return found
+    # other columns may have a layout's names: take the first layout, of those with most fields, that is there whole
+    whole = sorted((m for m in MAPPINGS if paths >= set(m.paths())), key=lambda m: -len(m.paths()))
+    if not whole:
+        raise ValueError(f"no chat layout has the fields {sorted(paths)}")
+    return whole[0]
 
 
 def _text(c: Column) -> Column:
@@ -130,7 +133,7 @@ def canonical_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> Dat
         if m.turns:
             items, role, text = m.turns
             got = F.try_variant_get(v, f"$.{items}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            read = F.transform(got, lambda t, m=m, role=role, text=text: F.struct(_role(t[role], m.roles).alias("role"), _text(t[text]).alias("text")))
+            read = F.transform(got, lambda t: F.struct(_role(t[role], m.roles).alias("role"), _text(t[text]).alias("text")))  # noqa: B023
         elif m.parts:
             part = lambda p: [F.try_variant_get(v, f"$.{x}", "string") for x in p.split("+")]
             read = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), _joined(part(p)).alias("text")) for r, p in m.parts)), lambda t: (t["role"] != "system") | (t["text"] != ""))

@@ -178,12 +178,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """The rows of ``docs`` that stay, with all their columns."""
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     found = exact_groups(docs, id_col, text_col, **options)
-    gone = found.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_copies"))
-    gone = materialize(gone.where(~F.col("_kept") | (F.col("_copies") > 1)))
-    marked = docs.withColumn("_own_sha", sha)
-    on = marked[id_col].eqNullSafe(F.col("_gone_id")) & (F.col("_own_sha") == F.col("_gone_sha"))
+    gone = found.groupBy(F.col("doc_id").alias("_quillon_gone_id"), F.col("text_sha256").alias("_quillon_gone_sha")).agg(F.max("kept").alias("_quillon_kept"), F.count("*").alias("_quillon_copies"))
+    gone = materialize(gone.where(~F.col("_quillon_kept") | (F.col("_quillon_copies") > 1)))
+    marked = docs.withColumn("_quillon_own_sha", sha)
+    on = marked[id_col].eqNullSafe(F.col("_quillon_gone_id")) & (F.col("_quillon_own_sha") == F.col("_quillon_gone_sha"))
     rest = marked.join(gone, on, "left_anti").select(*docs.columns)
-    repeated = gone.where("_kept")
+    repeated = gone.where("_quillon_kept")
     if repeated.isEmpty():
         return rest
-    return rest.union(marked.join(repeated, on).dropDuplicates(["_gone_id", "_gone_sha"]).select(*docs.columns))
+    return rest.union(marked.join(repeated, on).dropDuplicates(["_quillon_gone_id", "_quillon_gone_sha"]).select(*docs.columns))

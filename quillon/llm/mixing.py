@@ -149,14 +149,14 @@ class Mix:
         parts = self.pieces().join(self.slots.select("sid", "block", "turn", "words"), ["sid", "block"]).withColumn("hi", F.least("hi", "words")).where(F.col("hi") > F.col("lo"))
         at = F.col("block") * self.block_words - F.col("start")
         runs = parts.groupBy("sid", "start", "size", "doc_id", "key", "source", "turn").agg(F.sort_array(F.collect_list(F.struct((at + F.col("lo")).alias("lo"), (F.col("hi") - F.col("lo")).alias("n")))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
-        runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("size").alias("_size"), "runs", "got")
-        once = self.docs.withColumn("_own", self.key)
-        on = F.col(self.id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(self.source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_key"))
+        runs = runs.select(F.col("doc_id").alias("_quillon_id"), F.col("source").alias("_quillon_source"), F.col("key").alias("_quillon_key"), F.col("size").alias("_quillon_size"), F.col("runs").alias("_quillon_runs"), F.col("got").alias("_quillon_got"))
+        once = self.docs.withColumn("_quillon_own", self.key)
+        on = F.col(self.id_col).cast("long").eqNullSafe(F.col("_quillon_id")) & F.col(self.source_col).cast("string").eqNullSafe(F.col("_quillon_source")) & (F.col("_quillon_own") == F.col("_quillon_key"))
         words = F.regexp_extract_all(F.col(self.text_col).cast("string"), F.lit(WORD), F.lit(0))
-        cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("_words", (r["lo"] + 1).cast("int"), r["n"].cast("int")))), " ")
-        joined = once.dropDuplicates([self.id_col, self.source_col, "_own"]).join(runs, on)
-        kept = joined.withColumn("_words", F.when(F.col("got") < F.col("_size"), words))
-        text = F.when(F.col("got") < F.col("_size"), cut).otherwise(F.col(self.text_col))
+        cut = F.array_join(F.flatten(F.transform("_quillon_runs", lambda r: F.slice("_quillon_words", (r["lo"] + 1).cast("int"), r["n"].cast("int")))), " ")
+        joined = once.dropDuplicates([self.id_col, self.source_col, "_quillon_own"]).join(runs, on)
+        kept = joined.withColumn("_quillon_words", F.when(F.col("_quillon_got") < F.col("_quillon_size"), words))
+        text = F.when(F.col("_quillon_got") < F.col("_quillon_size"), cut).otherwise(F.col(self.text_col))
         return kept.select(*(text.alias(c) if c == self.text_col else F.col(c) for c in self.docs.columns))
 
 

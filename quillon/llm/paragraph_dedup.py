@@ -242,9 +242,9 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removed lines gone from their texts, all columns kept."""
-    found = near_paragraphs(docs, id_col, text_col, **options).where(F.col("n_removed") > 0).groupBy(F.col("doc_id").alias("_i")).agg(F.first("removed").alias("_gone"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_i")), "left")
+    found = near_paragraphs(docs, id_col, text_col, **options).where(F.col("n_removed") > 0).groupBy(F.col("doc_id").alias("_quillon_i")).agg(F.first("removed").alias("_quillon_gone"))
+    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_quillon_i")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_quillon_gone", i)), "\n")
+    text = F.when(F.col("_quillon_gone").isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))

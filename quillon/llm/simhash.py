@@ -174,11 +174,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """One document of each component stays: the one with the smallest id, with all its columns (of repeated rows of
     that id, one). Rows without an id stay."""
     found = near_groups(docs, id_col, text_col, **options)
-    gone = found.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.min(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_copies"))
-    gone = materialize(gone.where(~F.col("_stays") | (F.col("_copies") > 1)))
-    on = docs[id_col] == F.col("_gone_id")
+    gone = found.groupBy(F.col("doc_id").alias("_quillon_gone_id")).agg(F.min(F.col("doc_id") == F.col("component_id")).alias("_quillon_stays"), F.count("*").alias("_quillon_copies"))
+    gone = materialize(gone.where(~F.col("_quillon_stays") | (F.col("_quillon_copies") > 1)))
+    on = docs[id_col] == F.col("_quillon_gone_id")
     rest = docs.join(gone, on, "left_anti")
-    repeated = gone.where("_stays")
+    repeated = gone.where("_quillon_stays")
     if repeated.isEmpty():
         return rest
-    return rest.union(docs.join(repeated, on).dropDuplicates(["_gone_id"]).select(*docs.columns))
+    return rest.union(docs.join(repeated, on).dropDuplicates(["_quillon_gone_id"]).select(*docs.columns))
