@@ -41,9 +41,10 @@ class Jobs:
 
         def run() -> None:
             self.spark.addTag(job.tag)
-            job.state = "running"
             try:
-                job.result = work()
+                if job.state == "queued":
+                    job.state = "running"
+                    job.result = work()
                 job.state = "done" if job.state == "running" else job.state
             except BaseException as e:
                 job.error = e

@@ -74,7 +74,9 @@ def parse_sort(text: str, source: Source) -> list[SortKey]:
                 ci = True
             else:
                 raise SortError(f"unknown sort flag {f}", at, end)
-        found = [c for c in source.columns if name.strip() in (c.query, c.display)] or [source.columns[int(name[1:]) - 1]] * (name[:1] == "$" and name[1:].isdigit() and 0 < int(name[1:]) <= len(source.columns))
+        found = [c for c in source.columns if name.strip() in (c.query, c.display)]
+        if not found and name[:1] == "$" and name[1:].isdigit() and 0 < int(name[1:]) <= len(source.columns):
+            found = [source.columns[int(name[1:]) - 1]]
         if not found:
             raise SortError(f"unknown column {name}", at, end)
         if ci and found[0].label not in ("str", "enum"):

@@ -176,7 +176,7 @@ class Source:
 
     def edit(self, name: str, text: str) -> Source:
         """Appends operations to a column's chain; ``undo`` takes the last off, ``reset`` all. Types are inferred anew
-        for text columns, and edits make text of typed ones."""
+        for columns of a file; a typed table's column is text while it's edited, of whatever type is set."""
         c = self.column(name)
         chain = self.edits.get(c.field, ())
         word = text.strip()
