@@ -330,6 +330,67 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample(table(spark, sf_dir, "events"), head=100, spread=100).agg(F.count("*").alias("n"))
 
 
+@register("dupes_on_sorted", "SELECT event_id FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM (SELECT * FROM events WHERE event_type = 'click')) WHERE n > 1")
+def dupes_on_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter, sort, duplicates of an edited column: the first ten characters of a time are its day."""
+    s = table(spark, sf_dir, "events").edit("ts", "take 10")
+    return View.all(s).filter('event_type == "click"').sort("value:desc").dupes("user_id, ts").df.select("event_id")
+
+
+@register("recognisers", "SELECT * FROM (VALUES ('+5', 5, 5.0, NULL, NULL), ('1e3', NULL, 1000.0, NULL, NULL), ('0x10', NULL, NULL, NULL, NULL), ('yes', NULL, NULL, true, NULL), ('1', 1, 1.0, true, NULL), ('2024-02-29', NULL, NULL, NULL, DATE '2024-02-29'), ('2023-02-29', NULL, NULL, NULL, NULL), (' 1', NULL, NULL, NULL, NULL)) t(s, i64, f64, bool, date)")
+def recognisers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.functions.values import recognise
+
+    texts = spark.createDataFrame([(s,) for s in ("+5", "1e3", "0x10", "yes", "1", "2024-02-29", "2023-02-29", " 1")], "s string")
+    return texts.select("s", *(recognise(F.col("s"), t).cast("int" if t == "i64" else "double" if t == "f64" else "boolean" if t == "bool" else t).alias(t) for t in ("i64", "f64", "bool", "date")))
+
+
+@register("profile_all_columns", "SELECT 'p_size' AS column, count(*) AS rows_seen, count(DISTINCT p_size) AS distinct_values, CAST(min(p_size) AS VARCHAR) AS least FROM part UNION ALL SELECT 'p_brand', count(*), count(DISTINCT p_brand), NULL FROM part")
+def profile_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.profile(table(spark, sf_dir, "part"), ["p_size", "p_brand"], full=True, sketches=False)
+    return spark.createDataFrame([(p.column, p.rows_seen, p.distinct, None if p.min is None else str(p.min)) for p in found], "column string, rows_seen long, distinct_values long, least string")
+
+
+@register("search_next", "SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_partkey FROM part QUALIFY p_partkey = (SELECT p_partkey FROM part WHERE contains(p_name, 're') ORDER BY p_retailprice DESC, p_partkey LIMIT 1)")
+def search_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first match from the top of a sorted view."""
+    s = table(spark, sf_dir, "part")
+    hit = searches.next_match(View.all(s).sort("p_retailprice:desc"), searches.parse_search("p_name: re", s), -1, 0)
+    return spark.createDataFrame([(hit.pos, hit.row_id)], "pos long, p_partkey long")
+
+
+def _as_file(df: DataFrame, header: list[str]) -> str:
+    """One delimited file in the folder that all executors share."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillon-")
+    folder = f"{root.rstrip('/')}/delimited-{uuid.uuid4().hex}"
+    first = spark.createDataFrame([(0, exports.format_record(header))], "part int, line string")
+    df.select(F.lit(1).alias("part"), "line").union(first).repartition(1).sortWithinPartitions("part").select("line").write.option("lineSep", "\n").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder + "/part-*")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)[0].getPath().toString()
+
+
+@register("delimited_round_trip", "SELECT p_partkey, p_size FROM part WHERE p_size > 40 AND contains(p_name, 're')")
+def delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as delimited text, its dialect and types found anew, filtered."""
+    part = table(spark, sf_dir, "part")
+    path = _as_file(exports.lines(View.all(part)), [c.display for c in part.columns])
+    found = View.all(Source.open(spark, path)).filter('p_size > 40 && p_name contains "re"')
+    return found.df.select(*(found.source.value(found.source.column(c)).cast(t).alias(c) for c, t in (("p_partkey", "long"), ("p_size", "int"))))
+
+
+@register("delimited_quoted_newlines", "SELECT doc_id, length(text) AS chars FROM documents")
+def delimited_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that span lines, through the block reader."""
+    docs = table(spark, sf_dir, "documents")
+    path = _as_file(exports.lines(View.all(docs)), [c.display for c in docs.columns])
+    s = Source.open(spark, path, infer=False).set_type("doc_id", "i64")
+    return s.df.select(s.value(s.column("doc_id")).alias("doc_id"), F.length(s.text(s.column("text"))).cast("long").alias("chars"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, sort, first screen."""
     return View.all(table(spark, sf_dir, "lineitem")).filter('l_quantity > 30 && l_returnflag == "R"').sort("l_extendedprice:desc").window(0, 100)
