@@ -117,7 +117,7 @@ def draw(sources: DataFrame, seed: int = 0, shard_slots: int = 1024, block_words
 class Mix:
     """The plan of one mix: its sources, its documents' places in the streams, its slots."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: int = 0, block_words: int = 256, shard_slots: int = 1024, rows_a_chunk: int = 50_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: int = 0, block_words: int = 256, shard_slots: int = 1024, rows_a_chunk: int = 5_000):
         self.docs, self.id_col, self.text_col, self.source_col, self.block_words = docs, id_col, text_col, source_col, block_words
         self.key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), self.key.alias("key"))
@@ -154,7 +154,10 @@ class Mix:
         on = F.col(self.id_col).cast("long").eqNullSafe(F.col("_quillon_id")) & F.col(self.source_col).cast("string").eqNullSafe(F.col("_quillon_source")) & (F.col("_quillon_own") == F.col("_quillon_key"))
         words = F.regexp_extract_all(F.col(self.text_col).cast("string"), F.lit(WORD), F.lit(0))
         cut = F.array_join(F.flatten(F.transform("_quillon_runs", lambda r: F.slice("_quillon_words", (r["lo"] + 1).cast("int"), r["n"].cast("int")))), " ")
-        joined = once.dropDuplicates([self.id_col, self.source_col, "_quillon_own"]).join(runs, on)
+        repeated = self.rows.groupBy("doc_id", "source", "key").count().where("count > 1")
+        if not repeated.isEmpty():  # each repeated row has its own runs, so one of the texts is enough
+            once = once.dropDuplicates([self.id_col, self.source_col, "_quillon_own"])
+        joined = once.join(runs, on)
         kept = joined.withColumn("_quillon_words", F.when(F.col("_quillon_got") < F.col("_quillon_size"), words))
         text = F.when(F.col("_quillon_got") < F.col("_quillon_size"), cut).otherwise(F.col(self.text_col))
         return kept.select(*(text.alias(c) if c == self.text_col else F.col(c) for c in self.docs.columns))
