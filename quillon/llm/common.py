@@ -53,6 +53,13 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df._quillon_path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces: what Python holds of texts at a time stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Cut a stream sorted by ``key`` into tables that hold whole keys only."""
     held: list[pa.RecordBatch] = []

@@ -5,16 +5,17 @@ only be told apart to that depth, and only those that tie with a suffix of anoth
 construction over a difference cover, a sample of positions is ranked first and the rest is sorted one bucket at a
 time against those ranks:
 
-1. Cover sample. Positions whose remainder by 31 is in a difference cover ({0, 1, 3, 8, 12, 18}: every difference
-   occurs) are ranked by the 20 bytes they start. For any two positions there is an offset under 31 at which both are
+1. Cover sample. Positions whose remainder by 21 is in a difference cover ({0, 1, 4, 14, 16}: every difference
+   occurs) are ranked by the 30 bytes they start. For any two positions there is an offset under 21 at which both are
    in the sample, so two suffixes that tie for 50 bytes hold a tie of sample ranks in their first 50 bytes. Sample
    buckets are sorted one at a time; ranks held by one document alone are dropped - by far the most.
 2. Suffix buckets. A suffix with no shared rank in reach has no long tie and is left out. The others are sorted one
-   bucket at a time on 40 bytes; ties are resolved by the rank of the 20 bytes at offset 30. Of each class the
-   smallest document stays and the suffixes of all others are marked.
+   bucket at a time on their first 30 bytes, ties resolved by the rank of the 30 bytes at offset 20 (both in one key;
+   where that ties, the rank is compared by itself). Of each class the smallest document stays and the suffixes of all others are marked. The buckets are dealt out in ``passes`` over
+   the texts, so that only a part of the suffixes is on disk at any time.
 3. Each document's marked suffixes cover the bytes that go.
 
-Ranks are 64-bit keys of their 20 bytes rather than dense numbers, so buckets need no common numbering; a class is
+Ranks are 64-bit keys of their 30 bytes rather than dense numbers, so buckets need no common numbering; a class is
 told by two such keys. Every task first settles what it can by itself (strings that its own documents share) and hands
 on one document for each class, so a passage in a third of all documents reaches a bucket once a task. Buckets are
 ranges of hashed keys, as many as the bytes need; a task holds one bucket, one block of texts or one document.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, sorted_groups
+from quillon.llm.common import materialize, slices, sorted_groups
 
-LENGTH, PERIOD, RANKED = 50, 31, 20
-#: A difference cover: every remainder by 31 is a difference of two of these.
-COVER = (0, 1, 3, 8, 12, 18)
+LENGTH, PERIOD, RANKED = 50, 21, 30
+#: A difference cover: every remainder by 21 is a difference of two of these.
+COVER = (0, 1, 4, 14, 16)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
-BATCH = 3_000_000  # sampled or marked positions that a task gathers before it hands them on
+BATCH = 2_000_000  # sampled or marked positions that a task gathers before it hands them on
 PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "bucket long, kind int, payload binary"
 
@@ -66,18 +68,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def eights(raw: np.ndarray) -> np.ndarray:
-    """Each position's eight bytes as a number (positions near the end are left out)."""
-    x = raw.astype(np.uint64)
-    for step in (1, 2, 4):
-        x = x[:-step] | x[step:] << np.uint64(8 * step)
-    return x
+    """Each position's eight bytes as a number, read in place (positions near the end are left out)."""
+    return np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw.data, strides=(1,))
 
 
 def rank_keys(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit keys of the 20 bytes that start at the given positions."""
+    """64-bit keys of the 30 bytes that start at the given positions."""
     k = mixed(eight[at] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     k = mixed((k ^ eight[at + 8]) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return mixed((k ^ eight[at + 12]) * np.uint64(0x165667B19E3779F9) + np.uint64(7))
+    k = mixed((k ^ eight[at + 16]) * np.uint64(0x9FB21C651E98DF25))
+    return mixed((k ^ eight[at + RANKED - 8]) * np.uint64(0x165667B19E3779F9) + np.uint64(7))
 
 
 class Texts:
@@ -88,27 +88,37 @@ class Texts:
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
-        self.raw = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+        self.raw = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
         self.eight = eights(self.raw)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.end, at, side="right")
+        """The document of each of some positions in order."""
+        return np.repeat(np.arange(len(self.end)), np.diff(np.searchsorted(at, self.end), prepend=0))
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, position in the buffer) of the cover sample."""
-        at = np.flatnonzero(np.resize(IN_COVER, len(self.raw) - 8))
+        at = np.flatnonzero(np.resize(IN_COVER, int(self.end[-1]) if len(self.end) else 0))
         doc = self.doc(at)
-        fits = at + RANKED <= self.end[np.minimum(doc, len(self.end) - 1)]
+        fits = at + RANKED <= self.end[doc]
+        return doc[fits], at[fits]
+
+    def near(self, doc: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, position in the buffer) of the suffixes with a shared rank at most PERIOD - 1 bytes on."""
+        size = int(self.end[-1])
+        steps = np.bincount(self.start[doc] + np.maximum(ranked - (PERIOD - 1), 0), minlength=size + 1)
+        steps -= np.bincount(self.start[doc] + ranked + 1, minlength=size + 1)
+        at = np.flatnonzero(steps[:size].cumsum())
+        doc = self.doc(at)
+        fits = at + LENGTH <= self.end[doc]
         return doc[fits], at[fits]
 
 
 def by_document(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hashes: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
     """(block, payload) of positions in documents; a block's documents are those with its remainder of the hash."""
-    order = np.lexsort((pos, doc))
+    order = np.argsort(doc.astype(np.int64) << 32 | pos)
+    order = order[np.argsort((hashes % blocks)[doc[order]], kind="stable")]
     doc, pos = doc[order], pos[order]
-    block = hashes[doc] % blocks
-    order = np.argsort(block, kind="stable")
-    doc, pos, block = doc[order], pos[order], block[order]
+    block = (hashes % blocks)[doc]
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
         if b > a:
@@ -139,14 +149,17 @@ def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 class Gathered:
     """Keys of positions that a task has seen, settled and handed on by bucket when there are enough."""
 
-    def __init__(self, buckets: int, blocks: int, smaller_only: bool):
-        self.buckets, self.blocks, self.smaller_only = buckets, blocks, smaller_only
+    def __init__(self, buckets: int, blocks: int, smaller_only: bool, part: tuple[int, int] = (0, 1)):
+        self.buckets, self.blocks, self.smaller_only, self.part = buckets, blocks, smaller_only, part
         self.parts: list[tuple] = []
         self.ids: list[np.ndarray] = []
         self.hashes: list[np.ndarray] = []
         self.docs = self.n = 0
 
     def add(self, texts: Texts, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, more: np.ndarray) -> None:
+        if self.part[1] > 1:  # the buckets of this pass
+            own = (key % np.uint64(self.buckets)) % np.uint64(self.part[1]) == self.part[0]
+            doc, pos, key, more = doc[own], pos[own], key[own], more[own] if len(more) else more
         self.parts.append((doc.astype(np.int32) + self.docs, pos.astype(np.uint32), key, more))
         self.ids.append(texts.ids)
         self.hashes.append(texts.hashes)
@@ -161,14 +174,12 @@ class Gathered:
         doc, pos, key, more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         ids, hashes = np.concatenate(self.ids), np.concatenate(self.hashes)
         self.parts, self.ids, self.hashes, self.docs, self.n = [], [], [], 0, 0
-        order = np.lexsort((ids[doc], more, key)) if len(more) else np.lexsort((ids[doc], key))
-        doc, pos, key, more = doc[order], pos[order], key[order], more[order] if len(more) else more
         found, least = settle(key, more, ids[doc], self.smaller_only)
         for block, payload in by_document(doc[found], pos[found], ids, hashes, self.blocks):
             yield block % self.buckets, 1, payload
         doc, pos, key, more = doc[least], pos[least], key[least], more[least] if len(more) else more
         bucket = (key % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((pos, doc, bucket))
+        order = np.argsort(bucket << 32 | doc, kind="stable")
         doc, pos, key, bucket, more = doc[order], pos[order], key[order] // np.uint64(self.buckets), bucket[order], more[order] if len(more) else more
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
@@ -180,17 +191,34 @@ class Gathered:
                 yield int(bucket[a]), 0, pack(ids[d[first]], hashes[d[first]], np.diff(np.append(first, b - a)).astype(np.uint32), (p & 0xFFFF).astype(np.uint16), (p >> 16).astype(np.uint16), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8) if len(more) else np.zeros(0, np.uint8), more[a:b].astype(np.uint32))
 
 
-def settle(key: np.ndarray, more: np.ndarray, ids: np.ndarray, smaller_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of positions sorted by class and document: those of classes with several documents (``smaller_only``: without
-    the smallest document's), and those of each class's smallest document."""
-    new = np.concatenate([[True], key[1:] != key[:-1]])
+def by_class(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings classes together, and where each class starts in it."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
     if len(more):
-        new[1:] |= more[1:] != more[:-1]
-    first = np.flatnonzero(new)
+        m = more[order]
+        if ((m[1:] != m[:-1]) & ~new[1:]).any():  # a tie of the first key that the second resolves
+            order = np.lexsort((more, key))
+            k, m = key[order], more[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])
+    return order, np.flatnonzero(new)
+
+
+def settle(key: np.ndarray, more: np.ndarray, ids: np.ndarray, smaller_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of classes with several documents (``smaller_only``: without the smallest document's), and those of
+    each class's smallest document."""
+    if not len(key):
+        return (np.zeros(0, np.int64),) * 2
+    order, first = by_class(key, more)
+    own = ids[order]
     size = np.diff(np.append(first, len(key)))
-    low = np.repeat(ids[first], size)
-    several = np.repeat(ids[first] != ids[first + size - 1], size)
-    return np.flatnonzero(several & (ids != low) if smaller_only else several), np.flatnonzero(ids == low)
+    low = np.repeat(np.minimum.reduceat(own, first), size)
+    if smaller_only:
+        found = own != low
+    else:
+        found = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), size)
+    return order[found], order[own == low]
 
 
 def _sample(buckets: int, blocks: int):
@@ -198,7 +226,7 @@ def _sample(buckets: int, blocks: int):
         held = Gathered(buckets, blocks, False)
         for texts in _texts(batches):
             doc, at = texts.sample()
-            held.add(texts, doc, at - texts.start[doc], rank_keys(texts.eight, at) if len(at) else np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            held.add(texts, doc, at - texts.start[doc], rank_keys(texts.eight, at), np.zeros(0, np.uint64))
             if held.n > BATCH:
                 yield from held.flush()
         yield from held.flush()
@@ -209,7 +237,7 @@ def _sample(buckets: int, blocks: int):
 def _texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[Texts]:
     """Documents of (doc_id, h, text binary) batches, some MB at a time; a longer document comes alone."""
     ids, hashes, texts, size = [], [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
             ids.append(i), hashes.append(h), texts.append(t)
             size += len(t)
@@ -245,9 +273,7 @@ def _sort_buckets(blocks: int, smaller_only: bool):
                 doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
                 if len(top):
                     key = key.astype(np.uint64) | top.astype(np.uint64) << np.uint64(32)
-                order = np.lexsort((ids[doc], more, key)) if len(more) else np.lexsort((ids[doc], key))
-                found, _ = settle(key[order], more[order] if len(more) else more, ids[doc[order]], smaller_only)
-                found = order[found]
+                found, _ = settle(key, more, ids[doc], smaller_only)
                 yield from ((b, 1, p) for b, p in by_document(doc[found], low[found].astype(np.int64) | high[found].astype(np.int64) << 16, ids, hashes, blocks))
 
     return lambda batches: _rows(rows(batches))
@@ -256,7 +282,7 @@ def _sort_buckets(blocks: int, smaller_only: bool):
 def _with_positions(batches: Iterator[pa.RecordBatch], fn):
     """Blocks sorted by (block, kind): gives fn each row of texts with the positions of its block, by (id, hash)."""
     block, known = None, {}
-    for batch in batches:
+    for batch in slices(batches):
         cols = [batch.column(c).to_pylist() for c in ("block", "kind", "payload", "doc_id", "h", "text")]
         for b, kind, payload, i, h, text in zip(*cols, strict=True):
             if b != block:
@@ -271,23 +297,17 @@ def _with_positions(batches: Iterator[pa.RecordBatch], fn):
                 yield from fn(i, h, text, known)
 
 
-def _suffixes(buckets: int, blocks: int):
+def _suffixes(buckets: int, blocks: int, part: tuple[int, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        held, some, size = Gathered(buckets, blocks, True), [], 0
+        held, some, size = Gathered(buckets, blocks, True, part), [], 0
 
         def take() -> None:
             texts = Texts(*([x[j] for x in some] for j in range(3)))
-            at = []
-            for (_, _, text, ranked), start in zip(some, texts.start.tolist(), strict=True):
-                near = np.zeros(len(text) + 1, np.int32)  # suffixes with a shared rank at most 30 bytes on
-                np.add.at(near, np.maximum(ranked - (PERIOD - 1), 0), 1)
-                np.add.at(near, ranked + 1, -1)
-                at.append(np.flatnonzero(near[: len(text) - LENGTH + 1].cumsum()) + start)
-            at = np.concatenate(at)
-            doc = texts.doc(at)
-            head = mixed(rank_keys(texts.eight, at) + np.uint64(3) * rank_keys(texts.eight, at + RANKED)) if len(at) else np.zeros(0, np.uint64)
-            tail = rank_keys(texts.eight, at + LENGTH - RANKED) if len(at) else np.zeros(0, np.uint64)
-            held.add(texts, doc, at - texts.start[doc], head, tail >> np.uint64(32))
+            ranked = np.concatenate([x[3] for x in some])
+            doc, at = texts.near(np.repeat(np.arange(len(some)), [len(x[3]) for x in some]), ranked)
+            tie = rank_keys(texts.eight, at + LENGTH - RANKED)
+            both = mixed(rank_keys(texts.eight, at) + tie * np.uint64(0x9E3779B97F4A7C15))
+            held.add(texts, doc, at - texts.start[doc], both, tie >> np.uint64(32))
 
         def one(i, h, text, known):
             nonlocal some, size
@@ -348,12 +368,14 @@ def _cut(texts_too: bool):
 
 
 def free_shuffles(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of plans that are done, before the next pass needs the disk."""
+    for _ in range(2):  # the first round frees the plans, the second the shuffles that they held
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(1)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_positions: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_positions: int = 2_000_000, passes: int = 2) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) for each row of ``docs``.
 
     Null text counts as empty. Rows of one id don't remove each other's bytes; rows without an id lose none and remove
@@ -361,7 +383,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts of 4 GB and more can't be numbered and fail. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(1), F.col(id_col).cast("long"), text).alias("h"), text.alias("text"))
     ids = materialize(rows.select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")))
     total = ids.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * len(COVER) // PERIOD // bucket_positions))
@@ -372,6 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sample = candidates.join(copies, ["doc_id", "h"], "left_anti").mapInArrow(_sample(buckets, blocks), PACKED_SQL)
     ranked = materialize(dealt(sample).mapInArrow(_sort_buckets(blocks, False), PACKED_SQL))
+    del sample
     free_shuffles(docs)
 
     def blocked(positions: DataFrame, texts_: DataFrame, *more: DataFrame) -> DataFrame:
@@ -382,8 +405,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = parts.union(texts_.select(block, F.lit(2), F.lit(None).cast("binary"), "doc_id", "h", "text"))
         return parts.repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
-    suffixes = blocked(ranked, candidates).mapInArrow(_suffixes(buckets, blocks), PACKED_SQL)
-    marked = materialize(dealt(suffixes).mapInArrow(_sort_buckets(blocks, True), PACKED_SQL))
-    free_shuffles(docs)
+    marked = None
+    for part in range(passes):
+        suffixes = blocked(ranked, candidates).mapInArrow(_suffixes(buckets, blocks, (part, passes)), PACKED_SQL)
+        found = materialize(dealt(suffixes).mapInArrow(_sort_buckets(blocks, True), PACKED_SQL))
+        del suffixes
+        free_shuffles(docs)
+        marked = found if marked is None else marked.union(found)
     out = blocked(marked, rows, copies).mapInArrow(_cut(texts), RESULT_SQL)
     return out if texts else out.drop("kept", "spans")
