@@ -160,9 +160,9 @@ def read_records(spark: SparkSession, path: str, dialect: Dialect, multiline: bo
             for b in seen:
                 bases.append((b["block"], base - b["first"]))
                 base += b["n"]
-            number = F.col("at") + _by_block(spark, bases)
             record = F.regexp_replace("line", r"\r\z", "")
-            rows = alone.select(number.alias("row"), fields_of(record, dialect).alias("fields"))
+            known = spark.createDataFrame(bases, "block long, add long")  # a row a block: small by the blocks' size
+            rows = alone.join(F.broadcast(known), "block").select((F.col("at") + F.col("add")).alias("row"), fields_of(record, dialect).alias("fields"))
             return rows, Scan(base, max((b["width"] for b in seen), default=0), False, "lines")
     binary = lines.select("block", "at", F.col("line").cast("binary").alias("line"))
     states = binary.mapInArrow(_states(dialect), "block long, first long, n_out long, end_out boolean, n_in long, end_in boolean").groupBy("block").agg(*(F.first(c).alias(c) for c in ("n_out", "end_out", "n_in", "end_in"))).orderBy("block").collect()
@@ -192,11 +192,3 @@ def ends_with_newline(spark: SparkSession, path: str) -> bool:
         return stream.read() == 10
     finally:
         stream.close()
-
-
-def _by_block(spark: SparkSession, bases: list[tuple[int, int]]) -> Column:
-    """A block's number to add: one literal map, a pair a block."""
-    if not bases:
-        return F.lit(0)
-    pairs = F.map_from_arrays(F.array(*(F.lit(b) for b, _ in bases)), F.array(*(F.lit(n).cast("long") for _, n in bases)))
-    return F.element_at(pairs, F.col("block"))

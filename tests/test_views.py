@@ -216,3 +216,33 @@ def test_watch(spark, tmp_path):
     path.unlink()
     assert w.poll(w.at + 3) == "deleted"
     w.reload(spark)
+
+
+def test_sort_helpers(source):
+    v = View.all(source)
+    assert ids(v.sort_by("n", True)) == ids(v.sort("n:desc"))
+    assert v.sort_cost(1 << 20) == {"rows": 6, "run_bytes": 144, "result_bytes": 48, "in_memory": True} and not v.sort_cost(100)["in_memory"]
+
+
+def test_generated_file_and_command_line(spark, tmp_path, capsys):
+    from quillon.__main__ import main
+    from quillon.sources import generate
+
+    generate.write(spark, str(tmp_path / "g"), 300, nulls=0.1, ragged=0.05, quoted_newlines=0.2)
+    path = str(tmp_path / "g.csv")
+    with open(path, "w", newline="") as out:
+        for part in sorted(p for p in os.listdir(tmp_path / "g") if p.startswith("part-")):
+            out.write(open(tmp_path / "g" / part, newline="").read())
+    s = Source.open(spark, path)
+    assert [c.display for c in s.columns] == list(generate.HEADER) and s.scan.strategy == "blocks"
+    counts = s.counts()
+    assert counts["rows"] == 300 and 0 < counts["ragged"] < 40
+    assert [s.column(c).label for c in ("id", "price", "date", "ts", "country", "status")] == ["i64", "f64", "date", "datetime", "enum", "enum"]
+    main([path, "--filter", "price > 0 && country == \"DE\"", "--sort", "price:desc", "--rows", "5"], spark)
+    shown = list(csv.reader(io.StringIO(capsys.readouterr().out)))
+    prices = [float(r[1]) for r in shown[1:]]
+    assert shown[0] == list(generate.HEADER) and prices == sorted(prices, reverse=True) and {r[4] for r in shown[1:]} == {"DE"}
+    main([path, "-d", "comma", "--dedupe", "country", "--export", str(tmp_path / "o.csv")], spark)
+    assert capsys.readouterr().out == "11 records\n"
+    main([path, "--profile"], spark)
+    assert "price" in capsys.readouterr().out
