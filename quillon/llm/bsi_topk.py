@@ -52,7 +52,8 @@ def _index_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             bits = np.zeros(words * 64, np.uint8)
             bits[: len(ids)] = (up[:, d] >> np.uint64(s)) & np.uint64(1)
             parts.append(np.packbits(bits, bitorder="little").tobytes())
-    return pd.DataFrame([{"dim": key[0], "block": key[1], "base": base.tobytes(), "widths": widths.tobytes(), "slices": b"".join(parts), "ids": ids.tobytes(), "rows": rows.tobytes()}])
+    small = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= base.min() and rows.max() <= np.iinfo(t).max)
+    return pd.DataFrame([{"dim": key[0], "block": key[1], "base": base.tobytes(), "widths": widths.tobytes(), "slices": b"".join(parts), "ids": ids.tobytes(), "rows": rows.astype(small).tobytes()}])
 
 
 def signed_digits(n: int) -> list[tuple[int, int]]:
@@ -100,7 +101,8 @@ class Block:
 
     def __init__(self, base: bytes, widths: bytes, slices: bytes, ids: bytes, rows: bytes, drop_bits: int):
         self.base, self.widths, self.ids = np.frombuffer(base, np.int64), np.frombuffer(widths, np.int64), np.frombuffer(ids, np.int64)
-        self.rows = np.frombuffer(rows, np.int64).reshape(len(self.ids), -1)
+        cells = len(self.ids) * len(self.base)
+        self.rows = np.frombuffer(rows, f"<i{len(rows) // cells}").reshape(len(self.ids), -1)
         self.words = -(-len(self.ids) // 64)
         self.slices = np.frombuffer(slices, np.uint64).reshape(-1, self.words)
         self.first = np.concatenate([[0], np.cumsum(self.widths)])
@@ -164,7 +166,7 @@ class Block:
             own[lo:hi] = 1
             alive = alive & ~np.packbits(own, bitorder="little").view(np.uint64)
         at = self.candidates(query, alive, k)
-        exact = self.rows[at] @ query
+        exact = self.rows[at].astype(np.int64) @ query
         order = np.lexsort((self.ids[at], -exact))[:k]
         return self.ids[at][order], exact[order]
 
@@ -190,7 +192,7 @@ def _query_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"dim": key[0], "query_block": key[1], "query_ids": frame["vec_id"].to_numpy(np.int64).tobytes(), "queries": np.stack(frame["q"].to_numpy()).astype(np.int64).tobytes()}])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 8192, query_rows: int = 256, drop_bits: int = 2) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 256, drop_bits: int = 2) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the highest inner product for each of ``queries``.
 
     Both tables have (vec_id long, q array<long>), as from ``quantise``. A query is compared with the vectors of its
@@ -205,7 +207,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     groups = max(1, -(-asked.count() // query_rows))
     packed = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))).groupBy("dim", "query_block").applyInPandas(_query_block, "dim int, query_block long, query_ids binary, queries binary")
     dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = dealt.join(index.hint("shuffle_hash"), ["dim", "block"]).repartition(max(1, blocks * groups), "dim", "block", "query_block")
+    pairs = dealt.join(index.hint("shuffle_hash"), ["dim", "block"])  # a block's queries come to it; the block stays
     pairs = pairs.select("dim", "block", "base", "widths", "slices", "ids", "rows", "query_ids", "queries")
     found = pairs.mapInArrow(_search(k, drop_bits), BEST)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
