@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, slices
 
 PARTIAL = pa.schema([("hash", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64())])
 GROUP = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -77,7 +77,7 @@ def _partials(entries: list[list]) -> Iterator[pa.RecordBatch]:
 def _collapse(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ContentTable()
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = xxhash.xxh64_intdigest(content)
                 table.add(h - (1 << 64) if h >> 63 else h, content, 1, doc_id)
@@ -146,7 +146,7 @@ def _chain(entries: list[list], rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def _merge(budget: int, fan_out: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in PARTIAL.names), strict=True))
+        rows = (row for batch in slices(batches) for row in zip(*(batch.column(c).to_pylist() for c in PARTIAL.names), strict=True))
         for entries in grace(rows, budget, fan_out):
             yield from _groups(entries)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, slices
 
 #: Kinds of spans, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -110,7 +110,7 @@ def neighbours(text: str, span: tuple[int, int, int], window: int) -> list[str]:
 
 def _pairs(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
@@ -137,7 +137,7 @@ def _signed(h: int) -> int:
 def _count(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for t in terms.value.keys() & set(_WORD.findall(text.lower())):
                     counts[t] = counts.get(t, 0) + 1
@@ -224,7 +224,7 @@ def _schema(texts: bool) -> str:
 
 def _mark(shared, remove: float, texts: bool, also: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for i, text, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 terms = dict(rest[0] or ()) if also else shared.value

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import slices
+
 NAMES = [
     "log_words", "log_chars", "word_length", "word_length_spread", "long_words", "upper", "digit", "blank", "sentence_signs", "odd_signs", "other_ascii",
     "non_ascii", "distinct_words", "top_word", "repeated_neighbours", "distinct_pairs", "log_lines", "line_words", "repeated_lines", "words_ending_odd", "upper_words", "bare_words",
@@ -136,11 +138,14 @@ def held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Trees:
     """Fit on at most ``max_rows`` labelled rows that aren't held out. Labels other than 0 and 1 are left out."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    chosen = usable.groupBy("_id").agg(F.avg("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # at most max_rows pairs: small enough to broadcast
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+    labelled = usable.agg(F.count("*")).first()[0]
+    share = min(1.0, 2 * max_rows / max(labelled, 1))  # leaves little more than max_rows to be sorted, however many there are
+    chosen = usable.where(place < int(share * (1 << 40))).groupBy("_id").agg(F.avg("_label").alias("_label")).orderBy(place, "_id").limit(max_rows)  # at most max_rows pairs: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_label")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = statistics_table(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.float64()), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
 
@@ -155,7 +160,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = shared.value.probability(statistics_table(b.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -168,7 +173,7 @@ def keep(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]
             yield b.filter(pa.array(shared.value.probability(statistics_table(texts)) >= threshold))
 

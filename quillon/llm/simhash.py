@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, materialize, sorted_groups
+from quillon.llm.common import connected_components, materialize, slices, sorted_groups
 
 TRIPLES = [(h + a, h + b, h + c) for h in (0, 4) for a, b, c in combinations(range(4), 3)]
 BITS, SHARED = 3, 5
@@ -56,7 +56,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = [fingerprint(shingle_hashes(x)) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
