@@ -221,8 +221,9 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed, classes) for each row of ``docs``.
+    """(doc_id, class_id, n_paragraphs, n_removed, removed, classes) for each row of ``docs``.
 
+    class_id is the smallest document that keeps a paragraph of the row's classes (its own id if none is shared).
     n_paragraphs counts the compared ones (of at least ``min_words`` words). removed has the line numbers that go;
     classes has (para, class_doc, class_para) of every paragraph in a class of several, the kept one included. Null
     and empty texts have no paragraphs. Rows repeated with one id and text are one document here, returned for each
@@ -231,13 +232,13 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared, members = paragraph_classes(docs, id_col, text_col, **options)
     counts = compared.distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     goes = ~(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("para") == F.col("class_para")))
-    found = members.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("para", "class_doc", "class_para"))).alias("classes"), F.sort_array(F.collect_list(F.when(goes, F.col("para")))).alias("removed"))
+    found = members.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("para", "class_doc", "class_para"))).alias("classes"), F.sort_array(F.collect_list(F.when(goes, F.col("para")))).alias("removed"), F.min("class_doc").alias("class_id"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"))
     same = F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))
     out = rows.join(counts, same, "left").select("_i", "_h", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs")).join(found, same, "left")
     none = F.array().cast("array<int>")
-    return out.select(F.col("_i").alias("doc_id"), "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("classes", F.array().cast("array<struct<para:int,class_doc:bigint,class_para:int>>")).alias("classes"))
+    return out.select(F.col("_i").alias("doc_id"), F.coalesce("class_id", "_i").alias("class_id"), "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("classes", F.array().cast("array<struct<para:int,class_doc:bigint,class_para:int>>")).alias("classes"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
