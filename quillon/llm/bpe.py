@@ -26,11 +26,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, slices
 
 #: Words of byte-level BPE, as published with the vocabulary; its white space is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO = 250_000
+MEMO = 400_000
+COUNTED = 500_000  # words that a task counts before it hands them on
 LONGEST = 64  # bytes of a word in the lexicon
 SHORT = 32  # bytes of a word that is merged side by side with others
 NO_RANK = 2**30
@@ -54,6 +55,9 @@ class Model:
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: raw(s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        top = max(self.bytes_of) + 1
+        self.bytes_at = [self.bytes_of.get(i, b"") for i in range(top)]
+        self.name_at = list(map(str, range(top)))
         self.of_byte = [vocab.get(c) for _, c in sorted(byte_alphabet().items())]
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -245,7 +249,7 @@ class Lexicon:
         return np.concatenate([[len(a) for a in arrays], *arrays]).astype(np.int32).tobytes()
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int32, "r")
+        data = np.asarray(np.memmap(path, np.int32, "r"))  # still mapped, without the subclass's cost for each slice
         at = len(self.PARTS)
         for name, n in zip(self.PARTS, data[:at].tolist(), strict=True):
             setattr(self, name, data[at : at + n])
@@ -276,6 +280,13 @@ class Lexicon:
             state, number = self.target[arc].astype(np.int64), number[there] + self.skip[arc]
         return out
 
+    def many(self, numbers: list[int]) -> Iterator[list[int]]:
+        """The outputs of many words."""
+        at = np.array(numbers, np.int64)
+        starts, ends, ids = self.offset[at].tolist(), self.offset[at + 1].tolist(), self.ids
+        for a, b in zip(starts, ends, strict=True):
+            yield ids[a:b].tolist()
+
     def ids_of(self, number: int) -> list[int]:
         return self.ids[self.offset[number] : self.offset[number + 1]].tolist()
 
@@ -303,12 +314,13 @@ class Encoder:
         raw = [w.encode("utf-8", "replace") for w in fresh]
         found = self.lexicon.find(raw).tolist()
         unseen = iter(self.model.merge_many([b for b, number in zip(raw, found, strict=True) if number < 0]))
-        of = self.model.bytes_of
+        of, name, memo, special = self.model.bytes_at, self.model.name_at, self.memo, self.model.special
+        hits = self.lexicon.many([number for number in found if number >= 0])
         for word, number in zip(fresh, found, strict=True):
-            ids = self.lexicon.ids_of(number) if number >= 0 else next(unseen)
-            if (special := self.model.special.get(word)) is not None:
-                ids = [special]
-            self.memo[word] = (",".join(map(str, ids)), b"".join([of[i] for i in ids]))
+            ids = next(hits if number >= 0 else unseen)
+            if word in special:
+                ids = [special[word]]
+            memo[word] = (name[ids[0]], of[ids[0]]) if len(ids) == 1 else (",".join([name[i] for i in ids]), b"".join([of[i] for i in ids]))
 
     def encode(self, text: str) -> list[int]:
         words = self.parts(text)
@@ -321,8 +333,8 @@ class Encoder:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids and of the decoded text; the pieces are those of each word's ids."""
         out = []
-        for lo in range(0, len(texts), 256):
-            parts = [self.parts(t) for t in texts[lo : lo + 256]]
+        for lo in range(0, len(texts), 512):
+            parts = [self.parts(t) for t in texts[lo : lo + 512]]
             self.learn(set().union(*parts))
             memo = self.memo
             for words in parts:
@@ -360,10 +372,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 w, n = zip(*rows[i : i + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(find(text))
-                if len(seen) > 2 * MEMO:
+                if len(seen) > COUNTED:
                     yield from out()
                     seen.clear()
         yield from out()
@@ -396,7 +408,7 @@ class Tokenizer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc = encoder(model, lexicon, name)
-            for batch in batches:
+            for batch in slices(batches):
                 yield fn(enc, batch)
 
         return docs.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).mapInArrow(run, schema)
@@ -411,8 +423,8 @@ class Tokenizer:
         model = self.model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = model.value.bytes_of
-            for b in batches:
+            of = model.value.bytes_at
+            for b in slices(batches):
                 texts = [b"".join(of[i] for i in ids or ()).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
