@@ -6,9 +6,9 @@ information content,
 
     disclosure = PMI(t, e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e)),
 
-with N documents, n(t) of them with the term, n(e) mentions of the entity and n(t, e) mentions with the term within
-``window`` words, each counted once for each document and once for each wording, whichever is fewer, so copies of one
-text don't make evidence. Terms with too little evidence (``support``) are left alone. A term above ``generalise`` is
+with N distinct texts, n(t) of them with the term, n(e) mentions of the entity and n(t, e) mentions with the term within
+``window`` words, each counted once for each distinct text and once for each wording, whichever is fewer, so copies of
+one text neither make evidence nor hide it. Terms with too little evidence (``support``) are left alone. A term above ``generalise`` is
 replaced by its shape, one above ``remove`` is taken out, wherever it stands.
 
 Terms under question are those that stand by one entity often enough. They are counted, and looked for, over all
@@ -147,6 +147,14 @@ def _count(terms):
     return run
 
 
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, text): each text once, h its hash. Only texts that are repeated are shuffled where their hashes fit a broadcast."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    repeated = materialize(keyed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"))
+    return keyed.join(repeated, "h", "left_anti").union(keyed.join(repeated, "h", "left_semi").dropDuplicates(["h"]))
+
+
 def disclosure(n_docs, n_term, n_entity, n_both):
     """Share of the entity's information content that the term gives away."""
     return 1 - F.log(n_term / n_both) / F.greatest(F.log(n_docs / n_entity), F.lit(1e-9))
@@ -154,7 +162,7 @@ def disclosure(n_docs, n_term, n_entity, n_both):
 
 def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 10, support: int = 3, generalise: float = 0.9, round_terms: int = 100_000) -> DataFrame:
     """(term, disclosure): the terms whose disclosure of some entity reaches ``generalise``."""
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = distinct_texts(docs, text_col).select("text")
     seen = texts.mapInArrow(_pairs(window), "entity long, term string, doc long, wording long")
     by_doc = seen.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("docs"))
     by_wording = seen.select("entity", "term", "wording").distinct().groupBy("entity", "term").agg(F.count("*").alias("wordings"))
@@ -162,7 +170,7 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 10, s
     mentions = both.where(F.col("term") == "").select("entity", F.col("n").alias("n_e"))
     pairs = both.where(F.col("term") != "").join(mentions, "entity")
     terms = materialize(pairs.select("term").distinct())
-    n_terms, n_docs = terms.count(), docs.count()
+    n_terms, n_docs = terms.count(), texts.count()
     rounds = -(-n_terms // round_terms)
     counted = docs.sparkSession.createDataFrame([], "term string, n_t long")
     for r in range(rounds):

@@ -337,6 +337,16 @@ def test_pii_terms(spark, round_terms):
     assert got[501].n_term == got[600].n_term == got[105].n_term == 0
 
 
+def test_pii_copies_hide_nothing(spark):
+    """Copies of the texts with a term leave its disclosure as it is."""
+    rows = [(i, f"w{i}x and the Zorblax w{i}y ann@corp.org said w{i}z") for i in range(12)]
+    rows += [(100 + i, f"filler the and other said words number {i}") for i in range(300)]
+    copied = rows + [(1000 + i, rows[i % 12][1]) for i in range(600)]
+    for some in (rows, copied):
+        terms = pii.revealing_terms(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert [(r.term, r.disclosure) for r in terms] == [("zorblax", 1.0)]
+
+
 def test_quality_held_out(spark, sf_dir):
     scored = queries.op10_quality(spark, sf_dir).toPandas().merge(spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
     kept = scored[scored.held_out]
