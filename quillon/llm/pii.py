@@ -6,22 +6,26 @@ information content,
 
     disclosure = PMI(t, e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e)),
 
-with N distinct texts, n(t) of them with the term, n(e) mentions of the entity and n(t, e) mentions with the term within
-``window`` words, each counted once for each distinct text and once for each wording, whichever is fewer, so copies of
-one text neither make evidence nor hide it. Terms with too little evidence (``support``) are left alone. A term above ``generalise`` is
-replaced by its shape, one above ``remove`` is taken out, wherever it stands.
-
-Terms under question are those that stand by one entity often enough. They are counted, and looked for, over all
-documents, in rounds of at most ``round_terms`` terms, each a set of bounded size that is broadcast.
+with N distinct texts, n(t) of them with the term, n(e) with the entity and n(t, e) with both, anywhere in the text: all
+four count distinct texts, so copies of one text neither make evidence nor hide it. A term stands in a text where one
+of its words doesn't touch a match of a pattern. Low counts are judged by a bound: n(t, e) / n(t) is taken at the lower
+end of its Wilson interval of ``deviations``. A term whose bounded disclosure of some entity reaches ``generalise`` is
+replaced by its shape, or taken out if its disclosure reaches ``remove``, wherever it stands. With one deviation, a term
+that stands in one text only, beside an entity of that text only, is found from 1,024 distinct texts on.
+
+One pass over the distinct texts counts all words and notes the words of the texts with entities. Words too frequent to
+reach ``generalise`` beside any of their texts' entities go before pairs are made, and entities of the same texts are
+one, so a text of many entities and words doesn't multiply them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,6 +42,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"[0-9]")
+MEMO = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -100,51 +105,47 @@ def entity(text: str, span: tuple[int, int, int]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def neighbours(text: str, span: tuple[int, int, int], window: int) -> list[str]:
-    """The words within ``window`` words on either side, lower-cased. At most 24 code points a word are looked at."""
-    a, _, b = span
-    reach = 24 * window
-    before = _WORD.findall(text, max(0, a - reach), a)[-window:]
-    return [w.lower() for w in before + _WORD.findall(text, b, min(len(text), b + reach))[:window]]
+def standing(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, lower-cased word) of the words that don't touch a base span."""
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    for m in _WORD.finditer(text):
+        before = bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
+            yield m.start(), m.end(), m[0].lower()
 
 
-def _pairs(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                if not spans:
-                    continue
-                doc = _signed(xxhash.xxh64_intdigest(text))
-                found = set()
-                for span in spans:
-                    words = neighbours(text, span, window)
-                    wording = _signed(xxhash.xxh64_intdigest(" ".join(words)))
-                    found.update((entity(text, span), t, wording) for t in {*words, ""} if not t.isdigit() and len(t) != 1)
-                rows += [(e, t, doc, w) for e, t, w in found]
-            if rows:
-                e, t, d, w = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t, pa.string()), pa.array(d, pa.int64()), pa.array(w, pa.int64())], ["entity", "term", "doc", "wording"])
+def words_of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """The distinct lower-cased words that don't touch a base span."""
+    return {w for _, _, w in standing(text, base)} if base else {w.lower() for w in set(_WORD.findall(text))}
 
-    return run
 
+SURVEY = pa.schema([("term", pa.string()), ("n", pa.int64()), ("h", pa.int64()), ("entities", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
 
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): in how many texts of the task a word stands, the empty one in all; (h, entities, words) of texts with entities."""
+    counts: dict[str, int] = {}
+    for batch in slices(batches):
+        found = []
+        for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            base = base_spans(text)
+            words = words_of(text, base)
+            if base:
+                found.append((h, list({entity(text, s) for s in base}), [w for w in words if not w.isdigit() and len(w) != 1]))
+            words.add("")
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+        if found:
+            yield _rows([None] * len(found), [None] * len(found), *zip(*found, strict=True))
+        if len(counts) > MEMO:
+            yield _rows(counts.keys(), counts.values(), *[[None] * len(counts)] * 3)
+            counts = {}
+    if counts:
+        yield _rows(counts.keys(), counts.values(), *[[None] * len(counts)] * 3)
 
-def _count(terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                for t in terms.value.keys() & set(_WORD.findall(text.lower())):
-                    counts[t] = counts.get(t, 0) + 1
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n_t"])
 
-    return run
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SURVEY.types, strict=True)], schema=SURVEY)
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -160,39 +161,37 @@ def disclosure(n_docs, n_term, n_entity, n_both):
     return 1 - F.log(n_term / n_both) / F.greatest(F.log(n_docs / n_entity), F.lit(1e-9))
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 10, support: int = 3, generalise: float = 0.9, round_terms: int = 100_000) -> DataFrame:
-    """(term, disclosure): the terms whose disclosure of some entity reaches ``generalise``."""
-    texts = distinct_texts(docs, text_col).select("text")
-    seen = texts.mapInArrow(_pairs(window), "entity long, term string, doc long, wording long")
-    by_doc = seen.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("docs"))
-    by_wording = seen.select("entity", "term", "wording").distinct().groupBy("entity", "term").agg(F.count("*").alias("wordings"))
-    both = materialize(by_doc.join(by_wording, ["entity", "term"]).select("entity", "term", F.least("docs", "wordings").alias("n")).where(F.col("n") >= support))
-    mentions = both.where(F.col("term") == "").select("entity", F.col("n").alias("n_e"))
-    pairs = both.where(F.col("term") != "").join(mentions, "entity")
-    terms = materialize(pairs.select("term").distinct())
-    n_terms, n_docs = terms.count(), texts.count()
-    rounds = -(-n_terms // round_terms)
-    counted = docs.sparkSession.createDataFrame([], "term string, n_t long")
-    for r in range(rounds):
-        some = {row[0]: 0 for row in terms.where(F.pmod(F.xxhash64("term"), F.lit(rounds)) == r).collect()}  # about round_terms
-        shared = docs.sparkSession.sparkContext.broadcast(some)
-        counted = counted.union(texts.mapInArrow(_count(shared), "term string, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t")))
-    scored = pairs.join(counted, "term").select("term", disclosure(F.lit(n_docs), F.greatest("n_t", "n"), F.col("n_e"), F.col("n")).alias("disclosure"))
-    return materialize(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise))
+def bounded(n_docs, n_term, n_entity, n_both, deviations: float):
+    """The disclosure with n_both / n_term at the lower end of its Wilson interval."""
+    p, z = n_both / n_term, deviations * deviations / n_term
+    low = (p + z / 2 - F.sqrt(z * p * (1 - p) + z * z / 4)) / (1 + z)
+    return disclosure(n_docs, 1 / low, n_entity, F.lit(1))
+
+
+def revealing_terms(docs: DataFrame, text_col: str = "text", deviations: float = 1.0, generalise: float = 0.9) -> DataFrame:
+    """(term, disclosure): the terms whose bounded disclosure of some entity reaches ``generalise``."""
+    survey = materialize(distinct_texts(docs, text_col).mapInArrow(_survey, "term string, n long, h long, entities array<long>, words array<string>"))
+    counts, found = survey.where(F.col("term").isNotNull()), survey.where(F.col("h").isNotNull())
+    n_docs = F.lit(counts.where(F.col("term") == "").agg(F.sum("n")).first()[0] or 1)
+    mentions = found.select("h", F.explode("entities").alias("entity"))
+    texts = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("h")).alias("a"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("b"))
+    entities = texts.groupBy("n_e", "a", "b").agg(F.min("entity").alias("entity")).select("entity", "n_e")  # one of those that share all their texts
+    mentions = materialize(mentions.join(entities, "entity"))
+    # disclosure >= generalise, so n(t) <= n(t, e) (N / n(e))^(1 - generalise), where n(t, e) <= n(e)
+    reach = mentions.groupBy("h").agg(F.max(F.pow("n_e", F.lit(generalise)) * F.pow(n_docs, F.lit(1 - generalise))).alias("reach"))
+    words = found.select("h", F.explode("words").alias("term"))
+    most = words.join(reach, "h").groupBy("term").agg(F.max("reach").alias("reach"))
+    rare = counts.groupBy("term").agg(F.sum("n").alias("n_t")).join(most, "term").where(F.col("n_t") <= F.col("reach") * (1 + 1e-9)).select("term", "n_t")
+    both = words.join(rare, "term").join(mentions, "h").groupBy("term", "entity").agg(F.count("*").alias("n"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    found_by = both.where(bounded(n_docs, F.col("n_t"), F.col("n_e"), F.col("n"), deviations) >= generalise)
+    return materialize(found_by.groupBy("term").agg(F.max(disclosure(n_docs, F.col("n_t"), F.col("n_e"), F.col("n"))).alias("disclosure")))
 
 
 def term_spans(text: str, terms: dict[str, float], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of revealing terms that don't touch a base span."""
-    if not terms or not (terms.keys() & set(_WORD.findall(text.lower()))):
+    if not terms or terms.keys().isdisjoint({w.lower() for w in set(_WORD.findall(text))}):
         return []
-    starts, ends = np.array([s[0] for s in base], np.int64), np.maximum.accumulate(np.array([s[2] for s in base], np.int64)) if base else np.zeros(0, np.int64)
-    out = []
-    for m in _WORD.finditer(text):
-        if m[0].lower() in terms:
-            before = int(np.searchsorted(starts, m.end()))
-            if not before or ends[before - 1] <= m.start():
-                out.append((m.start(), 4, m.end()))
-    return out
+    return [(a, 4, b) for a, b, w in standing(text, base) if w in terms]
 
 
 def shape(word: str) -> str:
@@ -216,7 +215,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove
     count; a term never touches a base span. Rows are independent, so repeated rows agree. An empty table gives an
     empty result.
     """
-    terms = revealing_terms(docs, text_col, round_terms=round_terms, **options)
+    terms = revealing_terms(docs, text_col, **options)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = terms.count()
     rounds = max(1, -(-n // round_terms))

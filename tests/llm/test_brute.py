@@ -337,6 +337,48 @@ def test_pii_terms(spark, round_terms):
     assert got[501].n_term == got[600].n_term == got[105].n_term == 0
 
 
+def test_pii_whole_texts(spark):
+    """Terms of entities named in one or two texts, at any distance, and of a signature that is always worded alike."""
+    gap = " ".join(f"common{i % 50}" for i in range(2000))
+    rows = [(5000 + i, f"{gap} plain text {i}") for i in range(2200)]
+    rows += [(2000, f"Zorblax wrote {gap} to ann@corp.org"), (2001, f"Quix {gap} bob@corp.org once"), (2002, f"bob@corp.org twice {gap} Quix")]
+    rows += [(3000 + i, f"plain text again {i}\nRegards, Mimsy Borogove joe@corp.org") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(rows)
+    terms = {r.term: r.disclosure for r in pii.revealing_terms(docs).collect()}
+    want = dict.fromkeys(["zorblax", "wrote", "to", "quix", "once", "twice", "again", "regards", "mimsy", "borogove"], 1.0)
+    assert terms == want
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert got[2000].sanitised == f"  {gap}  [EMAIL]" and got[3007].sanitised == "plain text  7\n,   [EMAIL]"
+    assert len(got) == n and sum(r.n_term for r in got.values()) == 3 + 2 + 2 + 20 * 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_terms_brute(spark, seed):
+    """The pruned count of terms against the definition."""
+    r = random.Random(seed)
+    texts = set()
+    for i in range(2500):
+        parts = [f"w{int(r.paretovariate(0.5))}" for _ in range(r.randint(1, 12))] + [f"e{int(r.paretovariate(0.7)) % 90}@corp.org" for _ in range(r.choice([0, 0, 0, 1, 2]))]
+        r.shuffle(parts)
+        texts.add(" ".join(parts))
+    with_term, with_entity = defaultdict(set), defaultdict(set)
+    for t in texts:
+        for w in t.split():
+            (with_entity if "@" in w else with_term)[w].add(t)
+    n, want = len(texts), {}
+    for w, a in with_term.items():
+        for e in {e for t in a for e in t.split() if "@" in e}:
+            b, ic = len(a & with_entity[e]), np.log(n / len(with_entity[e]))
+            p, m = b / len(a), len(a)
+            low = (p + 1 / (2 * m) - np.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+            if 1 + np.log(low) / ic >= 0.9:
+                want[w] = max(want.get(w, 0), 1 + np.log(p) / ic)
+    rows = [(i, t) for i, t in enumerate([*texts, *r.sample(sorted(texts), 300)])]
+    got = {r.term: r.disclosure for r in pii.revealing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want and got == pytest.approx(want)
+
+
 def test_pii_copies_hide_nothing(spark):
     """Copies of the texts with a term leave its disclosure as it is."""
     rows = [(i, f"w{i}x and the Zorblax w{i}y ann@corp.org said w{i}z") for i in range(12)]
