@@ -26,6 +26,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"[0-9]")
 MEMO = 200_000
+FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 23
 
 
 def luhn(digits: str) -> bool:
@@ -217,10 +219,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove
     """
     terms = revealing_terms(docs, text_col, **options)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = terms.count()
-    rounds = max(1, -(-n // round_terms))
-    if rounds > 1:
-        return _in_rounds(rows, terms, rounds, remove, texts)
+    if terms.count() > round_terms:
+        return _joined(rows, terms, remove, texts)
     shared = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in terms.collect()})  # at most round_terms
     return rows.mapInArrow(_mark(shared, remove, texts), _schema(texts))
 
@@ -248,10 +248,46 @@ def _mark(shared, remove: float, texts: bool, also: bool = False):
     return run
 
 
-def _in_rounds(rows: DataFrame, terms: DataFrame, rounds: int, remove: float, texts: bool) -> DataFrame:
-    """For more terms than one broadcast holds: each document takes its own terms by a join on words."""
-    keyed = rows.withColumn("_key", F.xxhash64("text"))
-    words = keyed.select("doc_id", "_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
+def _filter(terms: DataFrame):
+    """A broadcast of FILTER_BITS bits, those at the terms' hashes set, in blocks of BLOCK_BITS."""
+    at = terms.select(F.xxhash64("term").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
+    blocks = {r[0]: bytes(r[1]) for r in at.repartition(F.floor(F.col("at") / BLOCK_BITS)).mapInArrow(_set_bits, "block long, bits binary").collect()}
+    empty = bytes(BLOCK_BITS // 8)
+    return terms.sparkSession.sparkContext.broadcast(b"".join(blocks.get(i, empty) for i in range(FILTER_BITS // BLOCK_BITS)))
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        for block in np.unique(at // BLOCK_BITS).tolist():
+            blocks.setdefault(block, np.zeros(BLOCK_BITS, bool))[at[at // BLOCK_BITS == block] % BLOCK_BITS] = True
+    for block, bits in blocks.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+
+def _candidates(shared):
+    """(doc_id, key, term): the words of each row that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in slices(batches):
+            ids, keys, words = [], [], []
+            for i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for w in words_of(text, []):
+                    h = xxhash.xxh64_intdigest(w, 42) & (FILTER_BITS - 1)  # Spark's xxhash64
+                    if bits[h >> 3] >> (h & 7) & 1:
+                        ids.append(i), keys.append(key), words.append(w)
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["doc_id", "_key", "term"])
+
+    return run
+
+
+def _joined(rows: DataFrame, terms: DataFrame, remove: float, texts: bool) -> DataFrame:
+    """For more terms than one broadcast holds: each document takes its own terms by a join on the words that pass a filter."""
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("_key"), "text")
+    words = keyed.mapInArrow(_candidates(_filter(terms)), "doc_id long, _key long, term string")
     own = words.join(terms, "term").groupBy("doc_id", "_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("terms"))
     own = own.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"), "terms")
     joined = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")

@@ -379,6 +379,17 @@ def test_pii_terms_brute(spark, seed):
     assert want and got == pytest.approx(want)
 
 
+def test_pii_terms_of_any_script(spark):
+    """Words are split and folded alike however many terms there are."""
+    words = ["cafe\u0301ine", "\u0928\u092e\u0938\u094d\u0924\u0947", "xyz\u00b2", "\u0130stanbul", "\u039f\u0394\u039f\u03a3", "Stra\u00dfe"]
+    rows = [(i, f"{' '.join(words)} u{i} ann@corp.org") for i in range(40)] + [(100 + i, f"other words number{i}") for i in range(1500)] + [(5000, " ".join(words)), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (sorted(pii.find(docs, round_terms=n).collect(), key=lambda r: (r.doc_id is not None, r.doc_id)) for n in (100_000, 1))
+    assert few == many
+    last = few[-1]
+    assert last.doc_id == 5000 and last.n_term == len(words) + 1 and few[0].n_term == 2
+
+
 def test_pii_copies_hide_nothing(spark):
     """Copies of the texts with a term leave its disclosure as it is."""
     rows = [(i, f"w{i}x and the Zorblax w{i}y ann@corp.org said w{i}z") for i in range(12)]
