@@ -28,7 +28,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.near_paragraphs(read_table(spark, sf_dir, "documents"))
+    return paragraph_dedup.near_paragraphs(read_table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -147,6 +147,32 @@ def test_paragraphs(spark, sf_dir, texts, limit):
     assert got == want
 
 
+def test_paragraphs_of_few_words(spark, sf_dir, texts):
+    """The query against brute force over all lines, short ones included."""
+    sets = {}
+    for i, t in texts.items():
+        for k, line in enumerate(t.split("\n")):
+            if w := line.encode().lower().split():
+                sets[i, k] = {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))}
+    holders = defaultdict(list)
+    for p, s in sets.items():
+        for g in s:
+            holders[g].append(p)
+    u = Union(sets)
+    for p, s in sets.items():
+        shared = Counter(q for g in s for q in holders[g])
+        for q, n in shared.items():
+            if n / (len(s) + len(sets[q]) - n) >= 0.8:
+                u.link(p, q)
+    want = {i: ([], 0) for i in texts}
+    for p in sorted(sets):
+        gone, n = want[p[0]]
+        want[p[0]] = (gone + [p[1]] * (u.find(p) != p), n + 1)
+    got = {r.doc_id: (r.removed, r.n_paragraphs) for r in queries.op3_paragraphs(spark, sf_dir).collect()}
+    assert got == want
+    assert any(len(g) < 5 for p, s in sets.items() if u.find(p) != p for g in s)
+
+
 @pytest.mark.parametrize("options", [{}, {"passes": 3, "bucket_positions": 20_000}])
 def test_suffixes(spark, sf_dir, texts, options):
     seen, want = {}, {}
