@@ -82,6 +82,24 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def bitmap(df: DataFrame, col: str, size: int, block: int = 1 << 23) -> bytes:
+    """A bit for each number under ``size``, those in a column set: ``size / 8`` bytes, or none where no bit is set. Only
+    blocks of a megabyte that hold a set bit come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for b in np.unique(at // block).tolist():
+                held.setdefault(b, np.zeros(min(block, size - b * block), bool))[at[at // block == b] % block] = True
+        for b, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    at = df.select(F.col(col).cast("long").alias("at")).repartition(F.floor(F.col("at") / block))
+    blocks = {r[0]: bytes(r[1]) for r in at.mapInArrow(run, "block long, bits binary").collect()}
+    return b"".join(blocks.get(b, bytes(-(-min(block, size - b * block) // 8))) for b in range(-(-size // block))) if blocks else b""
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component: the smallest reachable node.
 

@@ -1,32 +1,32 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Suffixes need
-only be told apart to that depth, and only those that tie with a suffix of another document matter. As in blockwise
-construction over a difference cover, a sample of positions is ranked first and the rest is sorted one bucket at a
-time against those ranks:
-
-1. Cover sample. Positions whose remainder by 21 is in a difference cover ({0, 1, 4, 14, 16}: every difference
-   occurs) are ranked by the 30 bytes they start. For any two positions there is an offset under 21 at which both are
-   in the sample, so two suffixes that tie for 50 bytes hold a tie of sample ranks in their first 50 bytes. Sample
-   buckets are sorted one at a time; ranks held by one document alone are dropped - by far the most.
-2. Suffix buckets. A suffix with no shared rank in reach has no long tie and is left out. The others are sorted one
-   bucket at a time on their first 30 bytes, ties resolved by the rank of the 30 bytes at offset 20 (both in one key;
-   where that ties, the rank is compared by itself). Of each class the smallest document stays and the suffixes of all others are marked. The buckets are dealt out in ``passes`` over
-   the texts, so that only a part of the suffixes is on disk at any time.
-3. Each document's marked suffixes cover the bytes that go.
-
-Ranks are 64-bit keys of their 30 bytes rather than dense numbers, so buckets need no common numbering; a class is
-told by two such keys. Every task first settles what it can by itself (strings that its own documents share) and hands
-on one document for each class, so a passage in a third of all documents reaches a bucket once a task. Buckets are
-ranges of hashed keys, as many as the bytes need; a task holds one bucket, one block of texts or one document.
-Whole copies of a document are told by their SHA-256 and aren't sorted.
+only be told apart to that depth, so they are dealt to buckets and each bucket is sorted by itself:
+
+1. Dealing. A suffix's anchor is the least hash of the 16-byte strings within its first 50 bytes: equal suffixes have
+   one anchor, and neighbours mostly share theirs. Runs of neighbours with one anchor travel together, so a run of n
+   suffixes costs n + 49 bytes. Buckets are remainders of the anchors. Buckets that would outgrow a task (an anchor that
+   very many different runs share) are found by a count over all texts before, and their suffixes are dealt one by one,
+   by a hash of their 50 bytes; all that such a bucket then holds often is copies, which fold.
+2. Folding. Equal runs (compared byte by byte) are kept once, for the smallest document that has them; in all others
+   every suffix of the run is marked. Each task does so before it hands on, so a passage in a third of all documents
+   reaches its bucket once a task; each bucket does so again.
+3. Cover sample. In a bucket's text, positions whose remainder by 21 is in a difference cover ({0, 1, 4, 14, 16}: every
+   difference occurs) are sampled. Two equal suffixes hold, at some offset under 21, two sampled positions with 30 bytes
+   in common; suffixes without a sampled string that several documents share in reach have no tie and are left out.
+   The samples in reach of the others are ranked by their bytes, to depth 56.
+4. Suffixes. They are sorted by their first 24 bytes. Those that still tie are ordered by a three-way quicksort whose
+   comparison is one of ranks: at the offset where both are sampled. Neighbours in the order are then compared to 50
+   bytes; of each class the smallest document stays and the suffixes of all others are marked. Hashes only choose where
+   to look; what is marked has been compared byte by byte.
+5. Each document's marked suffixes cover the bytes that go: texts are shuffled once, to meet their marks.
+
+A task holds one bucket, a few MB of texts or one document.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +35,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, slices, sorted_groups
+from quillon.llm.common import bitmap, materialize, release, slices
 
-LENGTH, PERIOD, RANKED = 50, 21, 30
+LENGTH, PERIOD, RANKED, GRAM = 50, 21, 30, 16
+LEAD, DEPTH = (0, 8, 16), tuple(range(0, 56, 8))  # words of a suffix sorted at first, words of a ranked sample
 #: A difference cover: every remainder by 21 is a difference of two of these.
 COVER = (0, 1, 4, 14, 16)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
-BATCH = 2_000_000  # sampled or marked positions that a task gathers before it hands them on
+#: The offset at which positions of two remainders are both sampled.
+MEETS = np.array([[next(d for d in range(PERIOD) if IN_COVER[(a + d) % PERIOD] and IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
+PIECE = 1 << 22  # bytes of text that are cut into runs at a time; longer documents come in pieces
+HELD = 24 << 20  # bytes of different runs that a task gathers before it hands them on
+PAD = bytes(128)
 PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "bucket long, kind int, payload binary"
+RUNS, MARKS = 0, 1
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).data for a in arrays))
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -67,70 +73,171 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def eights(raw: np.ndarray) -> np.ndarray:
+def words_of(raw: np.ndarray, order: str = "<") -> np.ndarray:
     """Each position's eight bytes as a number, read in place (positions near the end are left out)."""
-    return np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw.data, strides=(1,))
+    return np.ndarray((len(raw) - 7,), np.dtype(f"{order}u8"), raw.data, strides=(1,))
+
+
+def string_keys(eight: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` bytes (at least 8) that start at the given positions."""
+    key = np.full(len(at), size, np.uint64)
+    for k in (*range(0, size - 8, 8), size - 8):
+        key = mixed((key ^ eight[at + k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    return key
+
+
+def anchors(eight: np.ndarray, n: int, piece: int = 1 << 17) -> np.ndarray:
+    """For each of the first n positions, the least hash of the 16-byte strings within its 50 bytes."""
+    out = np.empty(n, np.uint32)
+    for lo in range(0, n, piece):
+        hi = min(n, lo + piece)
+        m = hi - lo + LENGTH - GRAM
+        x = eight[lo : lo + m] * np.uint64(0x9E3779B97F4A7C15)
+        x += eight[lo + 8 : lo + 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x >>= np.uint64(32)
+        h = x.astype(np.uint32)
+        for step in (1, 2, 4, 8, 16, LENGTH - GRAM - 31):  # windows of 2, 4, 8, 16, 32 and 35
+            h = np.minimum(h[:-step], h[step:])
+        out[lo:hi] = h
+    return out
 
 
-def rank_keys(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit keys of the 30 bytes that start at the given positions."""
-    k = mixed(eight[at] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    k = mixed((k ^ eight[at + 8]) * np.uint64(0xC2B2AE3D27D4EB4F))
-    k = mixed((k ^ eight[at + 16]) * np.uint64(0x9FB21C651E98DF25))
-    return mixed((k ^ eight[at + RANKED - 8]) * np.uint64(0x165667B19E3779F9) + np.uint64(7))
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(anchor.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
 class Texts:
-    """Some documents side by side."""
-
-    def __init__(self, ids: list[int], hashes: list[int], texts: list[bytes]):
-        self.ids, self.hashes = np.array(ids, np.int64), np.array(hashes, np.int64)
-        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.end = np.cumsum(self.size)
-        self.start = self.end - self.size
-        self.raw = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
-        self.eight = eights(self.raw)
-
-    def doc(self, at: np.ndarray) -> np.ndarray:
-        """The document of each of some positions in order."""
-        return np.repeat(np.arange(len(self.end)), np.diff(np.searchsorted(at, self.end), prepend=0))
-
-    def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """(document, position in the buffer) of the cover sample."""
-        at = np.flatnonzero(np.resize(IN_COVER, int(self.end[-1]) if len(self.end) else 0))
-        doc = self.doc(at)
-        fits = at + RANKED <= self.end[doc]
-        return doc[fits], at[fits]
-
-    def near(self, doc: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, position in the buffer) of the suffixes with a shared rank at most PERIOD - 1 bytes on."""
-        size = int(self.end[-1])
-        steps = np.bincount(self.start[doc] + np.maximum(ranked - (PERIOD - 1), 0), minlength=size + 1)
-        steps -= np.bincount(self.start[doc] + ranked + 1, minlength=size + 1)
-        at = np.flatnonzero(steps[:size].cumsum())
-        doc = self.doc(at)
-        fits = at + LENGTH <= self.end[doc]
-        return doc[fits], at[fits]
-
-
-def by_document(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hashes: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """(block, payload) of positions in documents; a block's documents are those with its remainder of the hash."""
-    order = np.argsort(doc.astype(np.int64) << 32 | pos)
-    order = order[np.argsort((hashes % blocks)[doc[order]], kind="stable")]
-    doc, pos = doc[order], pos[order]
-    block = (hashes % blocks)[doc]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
-        if b > a:
-            d = doc[a:b]
-            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            p = pos[a:b].astype(np.uint32)
-            yield int(block[a]), pack(ids[d[first]], hashes[d[first]], np.diff(np.append(first, b - a)).astype(np.uint32), (p & 0xFFFF).astype(np.uint16), (p >> 16).astype(np.uint16))
-
-
-def read_positions(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, hashes, counts, low, high = unpack(payload, np.int64, np.int64, np.uint32, np.uint16, np.uint16)
-    return ids, hashes, counts, low.astype(np.int64) | high.astype(np.int64) << 16
+    """Some documents, or pieces of them, side by side, cut into runs of suffixes with one anchor."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        self.ids, self.hashes, self.offset = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        size = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        self.raw = np.frombuffer(b"".join([*(r[3] for r in rows), PAD]), np.uint8)
+        self.eight = words_of(self.raw)
+        n = int(self.end[-1])
+        anchor = anchors(self.eight, n)
+        cut = np.empty(n, bool)
+        cut[0] = True
+        np.not_equal(anchor[1:], anchor[:-1], out=cut[1:])
+        cut[self.start] = True
+        cut[np.maximum(self.end - LENGTH + 1, self.start)] = True
+        first = np.flatnonzero(cut)
+        row = np.searchsorted(self.start, first, "right") - 1
+        count = np.diff(np.append(first, n))
+        fits = first + LENGTH <= self.end[row]
+        self.first, self.count, self.row, self.anchor = first[fits], count[fits], row[fits], anchor[first[fits]]
+
+    def dealt(self, buckets: int, crowded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first position, suffixes, row, bucket) of runs; those of crowded buckets are cut into single suffixes."""
+        first, count, row, bucket = self.first, self.count, self.row, bucket_of(self.anchor, buckets)
+        if crowded:
+            bits = np.frombuffer(crowded, np.uint8)
+            over = (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+            if over.any():
+                n = count[over]
+                each = np.repeat(first[over] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                alone = buckets + (string_keys(self.eight, each, LENGTH) % np.uint64(buckets)).astype(np.int64)
+                first, row = np.concatenate([first[~over], each]), np.concatenate([row[~over], np.repeat(row[over], n)])
+                count, bucket = np.concatenate([count[~over], np.ones(len(each), np.int64)]), np.concatenate([bucket[~over], alone])
+        return first, count, row, bucket
+
+
+def taken(raw: np.ndarray, first: np.ndarray, size: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of some sizes at some positions, one after the other, and where each ends."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for lo in range(0, len(first), step):
+        s, e = size[lo : lo + step], ends[lo : lo + step]
+        base = int(e[0] - s[0])
+        at = np.repeat((first[lo : lo + step] - (e - s - base)).astype(np.int64), s)
+        at += np.arange(len(at))
+        out[base : int(e[-1])] = raw[at]
+    return out, ends
+
+
+class Runs:
+    """Different runs, each with its places in the smallest document that has it."""
+
+    def __init__(self, strings: pa.Array, bucket: np.ndarray, run: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray):
+        self.strings, self.bucket, self.run, self.doc, self.h, self.at = strings, bucket, run, doc, h, at
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.frombuffer(self.strings.buffers()[1], np.int32, len(self.strings) + 1, self.strings.offset * 4).astype(np.int64)
+
+
+def as_strings(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def folded(parts: list[Runs]) -> tuple[Runs, tuple[np.ndarray, ...]]:
+    """Equal runs kept once, at the places of the smallest document; and the marks (doc, h, first, n) of all others."""
+    base = np.cumsum([0, *(len(p.strings) for p in parts)])
+    coded = pa.concat_arrays([p.strings for p in parts]).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    run = codes[np.concatenate([p.run + b for p, b in zip(parts, base, strict=False)])]
+    doc, h, at = (np.concatenate([getattr(p, k) for p in parts]) for k in ("doc", "h", "at"))
+    bucket = np.empty(len(coded.dictionary), np.int64)
+    bucket[codes] = np.concatenate([p.bucket for p in parts])
+    least = np.full(len(bucket), np.iinfo(np.int64).max)
+    np.minimum.at(least, run, doc)
+    own = doc == least[run]
+    out = Runs(coded.dictionary, bucket, run[own], doc[own], h[own], at[own])
+    n = np.diff(out.ends) - LENGTH + 1
+    return out, (doc[~own], h[~own], at[~own], n[run[~own]])
+
+
+def ranges_of(groups: np.ndarray) -> zip:
+    """Where each group of equal neighbours starts and ends."""
+    cuts = (np.flatnonzero(np.diff(groups)) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(groups)], strict=True) if len(groups) else zip()
+
+
+def packed_runs(runs: Runs) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, RUNS, payload) of each bucket."""
+    order = np.argsort(runs.bucket, kind="stable")
+    ends = runs.ends
+    size = np.diff(ends)
+    raw = np.frombuffer(runs.strings.buffers()[2], np.uint8)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by = np.argsort(place[runs.run], kind="stable")
+    run, doc, h, at = place[runs.run[by]], runs.doc[by], runs.h[by], runs.at[by]
+    for a, b in ranges_of(runs.bucket[order]):
+        own = order[a:b]
+        x, y = np.searchsorted(run, [a, b])
+        ids, which = np.unique(np.stack([doc[x:y], h[x:y]]), axis=1, return_inverse=True) if h[x:y].any() else (None, None)
+        if ids is None:
+            only, which = np.unique(doc[x:y], return_inverse=True)
+            ids = np.stack([only, np.zeros_like(only)])
+        data, _ = taken(raw, ends[own], size[own])
+        yield int(runs.bucket[own[0]]), RUNS, pack(data, size[own].astype(np.uint32), ids[0], ids[1], np.diff(run[x:y], prepend=a).astype(np.uint32), which.ravel().astype(np.uint32), at[x:y].astype(np.uint32))
+
+
+def read_runs(bucket: int, payload: bytes) -> Runs:
+    data, size, ids, hashes, step, which, at = unpack(payload, np.uint8, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32)
+    return Runs(as_strings(data, np.cumsum(size, dtype=np.int64)), np.full(len(size), bucket), np.cumsum(step, dtype=np.int64), ids[which], hashes[which], at.astype(np.int64))
+
+
+def packed_marks(marks: list[tuple[np.ndarray, ...]], blocks: int, buckets: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(block, MARKS, payload) by the documents' blocks; with ``buckets``, on their way through a bucket."""
+    doc, h, first, n = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((first, h, doc, doc % blocks))
+    doc, h, first, n = doc[order], h[order], first[order], n[order]
+    for a, b in ranges_of(doc % blocks):
+        d, x = doc[a:b], h[a:b]
+        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])]))
+        block = int(d[0] % blocks)
+        yield block if buckets is None else block % buckets, MARKS, pack(d[start], x[start], np.diff(np.append(start, b - a)).astype(np.uint32), first[a:b].astype(np.uint32), n[a:b].astype(np.uint32))
+
+
+def read_marks(payload: bytes) -> list[np.ndarray]:
+    return unpack(payload, np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
 
 def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -146,185 +253,215 @@ def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), PACKED.types, strict=True)], schema=PACKED)
 
 
-class Gathered:
-    """Keys of positions that a task has seen, settled and handed on by bucket when there are enough."""
-
-    def __init__(self, buckets: int, blocks: int, smaller_only: bool, part: tuple[int, int] = (0, 1)):
-        self.buckets, self.blocks, self.smaller_only, self.part = buckets, blocks, smaller_only, part
-        self.parts: list[tuple] = []
-        self.ids: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
-        self.docs = self.n = 0
-
-    def add(self, texts: Texts, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, more: np.ndarray) -> None:
-        if self.part[1] > 1:  # the buckets of this pass
-            own = (key % np.uint64(self.buckets)) % np.uint64(self.part[1]) == self.part[0]
-            doc, pos, key, more = doc[own], pos[own], key[own], more[own] if len(more) else more
-        self.parts.append((doc.astype(np.int32) + self.docs, pos.astype(np.uint32), key, more))
-        self.ids.append(texts.ids)
-        self.hashes.append(texts.hashes)
-        self.docs += len(texts.ids)
-        self.n += len(pos)
-
-    def flush(self) -> Iterator[tuple[int, int, bytes]]:
-        """kind 1: positions found to be shared (or, for suffixes, to go), by block of documents; kind 0: the smallest
-        document's positions of each class, by bucket."""
-        if not self.n:
-            return
-        doc, pos, key, more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ids, hashes = np.concatenate(self.ids), np.concatenate(self.hashes)
-        self.parts, self.ids, self.hashes, self.docs, self.n = [], [], [], 0, 0
-        found, least = settle(key, more, ids[doc], self.smaller_only)
-        for block, payload in by_document(doc[found], pos[found], ids, hashes, self.blocks):
-            yield block % self.buckets, 1, payload
-        doc, pos, key, more = doc[least], pos[least], key[least], more[least] if len(more) else more
-        bucket = (key % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket << 32 | doc, kind="stable")
-        doc, pos, key, bucket, more = doc[order], pos[order], key[order] // np.uint64(self.buckets), bucket[order], more[order] if len(more) else more
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-            if b > a:
-                d = doc[a:b]
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                k = key[a:b]
-                p = pos[a:b]
-                yield int(bucket[a]), 0, pack(ids[d[first]], hashes[d[first]], np.diff(np.append(first, b - a)).astype(np.uint32), (p & 0xFFFF).astype(np.uint16), (p >> 16).astype(np.uint16), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8) if len(more) else np.zeros(0, np.uint8), more[a:b].astype(np.uint32))
-
-
-def by_class(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings classes together, and where each class starts in it."""
-    order = np.argsort(key)
-    k = key[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    if len(more):
-        m = more[order]
-        if ((m[1:] != m[:-1]) & ~new[1:]).any():  # a tie of the first key that the second resolves
-            order = np.lexsort((more, key))
-            k, m = key[order], more[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])
-    return order, np.flatnonzero(new)
-
-
-def settle(key: np.ndarray, more: np.ndarray, ids: np.ndarray, smaller_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of classes with several documents (``smaller_only``: without the smallest document's), and those of
-    each class's smallest document."""
-    if not len(key):
-        return (np.zeros(0, np.int64),) * 2
-    order, first = by_class(key, more)
-    own = ids[order]
-    size = np.diff(np.append(first, len(key)))
-    low = np.repeat(np.minimum.reduceat(own, first), size)
-    if smaller_only:
-        found = own != low
-    else:
-        found = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), size)
-    return order[found], order[own == low]
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
+    """Documents of (doc_id, h, text binary) batches, some MB at a time; pieces of a longer one overlap by 49 bytes."""
+    rows, size = [], 0
+    for batch in slices(batches):
+        for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+            for lo in range(0, max(len(t) - LENGTH + 1, 0), PIECE):
+                rows.append((i, h, lo, t[lo : lo + PIECE + LENGTH - 1] if len(t) > PIECE else t))
+                size += len(rows[-1][3])
+                if size > PIECE:
+                    yield Texts(rows)
+                    rows, size = [], 0
+    if rows:
+        yield Texts(rows)
 
 
-def _sample(buckets: int, blocks: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        held = Gathered(buckets, blocks, False)
-        for texts in _texts(batches):
-            doc, at = texts.sample()
-            held.add(texts, doc, at - texts.start[doc], rank_keys(texts.eight, at), np.zeros(0, np.uint64))
-            if held.n > BATCH:
-                yield from held.flush()
-        yield from held.flush()
+def _sizes(buckets: int):
+    """(bucket, bytes): what runs would weigh in each bucket."""
 
-    return lambda batches: _rows(rows(batches))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        for texts in _texts(batches):
+            bucket, at = np.unique(bucket_of(texts.anchor, buckets), return_inverse=True)
+            for b, n in zip(bucket.tolist(), np.bincount(at, texts.count + LENGTH - 1).astype(np.int64).tolist(), strict=True):
+                held[b] = held.get(b, 0) + n
+            if len(held) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["bucket", "bytes"])
+                held = {}
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["bucket", "bytes"])
 
+    return run
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[Texts]:
-    """Documents of (doc_id, h, text binary) batches, some MB at a time; a longer document comes alone."""
-    ids, hashes, texts, size = [], [], [], 0
-    for batch in slices(batches):
-        for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
-            ids.append(i), hashes.append(h), texts.append(t)
-            size += len(t)
-            if size > most:
-                yield Texts(ids, hashes, texts)
-                ids, hashes, texts, size = [], [], [], 0
-    if texts:
-        yield Texts(ids, hashes, texts)
 
+def _deal(buckets: int, blocks: int, crowded):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        held: list[Runs] = []
+        marks: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
-def _sort_buckets(blocks: int, smaller_only: bool):
-    """One bucket at a time: what is shared (or goes) in it, by block of documents."""
+        def flush() -> Iterator[tuple[int, int, bytes]]:
+            runs, found = folded(held)
+            yield from packed_runs(runs)
+            yield from packed_marks([*marks, found], blocks, buckets)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        for table in sorted_groups(batches, "bucket"):
-            buckets, kinds, payloads = (table.column(c).to_pylist() for c in PACKED.names)
-            at = 0
-            while at < len(buckets):
-                stop = at
-                parts = []
-                while stop < len(buckets) and buckets[stop] == buckets[at]:
-                    if kinds[stop]:
-                        ids, hashes, *_ = read_positions(payloads[stop])
-                        yield int(hashes[0] % blocks), 1, payloads[stop]
-                    else:
-                        parts.append(unpack(payloads[stop], np.int64, np.int64, np.uint32, np.uint16, np.uint16, np.uint32, np.uint8, np.uint32))
-                    stop += 1
-                at = stop
-                if not parts:
-                    continue
-                ids, hashes, counts, low, high, key, top, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-                del parts
-                doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-                if len(top):
-                    key = key.astype(np.uint64) | top.astype(np.uint64) << np.uint64(32)
-                found, _ = settle(key, more, ids[doc], smaller_only)
-                yield from ((b, 1, p) for b, p in by_document(doc[found], low[found].astype(np.int64) | high[found].astype(np.int64) << 16, ids, hashes, blocks))
+        for texts in _texts(batches):
+            first, count, row, bucket = texts.dealt(buckets, crowded.value)
+            if not len(first):
+                continue
+            cut = max(1, -(-int((count + LENGTH).sum()) // HELD))
+            for part in np.array_split(np.arange(len(first)), cut):  # single suffixes weigh 50 times their text
+                data, ends = taken(texts.raw, first[part], count[part] + LENGTH - 1)
+                own = row[part]
+                runs, found = folded([Runs(as_strings(data, ends), bucket[part], np.arange(len(part)), texts.ids[own], texts.hashes[own], first[part] - texts.start[own] + texts.offset[own])])
+                held.append(runs)
+                marks.append(found)
+                size += int(runs.ends[-1])
+                if size > HELD:
+                    yield from flush()
+                    held, marks, size = [], [], 0
+        if held:
+            yield from flush()
 
     return lambda batches: _rows(rows(batches))
 
 
-def _with_positions(batches: Iterator[pa.RecordBatch], fn):
-    """Blocks sorted by (block, kind): gives fn each row of texts with the positions of its block, by (id, hash)."""
-    block, known = None, {}
-    for batch in slices(batches):
-        cols = [batch.column(c).to_pylist() for c in ("block", "kind", "payload", "doc_id", "h", "text")]
-        for b, kind, payload, i, h, text in zip(*cols, strict=True):
-            if b != block:
-                block, known = b, {}
-            if kind == 0:
-                known[i, h] = None  # a copy
-            elif kind == 1:
-                ids, hashes, counts, pos = read_positions(payload)
-                for x, y, p in zip(ids.tolist(), hashes.tolist(), np.split(pos, np.cumsum(counts)[:-1]), strict=True):
-                    known.setdefault((x, y), []).append(p.astype(np.uint32))
-            else:
-                yield from fn(i, h, text, known)
-
-
-def _suffixes(buckets: int, blocks: int, part: tuple[int, int]):
+def sampled(eight: np.ndarray, ends: np.ndarray, runs: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The sampled positions of a bucket's text whose 30 bytes stand in runs of several documents."""
+    at = (np.arange(0, int(ends[-1]), PERIOD)[:, None] + np.array(COVER)).ravel()
+    at = at[: np.searchsorted(at, ends[-1])]
+    run = runs[at]
+    fits = at + RANKED <= ends[run + 1]
+    at, run = at[fits], run[fits]
+    if not len(at):
+        return at
+    key = string_keys(eight, at, RANKED)
+    order = np.argsort(key)
+    k, doc = key[order], owner[run[order]]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    return at[order[np.repeat(several, np.diff(np.append(first, len(k))))]]
+
+
+def in_reach(ends: np.ndarray, runs: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The suffixes of 50 bytes with a shared sample at most PERIOD - 1 bytes on."""
+    size = int(ends[-1])
+    steps = np.bincount(np.maximum(shared - (PERIOD - 1), 0), minlength=size + 1)
+    steps -= np.bincount(shared + 1, minlength=size + 1)
+    at = np.flatnonzero(steps[:size].cumsum())
+    return at[at + LENGTH <= ends[runs[at] + 1]]
+
+
+def cover_ranks(big: np.ndarray, suffixes: np.ndarray, size: int) -> np.ndarray:
+    """At each sampled position in reach of the suffixes, its rank by 56 bytes."""
+    wanted = np.zeros(size + PERIOD, bool)
+    for d in range(PERIOD):
+        wanted[suffixes[IN_COVER[(suffixes + d) % PERIOD]] + d] = True
+    at = np.flatnonzero(wanted)
+    words = [big[at + k].astype(np.uint64) for k in DEPTH]
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(at), bool)
+    for w in words:
+        s = w[order]
+        new[1:] |= s[1:] != s[:-1]
+    ranks = np.full(size + PERIOD, -1, np.int64)
+    ranks[at[order]] = np.cumsum(new)
+    return ranks
+
+
+def by_ranks(suffixes: np.ndarray, group: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The suffixes, those of each group (equal leading bytes, side by side) in the order of their strings: a quicksort of
+    all groups at once, whose comparisons are of cover ranks."""
+    out, at, pos = suffixes.copy(), np.arange(len(suffixes)), suffixes
+    r = np.random.default_rng(len(suffixes))
+    while len(at):
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        pivot = np.repeat(pos[first + (r.random(len(first)) * size).astype(np.int64)], size)
+        d = MEETS[pos % PERIOD, pivot % PERIOD]
+        side = np.repeat(np.arange(len(first)), size) * 3 + np.sign(ranks[pos + d] - ranks[pivot + d]) + 1
+        order = np.argsort(side, kind="stable")
+        pos, side = pos[order], side[order]
+        out[at] = pos
+        size = np.bincount(side)
+        left = (side % 3 != 1) & (size[side] > 1)
+        at, pos, group = at[left], pos[left], side[left]
+    return out
+
+
+def ties(raw: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes whose 50 bytes also start in a run of a smaller document. ``raw`` holds the runs side
+    by side, from ``ends[k]`` to ``ends[k + 1]``, and some bytes more; ``owner`` has each run's document."""
+    none = np.zeros(0, np.int64)
+    if len(owner) < 2 or owner.min() == owner.max():
+        return none
+    runs = np.repeat(np.arange(len(owner), dtype=np.int32), np.diff(ends))  # of each position
+    shared = sampled(words_of(raw), ends, runs, owner)
+    at = in_reach(ends, runs, shared) if len(shared) else none
+    if not len(at):
+        return none
+    big = words_of(raw, ">")
+    lead = [big[at + k].astype(np.uint64) for k in LEAD]
+    order = np.lexsort(lead[::-1])
+    new = np.zeros(len(at), bool)
+    new[0] = True
+    for w in lead:
+        s = w[order]
+        new[1:] |= s[1:] != s[:-1]
+    at = at[order]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    doc = owner[runs[at]]
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    tied = np.repeat(several, size)
+    at, group = at[tied], np.repeat(np.arange(several.sum()), size[several])
+    if not len(at):
+        return none
+    at = by_ranks(at, group, cover_ranks(big, at, int(ends[-1])))
+    same = group[1:] == group[:-1]
+    for k in (24, 32, 40, 42):
+        w = big[at + k]
+        same &= w[1:] == w[:-1]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    doc = owner[runs[at]]
+    return at[doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(at))))]
+
+
+def settled(parts: list[Runs]) -> list[tuple[np.ndarray, ...]]:
+    """All marks of a bucket."""
+    runs, found = folded(parts)
+    ends = runs.ends
+    owner = np.empty(len(runs.strings), np.int64)
+    owner[runs.run] = runs.doc
+    raw = np.frombuffer(runs.strings.buffers()[2], np.uint8, int(ends[-1]))
+    at = np.sort(ties(np.concatenate([raw, np.frombuffer(PAD, np.uint8)]), ends, owner))
+    if not len(at):
+        return [found]
+    run = np.searchsorted(ends, at, "right") - 1
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1])]))
+    n, run = np.diff(np.append(first, len(at))), run[first]
+    into = at[first] - ends[run]
+    by = np.argsort(runs.run, kind="stable")  # every place of the run
+    lo, hi = np.searchsorted(runs.run[by], run, "left"), np.searchsorted(runs.run[by], run, "right")
+    times = hi - lo
+    place = by[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    return [found, (runs.doc[place], runs.h[place], runs.at[place] + np.repeat(into, times), np.repeat(n, times))]
+
+
+def _sort_buckets(blocks: int):
+    """One bucket at a time: the marks of its suffixes, by block of documents."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        held, some, size = Gathered(buckets, blocks, True, part), [], 0
-
-        def take() -> None:
-            texts = Texts(*([x[j] for x in some] for j in range(3)))
-            ranked = np.concatenate([x[3] for x in some])
-            doc, at = texts.near(np.repeat(np.arange(len(some)), [len(x[3]) for x in some]), ranked)
-            tie = rank_keys(texts.eight, at + LENGTH - RANKED)
-            both = mixed(rank_keys(texts.eight, at) + tie * np.uint64(0x9E3779B97F4A7C15))
-            held.add(texts, doc, at - texts.start[doc], both, tie >> np.uint64(32))
-
-        def one(i, h, text, known):
-            nonlocal some, size
-            ranked = known.get((i, h))
-            if ranked and len(text) >= LENGTH:
-                some.append((i, h, text, np.concatenate(ranked).astype(np.int64)))
-                size += len(text)
-            if size > 2 << 20:
-                take()
-                some, size = [], 0
-                if held.n > BATCH // 2:
-                    yield from held.flush()
-
-        yield from _with_positions(batches, one)
-        if some:
-            take()
-        yield from held.flush()
+        bucket, parts, marks, size = None, [], [], 0
+        for batch in slices(batches, 16):
+            for b, kind, payload in zip(*(batch.column(c).to_pylist() for c in PACKED.names), strict=True):
+                if b != bucket:
+                    if parts:
+                        marks += settled(parts)
+                    bucket, parts = b, []
+                    if sum(len(m[0]) for m in marks) > 1 << 19:
+                        yield from packed_marks(marks, blocks)
+                        marks = []
+                if kind == MARKS:
+                    ids, *_ = read_marks(payload)
+                    yield int(ids[0] % blocks), MARKS, payload
+                else:
+                    parts.append(read_runs(b, payload))
+        if parts:
+            marks += settled(parts)
+        yield from packed_marks(marks, blocks)
 
     return lambda batches: _rows(rows(batches))
 
@@ -333,29 +470,39 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 RESULT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
 
 
-def covered(size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs that strings at ``starts`` cover."""
-    starts = np.unique(starts).astype(np.int64)
-    if not len(starts):
-        return starts, starts
-    new = np.concatenate([[True], starts[1:] > starts[:-1] + LENGTH])
-    first = np.flatnonzero(new)
-    return starts[first], np.minimum(starts[np.append(first[1:], len(starts)) - 1] + LENGTH, size)
+def covered(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that marked suffixes cover."""
+    if not len(first):
+        return first, first
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], np.maximum.accumulate((first + n + LENGTH - 1)[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return a[new], b[np.append(new[1:], len(b)) - 1]
 
 
 def _cut(texts_too: bool):
-    def one(i, h, text, known):
-        marks = known.get((i, h), ()) if i is not None else ()
-        if marks is None:
-            a, b = (np.array([0]), np.array([len(text)])) if len(text) >= LENGTH else (np.zeros(0, np.int64),) * 2
-        else:
-            a, b = covered(len(text), np.concatenate(marks)) if len(marks) else (np.zeros(0, np.int64),) * 2
-        kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
-        yield i, len(text), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if texts_too else None, [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)] if texts_too else None
+    """Rows sorted by (block, kind): a block's marks, then its texts."""
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        block, known = None, {}
+        for batch in slices(batches, 128):
+            for b, kind, payload, i, h, text in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "payload", "doc_id", "h", "text")), strict=True):
+                if b != block:
+                    block, known = b, {}
+                if kind == MARKS:
+                    ids, hashes, counts, first, n = read_marks(payload)
+                    cuts = np.cumsum(counts, dtype=np.int64)[:-1]
+                    for x, y, p, q in zip(ids.tolist(), hashes.tolist(), np.split(first, cuts), np.split(n, cuts), strict=True):
+                        known.setdefault((x, y), []).append((p, q))
+                    continue
+                marks = known.get((i, h), ()) if i is not None else ()
+                a, c = covered(*(np.concatenate(x).astype(np.int64) for x in zip(*marks, strict=True))) if marks else (np.zeros(0, np.int64),) * 2
+                kept = b"".join(text[x:y] for x, y in zip([0, *c.tolist()], [*a.tolist(), len(text)], strict=True))
+                yield i, len(text), int((c - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if texts_too else None, [{"start": x, "end": y} for x, y in zip(a.tolist(), c.tolist(), strict=True)] if texts_too else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for row in _with_positions(batches, one):
+        for row in results(batches):
             held.append(row)
             size += len(row[5] or b"") + 100
             if size > 8 << 20:
@@ -367,50 +514,46 @@ def _cut(texts_too: bool):
     return run
 
 
-def free_shuffles(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done, before the next pass needs the disk."""
-    for _ in range(2):  # the first round frees the plans, the second the shuffles that they held
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
-        time.sleep(1)
+def prime_from(n: int) -> int:
+    """The least prime that is n or more."""
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return max(n, 2)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_positions: int = 2_000_000, passes: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_bytes: int = 4 << 20, crowded_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) for each row of ``docs``.
 
     Null text counts as empty. Rows of one id don't remove each other's bytes; rows without an id lose none and remove
     none. Strings are judged on the input, so what goes doesn't hide other repeats. Texts under 50 bytes stay whole.
     Texts of 4 GB and more can't be numbered and fail. An empty table gives an empty result.
+
+    Buckets hold ``bucket_bytes`` of runs on average; one with over ``crowded_bytes`` is dealt by single suffixes. Which
+    buckets are is broadcast as one bit a bucket (a 32 millionth of the runs' bytes). Neither changes a result.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(1), F.col(id_col).cast("long"), text).alias("h"), text.alias("text"))
-    ids = materialize(rows.select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")))
+    spark = docs.sparkSession
+    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(i.alias("doc_id"), F.xxhash64(F.lit(1), i, text).alias("h"), text.alias("text"))
+    ids = materialize(rows.select("doc_id", "h", F.octet_length("text").cast("long").alias("n")))
     total = ids.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * len(COVER) // PERIOD // bucket_positions))
-    blocks = buckets
-    least = ids.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    copies = materialize(ids.join(least, "sha").where(F.col("doc_id") > F.col("least")).select("doc_id", "h").distinct())
+    several = materialize(ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b and doc_id is not null").select("doc_id"))
+    release(ids)
+    # a row is known by its id, and by its text's hash where the id has several texts
+    if several.isEmpty():
+        rows = rows.withColumn("h", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(several.select(F.col("doc_id").alias("_several")), F.col("doc_id") == F.col("_several"), "left").withColumn("h", F.when(F.col("_several").isNotNull(), F.col("h")).otherwise(F.lit(0).cast("long"))).drop("_several")
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-total * 4 // bucket_bytes))  # runs weigh up to four times their texts
+    blocks = prime_from(max(shuffles, -(-total // (64 << 20))))  # ids in steps of anything fall on all blocks
     candidates = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    dealt = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    sample = candidates.join(copies, ["doc_id", "h"], "left_anti").mapInArrow(_sample(buckets, blocks), PACKED_SQL)
-    ranked = materialize(dealt(sample).mapInArrow(_sort_buckets(blocks, False), PACKED_SQL))
-    del sample
-    free_shuffles(docs)
-
-    def blocked(positions: DataFrame, texts_: DataFrame, *more: DataFrame) -> DataFrame:
-        parts = positions.select(F.col("bucket").alias("block"), F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("binary").alias("text"))
-        block = F.pmod("h", F.lit(blocks)).alias("block")
-        for c in more:
-            parts = parts.union(c.select(block, F.lit(0), F.lit(None).cast("binary"), "doc_id", "h", F.lit(None).cast("binary")))
-        parts = parts.union(texts_.select(block, F.lit(2), F.lit(None).cast("binary"), "doc_id", "h", "text"))
-        return parts.repartition(blocks, "block").sortWithinPartitions("block", "kind")
-
-    marked = None
-    for part in range(passes):
-        suffixes = blocked(ranked, candidates).mapInArrow(_suffixes(buckets, blocks, (part, passes)), PACKED_SQL)
-        found = materialize(dealt(suffixes).mapInArrow(_sort_buckets(blocks, True), PACKED_SQL))
-        del suffixes
-        free_shuffles(docs)
-        marked = found if marked is None else marked.union(found)
-    out = blocked(marked, rows, copies).mapInArrow(_cut(texts), RESULT_SQL)
+    sizes = candidates.mapInArrow(_sizes(buckets), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    crowded = spark.sparkContext.broadcast(bitmap(sizes.where(F.col("bytes") > crowded_bytes), "bucket", buckets))
+    runs = candidates.mapInArrow(_deal(buckets, blocks, crowded), PACKED_SQL)
+    parts = max(shuffles, -(-total * 4 // (64 << 20)))
+    marked = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(blocks), PACKED_SQL)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    both = marked.select(F.col("bucket").alias("block"), "kind", "payload", nothing("long").alias("doc_id"), nothing("long").alias("h"), nothing("binary").alias("text"))
+    both = both.union(rows.select(F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(blocks)).alias("block"), F.lit(MARKS + 1), nothing("binary"), "doc_id", "h", "text"))
+    out = both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_cut(texts), RESULT_SQL)
     return out if texts else out.drop("kept", "spans")

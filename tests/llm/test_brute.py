@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import types
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -173,7 +175,86 @@ def test_paragraphs_of_few_words(spark, sf_dir, texts):
     assert any(len(g) < 5 for p, s in sets.items() if u.find(p) != p for g in s)
 
 
-@pytest.mark.parametrize("options", [{}, {"passes": 3, "bucket_positions": 20_000}])
+def removed_by_brute_force(rows):
+    """Per row of (id, text): the mask of the bytes that go."""
+    least = {}
+    for i, t in rows:
+        raw = t.encode()
+        for k in range(len(raw) - 49):
+            g = raw[k : k + 50]
+            least[g] = min(least.get(g, i), i)
+    out = []
+    for i, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 49):
+            if least[raw[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        out.append((i, len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), sha(np.frombuffer(raw, np.uint8)[~gone].tobytes())))
+    return sorted(out)
+
+
+def removed(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs, texts=False, **options).collect())
+
+
+def test_suffixes_compares_bytes(spark, monkeypatch):
+    """Hashes that all collide remove nothing that isn't repeated; nor do strings built to collide under a chain of them."""
+    rows = [(1, "the quick brown fox jumps over the lazy dog tonight and"), (2, ";JT928!4e|tj4:]Hr the lazy dog tonight and more and more of it")]
+    rows += [(3, "x" * 49), (4, "x" * 60), (5, "y" + "x" * 55), (6, "the quick brown fox jumps over the lazy dog tonight an.")]
+    assert removed(spark, rows) == removed_by_brute_force(rows)
+    r = random.Random(8)
+    runs = sorted({bytes(r.choice(b"ab") for _ in range(r.randint(50, 90))) for _ in range(40)} | {b"ab" * 40, b"ab" * 41, b"b" + b"ab" * 30})
+    owner = np.array([r.randint(0, 5) for _ in runs])
+    ends = np.cumsum([0, *map(len, runs)])
+    least = {}
+    for s, o in zip(runs, owner, strict=True):
+        for k in range(len(s) - 49):
+            least[s[k : k + 50]] = min(least.get(s[k : k + 50], 9), o)
+    want = {int(e) + k for s, o, e in zip(runs, owner, ends, strict=False) for k in range(len(s) - 49) if least[s[k : k + 50]] < o}
+    raw = np.frombuffer(b"".join(runs) + suffix_dedup.PAD, np.uint8)
+    assert set(suffix_dedup.ties(raw, ends, owner).tolist()) == want and want
+    monkeypatch.setattr(suffix_dedup, "string_keys", lambda eight, at, size: np.zeros(len(at), np.uint64))
+    assert set(suffix_dedup.ties(raw, ends, owner).tolist()) == want
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 2_000, "crowded_bytes": 4_000}, {"crowded_bytes": 0}])
+def test_suffixes_of_crowded_texts(spark, options):
+    """Templates, periods, several texts of one id, repeated rows, pieces of long texts; every way of dealing agrees."""
+    r = random.Random(9)
+    template = " ".join(f"word{k}" for k in range(12))
+    rows = [(i, f"{template} {r.choice('pqrs')} and {r.randint(0, 9)} then {template}") for i in range(60)]
+    rows += [(7, "other text of seven: " + template * 2), (8, rows[8][1]), (100, "abc" * 400), (101, "abc" * 300 + "d" + "bca" * 50), (102, "z" * 3000), (90, "z" * 70)]
+    assert removed(spark, rows, **options) == removed_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("buckets,crowded", [(1, b""), (7, b""), (7, b"\x2a"), (7, b"\x7f")])
+def test_suffixes_in_pieces(monkeypatch, buckets, crowded):
+    """The steps of one task each: texts cut into pieces, small flushes, crowded buckets."""
+    r = random.Random(10)
+    part = [" ".join(r.choice(["ab", "cde", "f", "ghijkl"]) for _ in range(30)) for _ in range(4)]
+    rows = [(i, " ".join(r.choice(part)[r.randint(0, 9) :] for _ in range(r.randint(1, 9)))) for i in range(40)] + [(100, "abc" * 400), (101, "abc" * 300 + "d" + "bca" * 50)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    monkeypatch.setattr(suffix_dedup, "HELD", 2000)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array([t.encode() for _, t in rows], pa.binary())], ["doc_id", "h", "text"])
+
+    def by_key(batches):
+        return sorted((tuple(x.values()) for b in batches for x in b.to_pylist()), key=lambda x: x[:2])
+
+    def batch_of(found):
+        return iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), suffix_dedup.PACKED.types, strict=True)], schema=suffix_dedup.PACKED)])
+
+    dealt = by_key(suffix_dedup._deal(buckets, 3, types.SimpleNamespace(value=crowded))(iter([batch])))
+    marks = by_key(suffix_dedup._sort_buckets(3)(batch_of(dealt)))
+    both = sorted([(b, k, p, None, None, None) for b, k, p in marks] + [(i % 3, 2, None, i, 0, t.encode()) for i, t in rows], key=lambda x: x[:2])
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    both = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*both, strict=True), kinds, strict=True)], ["block", "kind", "payload", "doc_id", "h", "text"])
+    got = sorted(tuple(x.values())[:5] for b in suffix_dedup._cut(False)(iter([both])) for x in b.to_pylist())
+    assert got == removed_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 50_000, "crowded_bytes": 100_000}])
 def test_suffixes(spark, sf_dir, texts, options):
     seen, want = {}, {}
     for i in sorted(texts):
