@@ -3,11 +3,11 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Suffixes need
 only be told apart to that depth, so they are dealt to buckets and each bucket is sorted by itself:
 
-1. Dealing. A suffix's anchor is the least hash of the 16-byte strings within its first 50 bytes: equal suffixes have
+1. Dealing. A suffix's anchor is the least hash of the 12-byte strings within its first 50 bytes: equal suffixes have
    one anchor, and neighbours mostly share theirs. Runs of neighbours with one anchor travel together, so a run of n
    suffixes costs n + 49 bytes. Buckets are remainders of the anchors. Buckets that would outgrow a task (an anchor that
-   very many different runs share) are found by a count over all texts before, and their suffixes are dealt one by one,
-   by a hash of their 50 bytes; all that such a bucket then holds often is copies, which fold.
+   very many different runs share) are found by a count over all texts before; their suffixes are dealt anew, by anchors
+   of 28 bytes and, where those are crowded too, of all 50: then a bucket's crowd is copies, which fold.
 2. Folding. Equal runs (compared byte by byte) are kept once, for the smallest document that has them; in all others
    every suffix of the run is marked. Each task does so before it hands on, so a passage in a third of all documents
    reaches its bucket once a task; each bucket does so again.
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, materialize, release, slices
 
-LENGTH, PERIOD, RANKED, GRAM = 50, 21, 30, 16
+LENGTH, PERIOD, RANKED = 50, 21, 30
+GRAMS = (12, 28, LENGTH)  # sizes of the strings whose least hash is an anchor, from the first deal to the last
 LEAD, DEPTH = (0, 8, 16), tuple(range(0, 56, 8))  # words of a suffix sorted at first, words of a ranked sample
 #: A difference cover: every remainder by 21 is a difference of two of these.
 COVER = (0, 1, 4, 14, 16)
@@ -46,15 +47,16 @@ IN_COVER = np.isin(np.arange(PERIOD), COVER)
 MEETS = np.array([[next(d for d in range(PERIOD) if IN_COVER[(a + d) % PERIOD] and IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 PIECE = 1 << 22  # bytes of text that are cut into runs at a time; longer documents come in pieces
 HELD = 24 << 20  # bytes of different runs that a task gathers before it hands them on
+TOGETHER = 16 << 20  # bytes of texts that are packed at a time
 PAD = bytes(128)
 PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "bucket long, kind int, payload binary"
-RUNS, MARKS = 0, 1
+RUNS, MARKS, TEXTS = 0, 1, 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).data for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).data for a in arrays))
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -86,30 +88,34 @@ def string_keys(eight: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
-def anchors(eight: np.ndarray, n: int, piece: int = 1 << 17) -> np.ndarray:
-    """For each of the first n positions, the least hash of the 16-byte strings within its 50 bytes."""
+def anchors(eight: np.ndarray, n: int, gram: int, piece: int = 1 << 17) -> np.ndarray:
+    """For each of the first n positions, the least hash of the strings of ``gram`` bytes within its 50 bytes."""
     out = np.empty(n, np.uint32)
+    window = LENGTH - gram + 1
     for lo in range(0, n, piece):
         hi = min(n, lo + piece)
-        m = hi - lo + LENGTH - GRAM
+        m = hi - lo + window - 1
         x = eight[lo : lo + m] * np.uint64(0x9E3779B97F4A7C15)
-        x += eight[lo + 8 : lo + 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xD6E8FEB86659FD93)
+        for k in (*range(8, gram - 8, 8), gram - 8):
+            x ^= x >> np.uint64(31)
+            x += eight[lo + k : lo + k + m] * np.uint64(0xC2B2AE3D27D4EB4F)
+            x *= np.uint64(0xD6E8FEB86659FD93)
         x >>= np.uint64(32)
-        h = x.astype(np.uint32)
-        for step in (1, 2, 4, 8, 16, LENGTH - GRAM - 31):  # windows of 2, 4, 8, 16, 32 and 35
-            h = np.minimum(h[:-step], h[step:])
+        h, wide = x.astype(np.uint32), 1
+        while wide < window:
+            step = min(wide, window - wide)
+            h = np.minimum(h[: len(h) - step], h[step:])
+            wide += step
         out[lo:hi] = h
     return out
 
 
-def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(anchor.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+def is_set(bits: bytes, at: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 class Texts:
-    """Some documents, or pieces of them, side by side, cut into runs of suffixes with one anchor."""
+    """Some documents, or pieces of them, side by side."""
 
     def __init__(self, rows: list[tuple[int, int, int, bytes]]):
         self.ids, self.hashes, self.offset = (np.array([r[k] for r in rows], np.int64) for k in range(3))
@@ -118,32 +124,39 @@ class Texts:
         self.start = self.end - size
         self.raw = np.frombuffer(b"".join([*(r[3] for r in rows), PAD]), np.uint8)
         self.eight = words_of(self.raw)
-        n = int(self.end[-1])
-        anchor = anchors(self.eight, n)
-        cut = np.empty(n, bool)
+
+    def runs(self, gram: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first position, suffixes, anchor) of the runs of wanted suffixes with one anchor."""
+        anchor = anchors(self.eight, len(wanted), gram)
+        cut = np.empty(len(wanted), bool)
         cut[0] = True
         np.not_equal(anchor[1:], anchor[:-1], out=cut[1:])
+        cut[1:] |= wanted[1:] != wanted[:-1]
         cut[self.start] = True
-        cut[np.maximum(self.end - LENGTH + 1, self.start)] = True
         first = np.flatnonzero(cut)
-        row = np.searchsorted(self.start, first, "right") - 1
-        count = np.diff(np.append(first, n))
-        fits = first + LENGTH <= self.end[row]
-        self.first, self.count, self.row, self.anchor = first[fits], count[fits], row[fits], anchor[first[fits]]
-
-    def dealt(self, buckets: int, crowded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first position, suffixes, row, bucket) of runs; those of crowded buckets are cut into single suffixes."""
-        first, count, row, bucket = self.first, self.count, self.row, bucket_of(self.anchor, buckets)
-        if crowded:
-            bits = np.frombuffer(crowded, np.uint8)
-            over = (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
-            if over.any():
-                n = count[over]
-                each = np.repeat(first[over] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                alone = buckets + (string_keys(self.eight, each, LENGTH) % np.uint64(buckets)).astype(np.int64)
-                first, row = np.concatenate([first[~over], each]), np.concatenate([row[~over], np.repeat(row[over], n)])
-                count, bucket = np.concatenate([count[~over], np.ones(len(each), np.int64)]), np.concatenate([bucket[~over], alone])
-        return first, count, row, bucket
+        count = np.diff(np.append(first, len(wanted)))
+        own = wanted[first]
+        first, count = first[own], count[own]
+        return first, count, anchor[first]
+
+    def dealt(self, buckets: int, crowded: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first position, suffixes, bucket) of the runs of each deal: those of a deal's crowded buckets go to the next."""
+        wanted = np.ones(int(self.end[-1]), bool)
+        for e in self.end.tolist():
+            wanted[max(e - LENGTH + 1, 0) : e] = False
+        out = []
+        for deal, gram in enumerate(GRAMS[: len(crowded) + 1]):
+            first, count, anchor = self.runs(gram, wanted)
+            bucket = (mixed(anchor.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+            over = is_set(crowded[deal], bucket) if deal < len(crowded) else np.zeros(len(first), bool)
+            out.append((first[~over], count[~over], bucket[~over] + deal * buckets))
+            if not over.any():
+                break
+            steps = np.zeros(len(wanted) + 1, np.int8)
+            steps[first[over]] += 1
+            steps[first[over] + count[over]] -= 1
+            wanted = np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+        return out
 
 
 def taken(raw: np.ndarray, first: np.ndarray, size: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
@@ -198,30 +211,38 @@ def ranges_of(groups: np.ndarray) -> zip:
     return zip([0, *cuts], [*cuts, len(groups)], strict=True) if len(groups) else zip()
 
 
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high halves of 32 bits, apart: the high ones are mostly zero and pack away."""
+    return (x & 0xFFFF).astype(np.uint16), (x >> 16).astype(np.uint16)
+
+
+def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | high.astype(np.int64) << 16
+
+
 def packed_runs(runs: Runs) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, RUNS, payload) of each bucket."""
-    order = np.argsort(runs.bucket, kind="stable")
+    """(bucket, RUNS, payload) of each bucket; its runs in the order of their documents."""
     ends = runs.ends
     size = np.diff(ends)
     raw = np.frombuffer(runs.strings.buffers()[2], np.uint8)
+    owner = np.empty(len(size), np.int64)
+    owner[runs.run] = runs.doc
+    order = np.lexsort((owner, runs.bucket))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     by = np.argsort(place[runs.run], kind="stable")
-    run, doc, h, at = place[runs.run[by]], runs.doc[by], runs.h[by], runs.at[by]
+    run, h, at = place[runs.run[by]], runs.h[by], runs.at[by]
     for a, b in ranges_of(runs.bucket[order]):
         own = order[a:b]
         x, y = np.searchsorted(run, [a, b])
-        ids, which = np.unique(np.stack([doc[x:y], h[x:y]]), axis=1, return_inverse=True) if h[x:y].any() else (None, None)
-        if ids is None:
-            only, which = np.unique(doc[x:y], return_inverse=True)
-            ids = np.stack([only, np.zeros_like(only)])
         data, _ = taken(raw, ends[own], size[own])
-        yield int(runs.bucket[own[0]]), RUNS, pack(data, size[own].astype(np.uint32), ids[0], ids[1], np.diff(run[x:y], prepend=a).astype(np.uint32), which.ravel().astype(np.uint32), at[x:y].astype(np.uint32))
+        yield int(runs.bucket[own[0]]), RUNS, pack(data, *halves(size[own]), np.diff(owner[own], prepend=0), np.diff(run[x:y], prepend=a).astype(np.uint32), h[x:y], *halves(at[x:y]))
 
 
 def read_runs(bucket: int, payload: bytes) -> Runs:
-    data, size, ids, hashes, step, which, at = unpack(payload, np.uint8, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32)
-    return Runs(as_strings(data, np.cumsum(size, dtype=np.int64)), np.full(len(size), bucket), np.cumsum(step, dtype=np.int64), ids[which], hashes[which], at.astype(np.int64))
+    data, low, high, owner, step, h, low_at, high_at = unpack(payload, np.uint8, np.uint16, np.uint16, np.int64, np.uint32, np.int64, np.uint16, np.uint16)
+    size, run = whole(low, high), np.cumsum(step, dtype=np.int64)
+    return Runs(as_strings(data, np.cumsum(size)), np.full(len(size), bucket), run, np.cumsum(owner)[run], h, whole(low_at, high_at))
 
 
 def packed_marks(marks: list[tuple[np.ndarray, ...]], blocks: int, buckets: int | None = None) -> Iterator[tuple[int, int, bytes]]:
@@ -268,15 +289,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
         yield Texts(rows)
 
 
-def _sizes(buckets: int):
-    """(bucket, bytes): what runs would weigh in each bucket."""
+def _sizes(buckets: int, crowded):
+    """(bucket, bytes): what the runs of the last deal would weigh in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, int] = {}
+        earlier = [c.value for c in crowded]
         for texts in _texts(batches):
-            bucket, at = np.unique(bucket_of(texts.anchor, buckets), return_inverse=True)
-            for b, n in zip(bucket.tolist(), np.bincount(at, texts.count + LENGTH - 1).astype(np.int64).tolist(), strict=True):
-                held[b] = held.get(b, 0) + n
+            _, count, bucket = texts.dealt(buckets, earlier)[-1]
+            own, at = np.unique(bucket - len(earlier) * buckets, return_inverse=True)
+            if len(own) and own[0] >= 0:  # else no run came as far as the last deal
+                for b, n in zip(own.tolist(), np.bincount(at, count + LENGTH - 1).astype(np.int64).tolist(), strict=True):
+                    held[b] = held.get(b, 0) + n
             if len(held) > 1 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["bucket", "bytes"])
                 held = {}
@@ -291,6 +315,7 @@ def _deal(buckets: int, blocks: int, crowded):
         held: list[Runs] = []
         marks: list[tuple[np.ndarray, ...]] = []
         size = 0
+        bits = [c.value for c in crowded]
 
         def flush() -> Iterator[tuple[int, int, bytes]]:
             runs, found = folded(held)
@@ -298,26 +323,48 @@ def _deal(buckets: int, blocks: int, crowded):
             yield from packed_marks([*marks, found], blocks, buckets)
 
         for texts in _texts(batches):
-            first, count, row, bucket = texts.dealt(buckets, crowded.value)
-            if not len(first):
-                continue
-            cut = max(1, -(-int((count + LENGTH).sum()) // HELD))
-            for part in np.array_split(np.arange(len(first)), cut):  # single suffixes weigh 50 times their text
-                data, ends = taken(texts.raw, first[part], count[part] + LENGTH - 1)
-                own = row[part]
-                runs, found = folded([Runs(as_strings(data, ends), bucket[part], np.arange(len(part)), texts.ids[own], texts.hashes[own], first[part] - texts.start[own] + texts.offset[own])])
-                held.append(runs)
-                marks.append(found)
-                size += int(runs.ends[-1])
-                if size > HELD:
-                    yield from flush()
-                    held, marks, size = [], [], 0
+            for first, count, bucket in texts.dealt(buckets, bits):
+                cut = -(-int((count + LENGTH).sum()) // HELD)  # single suffixes weigh 50 times their text
+                for part in np.array_split(np.arange(len(first)), cut) if cut else ():
+                    data, ends = taken(texts.raw, first[part], count[part] + LENGTH - 1)
+                    own = np.searchsorted(texts.start, first[part], "right") - 1
+                    runs, found = folded([Runs(as_strings(data, ends), bucket[part], np.arange(len(part)), texts.ids[own], texts.hashes[own], first[part] - texts.start[own] + texts.offset[own])])
+                    held.append(runs)
+                    marks.append(found)
+                    size += int(runs.ends[-1])
+                    if size > HELD:
+                        yield from flush()
+                        held, marks, size = [], [], 0
         if held:
             yield from flush()
 
     return lambda batches: _rows(rows(batches))
 
 
+def _pack_texts(blocks: int):
+    """(block, TEXTS, payload): the documents of a block that a task has at hand, packed together."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[tuple[int, int, bytes]]:
+            for block, some in held.items():
+                ids, hashes, texts = zip(*some, strict=True)
+                yield block, TEXTS, pack(np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64), np.array(hashes, np.int64), np.array([len(t) for t in texts], np.uint32), np.frombuffer(b"".join(texts), np.uint8))
+
+        for batch in slices(batches):
+            for block, i, h, t in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "h", "text")), strict=True):
+                held.setdefault(block, []).append((i, h, t))
+                size += len(t) + 100
+                if size > TOGETHER:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return lambda batches: _rows(rows(batches))
+
+
 def sampled(eight: np.ndarray, ends: np.ndarray, runs: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The sampled positions of a bucket's text whose 30 bytes stand in runs of several documents."""
     at = (np.arange(0, int(ends[-1]), PERIOD)[:, None] + np.array(COVER)).ravel()
@@ -337,10 +384,10 @@ def sampled(eight: np.ndarray, ends: np.ndarray, runs: np.ndarray, owner: np.nda
 
 def in_reach(ends: np.ndarray, runs: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """The suffixes of 50 bytes with a shared sample at most PERIOD - 1 bytes on."""
-    size = int(ends[-1])
-    steps = np.bincount(np.maximum(shared - (PERIOD - 1), 0), minlength=size + 1)
-    steps -= np.bincount(shared + 1, minlength=size + 1)
-    at = np.flatnonzero(steps[:size].cumsum())
+    shared = np.sort(shared)
+    first = np.maximum(shared - (PERIOD - 1), np.concatenate([[0], shared[:-1] + 1]))
+    n = shared + 1 - first
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
     return at[at + LENGTH <= ends[runs[at] + 1]]
 
 
@@ -356,7 +403,7 @@ def cover_ranks(big: np.ndarray, suffixes: np.ndarray, size: int) -> np.ndarray:
     for w in words:
         s = w[order]
         new[1:] |= s[1:] != s[:-1]
-    ranks = np.full(size + PERIOD, -1, np.int64)
+    ranks = np.zeros(size + PERIOD, np.int32)
     ranks[at[order]] = np.cumsum(new)
     return ranks
 
@@ -485,8 +532,8 @@ def _cut(texts_too: bool):
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         block, known = None, {}
-        for batch in slices(batches, 128):
-            for b, kind, payload, i, h, text in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "payload", "doc_id", "h", "text")), strict=True):
+        for batch in slices(batches, 16):
+            for b, kind, payload in zip(*(batch.column(c).to_pylist() for c in PACKED.names), strict=True):
                 if b != block:
                     block, known = b, {}
                 if kind == MARKS:
@@ -495,10 +542,13 @@ def _cut(texts_too: bool):
                     for x, y, p, q in zip(ids.tolist(), hashes.tolist(), np.split(first, cuts), np.split(n, cuts), strict=True):
                         known.setdefault((x, y), []).append((p, q))
                     continue
-                marks = known.get((i, h), ()) if i is not None else ()
-                a, c = covered(*(np.concatenate(x).astype(np.int64) for x in zip(*marks, strict=True))) if marks else (np.zeros(0, np.int64),) * 2
-                kept = b"".join(text[x:y] for x, y in zip([0, *c.tolist()], [*a.tolist(), len(text)], strict=True))
-                yield i, len(text), int((c - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if texts_too else None, [{"start": x, "end": y} for x, y in zip(a.tolist(), c.tolist(), strict=True)] if texts_too else None
+                unnamed, ids, hashes, sizes, raw = unpack(payload, np.uint8, np.int64, np.int64, np.uint32, np.uint8)
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                for no_id, i, h, lo, hi in zip(unnamed.tolist(), ids.tolist(), hashes.tolist(), [0, *ends], ends, strict=False):
+                    text, marks = raw[lo:hi].tobytes(), () if no_id else known.get((i, h), ())
+                    a, c = covered(*(np.concatenate(x).astype(np.int64) for x in zip(*marks, strict=True))) if marks else (np.zeros(0, np.int64),) * 2
+                    kept = b"".join(text[x:y] for x, y in zip([0, *c.tolist()], [*a.tolist(), len(text)], strict=True))
+                    yield None if no_id else i, len(text), int((c - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if texts_too else None, [{"start": x, "end": y} for x, y in zip(a.tolist(), c.tolist(), strict=True)] if texts_too else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -521,15 +571,15 @@ def prime_from(n: int) -> int:
     return max(n, 2)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_bytes: int = 4 << 20, crowded_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_bytes: int = 8 << 20, crowded_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) for each row of ``docs``.
 
     Null text counts as empty. Rows of one id don't remove each other's bytes; rows without an id lose none and remove
     none. Strings are judged on the input, so what goes doesn't hide other repeats. Texts under 50 bytes stay whole.
     Texts of 4 GB and more can't be numbered and fail. An empty table gives an empty result.
 
-    Buckets hold ``bucket_bytes`` of runs on average; one with over ``crowded_bytes`` is dealt by single suffixes. Which
-    buckets are is broadcast as one bit a bucket (a 32 millionth of the runs' bytes). Neither changes a result.
+    Buckets hold ``bucket_bytes`` of runs on average; one with over ``crowded_bytes`` is dealt anew. Which buckets
+    are crowded is broadcast, one bit a bucket (a 64 millionth of the runs' bytes). Neither changes a result.
     """
     spark = docs.sparkSession
     i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -547,13 +597,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, -(-total * 4 // bucket_bytes))  # runs weigh up to four times their texts
     blocks = prime_from(max(shuffles, -(-total // (64 << 20))))  # ids in steps of anything fall on all blocks
     candidates = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    sizes = candidates.mapInArrow(_sizes(buckets), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
-    crowded = spark.sparkContext.broadcast(bitmap(sizes.where(F.col("bytes") > crowded_bytes), "bucket", buckets))
+    crowded = []
+    while len(crowded) < len(GRAMS) - 1:
+        sizes = candidates.mapInArrow(_sizes(buckets, crowded), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+        over = bitmap(sizes.where(F.col("bytes") > crowded_bytes), "bucket", buckets)
+        if not over:
+            break
+        crowded.append(spark.sparkContext.broadcast(over))
     runs = candidates.mapInArrow(_deal(buckets, blocks, crowded), PACKED_SQL)
     parts = max(shuffles, -(-total * 4 // (64 << 20)))
     marked = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(blocks), PACKED_SQL)
-    nothing = lambda kind: F.lit(None).cast(kind)
-    both = marked.select(F.col("bucket").alias("block"), "kind", "payload", nothing("long").alias("doc_id"), nothing("long").alias("h"), nothing("binary").alias("text"))
-    both = both.union(rows.select(F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(blocks)).alias("block"), F.lit(MARKS + 1), nothing("binary"), "doc_id", "h", "text"))
-    out = both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_cut(texts), RESULT_SQL)
+    block = F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(blocks)).alias("block")
+    both = marked.union(rows.select(block, "doc_id", "h", "text").mapInArrow(_pack_texts(blocks), PACKED_SQL))
+    out = both.repartition(blocks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_cut(texts), RESULT_SQL)
     return out if texts else out.drop("kept", "spans")

@@ -229,7 +229,7 @@ def test_suffixes_of_crowded_texts(spark, options):
     assert removed(spark, rows, **options) == removed_by_brute_force(rows)
 
 
-@pytest.mark.parametrize("buckets,crowded", [(1, b""), (7, b""), (7, b"\x2a"), (7, b"\x7f")])
+@pytest.mark.parametrize("buckets,crowded", [(1, []), (7, []), (7, [b"\x2a"]), (7, [b"\x7f"]), (7, [b"\x7f", b"\x2a"]), (7, [b"\x7f", b"\x7f"])])
 def test_suffixes_in_pieces(monkeypatch, buckets, crowded):
     """The steps of one task each: texts cut into pieces, small flushes, crowded buckets."""
     r = random.Random(10)
@@ -245,12 +245,11 @@ def test_suffixes_in_pieces(monkeypatch, buckets, crowded):
     def batch_of(found):
         return iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), suffix_dedup.PACKED.types, strict=True)], schema=suffix_dedup.PACKED)])
 
-    dealt = by_key(suffix_dedup._deal(buckets, 3, types.SimpleNamespace(value=crowded))(iter([batch])))
+    dealt = by_key(suffix_dedup._deal(buckets, 3, [types.SimpleNamespace(value=c) for c in crowded])(iter([batch])))
     marks = by_key(suffix_dedup._sort_buckets(3)(batch_of(dealt)))
-    both = sorted([(b, k, p, None, None, None) for b, k, p in marks] + [(i % 3, 2, None, i, 0, t.encode()) for i, t in rows], key=lambda x: x[:2])
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    both = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*both, strict=True), kinds, strict=True)], ["block", "kind", "payload", "doc_id", "h", "text"])
-    got = sorted(tuple(x.values())[:5] for b in suffix_dedup._cut(False)(iter([both])) for x in b.to_pylist())
+    placed = batch.append_column("block", pa.array([i % 3 for i, _ in rows], pa.int64()))
+    both = sorted(marks + by_key(suffix_dedup._pack_texts(3)(iter([placed]))), key=lambda x: x[:2])
+    got = sorted(tuple(x.values())[:5] for b in suffix_dedup._cut(False)(batch_of(both)) for x in b.to_pylist())
     assert got == removed_by_brute_force(rows)
 
 
