@@ -4,13 +4,20 @@ Each source's documents, in a pseudorandom order, are one stream of words that i
 ``block_words`` (the last one may be short). A source's target is met by ``rank`` after ``rank``: every full turn takes
 each block once, the last turn a part of the blocks, and the very last block is cut where the target is reached, so
 a source's words equal its target to within rounding and no document is taken more often than the target's multiple
-of its source. Ranks fall on output shards by a multinomial draw: the counts of each source in each shard. A shard's
-slots are consecutive ranks of a source, mapped to blocks through a pseudorandom permutation of the block numbers
-(swap-or-not, keyed by source and turn), and joined with the blocks by number.
-
-Nothing is gathered in one task: streams are numbered by sums over chunks of hashed ids, whose number grows with the
-rows, so a source with a third of all rows is spread over as many chunks as it needs. What runs in one task is the
-list of sources and, for each source, the list of its chunks and shards (one number each).
+of its source.
+
+The mix is laid out in shards of ``shard_slots`` slots. Each slot draws a number below the total of all slots, without
+replacement, through a pseudorandom permutation (swap-or-not, keyed by the seed); the numbers are dealt to the sources
+in proportion to their targets. So a shard's source counts are one multinomial draw, conditioned on the sources' totals:
+unconditioned draws would miss a target of n blocks by the root of n, and exceed the cap. The number's place among its
+source's is the slot's rank, and a permutation of that source's block numbers (keyed by source and turn) maps it to a
+block, with which slots are joined by index. ``shards`` returns the mix as it is laid out; what is taken of each
+document, and the documents themselves, are counted from the same slots.
+
+Nothing is gathered in one task: a slot's number, source, rank and block are arithmetic on the slot itself, and streams
+are numbered by sums over chunks of hashed ids, whose number grows with the rows, so a source with a third of all rows
+is spread over as many chunks and slots as it needs. What runs in one task is the list of sources (some numbers each:
+names, weights and targets depend on all before them) and, for each source, the list of its chunks' sums.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, release
 
 ROUNDS = 24
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,7 +50,7 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), weights: DataFrame | None = None, cap: int = CAP) -> DataFrame:
-    """(source, source_size, docs, weight, target): words to take of each source.
+    """(sid, source, source_size, docs, weight, target): words to take of each source, numbered in their order.
 
     ``sizes`` has (source, source_size, docs). Sources by code point, null last, weigh by ``cycle``, repeating, unless
     ``weights`` (source, weight > 0) is given. The sizes' total is shared by weight; a target stops at ``cap`` times
@@ -51,8 +58,9 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), weights: DataF
     reach their cap first (least cap for their weight) are filled first, and the rest share one level.
     """
     order = Window.partitionBy().orderBy(F.asc_nulls_last("source"))
+    sizes = sizes.withColumn("sid", F.row_number().over(order).cast("long"))
     if weights is None:
-        w = F.element_at(F.array(*map(F.lit, cycle)), ((F.row_number().over(order) - 1) % len(cycle) + 1).cast("int"))
+        w = F.element_at(F.array(*map(F.lit, cycle)), ((F.col("sid") - 1) % len(cycle) + 1).cast("int"))
         rows = sizes.withColumn("weight", w.cast("double"))
     else:
         named = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double"))
@@ -67,7 +75,7 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), weights: DataF
     rows = rows.withColumn("_n", F.row_number().over(by_need))
     rows = rows.withColumn("_at", F.min(F.when(stops, F.struct("_n", "_level"))).over(everything)["_level"])
     target = F.least(limit.cast("double"), F.col("weight") * F.coalesce("_at", F.lit(float("inf"))))
-    return rows.select("source", "source_size", "docs", "weight", F.when(F.col("weight") > 0, target).otherwise(0.0).alias("target"))
+    return rows.select("sid", "source", "source_size", "docs", "weight", F.when(F.col("weight") > 0, target).otherwise(0.0).alias("target"))
 
 
 def _streams(sized: DataFrame, rows_a_chunk: int) -> DataFrame:
@@ -83,17 +91,8 @@ def _streams(sized: DataFrame, rows_a_chunk: int) -> DataFrame:
     return joined.withColumn("start", F.col("_base") + F.col("_before")).drop("_h", "_chunk", "_base", "_before", "_sid", "_c")
 
 
-def shard_counts(sources: DataFrame, seed: int, shard_slots: int, batch: int = 4096) -> DataFrame:
-    """(sid, shard, n): multinomial counts; a source's counts over all shards sum to its slots."""
-    total = sources.agg(F.sum("slots")).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_slots))
-    runs = sources.where(F.col("slots") > 0).select("sid", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / batch).cast("long"))).alias("run"))
-    runs = runs.repartition("sid", "run").withColumn("rank", F.explode(F.sequence(F.col("run") * batch, F.least((F.col("run") + 1) * batch, F.col("slots")) - 1)))
-    return runs.select("sid", F.pmod(F.xxhash64(F.lit(seed), "sid", "rank"), F.lit(shards)).alias("shard")).groupBy("sid", "shard").agg(F.count("*").alias("n"))
-
-
-def draw(sources: DataFrame, seed: int = 0, shard_slots: int = 1024, block_words: int = 256) -> DataFrame:
-    """(shard, sid, rank, turn, block, words): every slot of every output shard.
+def numbered(sources: DataFrame, block_words: int) -> DataFrame:
+    """(sid, size, blocks, full, turns, rest, slots, base): the slots of each source, and the first number dealt to it.
 
     ``sources`` has (sid, source_size, take). A source of s words has its full blocks permuted anew in each turn and
     its short block, if any, last; so the words of the first ranks are known without a look at the blocks.
@@ -101,17 +100,30 @@ def draw(sources: DataFrame, seed: int = 0, shard_slots: int = 1024, block_words
     size, take, b = F.col("source_size"), F.col("take"), block_words
     blocks, full = F.ceil(size / b).cast("long"), F.floor(size / b).cast("long")
     turns, rest = F.floor(take / size).cast("long"), take % size
-    s = sources.where((size > 0) & (take > 0)).select("sid", size, blocks.alias("blocks"), full.alias("full"), turns.alias("turns"), rest.alias("rest"), (turns * blocks + F.ceil(rest / b)).cast("long").alias("slots"))
-    s = materialize(s)
-    counts = shard_counts(s, seed, shard_slots)
-    first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    runs = counts.withColumn("first", F.coalesce(first, F.lit(0)))
-    slots = runs.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
-    slots = slots.join(s, "sid").withColumn("turn", F.floor(F.col("rank") / F.col("blocks")).cast("long")).withColumn("at", F.col("rank") % F.col("blocks"))
+    s = sources.where((size > 0) & (take > 0)).select("sid", size.alias("size"), blocks.alias("blocks"), full.alias("full"), turns.alias("turns"), rest.alias("rest"), (turns * blocks + F.ceil(rest / b)).cast("long").alias("slots"))
+    before = Window.partitionBy().orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("base", F.coalesce(F.sum("slots").over(before), F.lit(0)).cast("long"))
+
+
+def draw(sources: DataFrame, seed: int = 0, shard_slots: int = 1024, block_words: int = 256, task_slots: int = 20_000) -> DataFrame:
+    """(shard, slot, sid, rank, turn, block, words): every slot of every output shard; ``sources`` as for ``numbered``."""
+    spark, b = sources.sparkSession, block_words
+    s = materialize(numbered(sources, block_words))
+    n, total = s.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
+    # a number meets its source through equal bins, as many as sources, so that the numbers of a bin and the sources that
+    # begin or end in it meet in about two pairs a number, whatever the sources' sizes
+    width = max(1, -(-total // max(n, 1)))
+    bins = s.select("*", F.explode(F.sequence(F.floor(F.col("base") / width).cast("long"), F.floor((F.col("base") + F.col("slots") - 1) / width).cast("long"))).alias("bin"))
+    bins = F.broadcast(bins) if n <= 100_000 else bins  # two rows a source at most
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_slots))
+    number = permuted(F.col("id"), F.lit(max(total, 1)).cast("long"), F.lit(seed))
+    slots = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / shard_slots).cast("long").alias("shard"), (F.col("id") % shard_slots).alias("slot"), number.alias("number"))
+    slots = slots.withColumn("bin", F.floor(F.col("number") / width).cast("long")).join(bins, "bin").where((F.col("number") >= F.col("base")) & (F.col("number") < F.col("base") + F.col("slots")))
+    slots = slots.withColumn("rank", F.col("number") - F.col("base")).withColumn("turn", F.floor(F.col("rank") / F.col("blocks")).cast("long")).withColumn("at", F.col("rank") % F.col("blocks"))
     block = F.when(F.col("at") < F.col("full"), permuted(F.col("at"), F.greatest("full", F.lit(1)), F.lit(seed), F.col("sid"), F.col("turn"))).otherwise(F.col("at"))
-    held = F.least(F.lit(b).cast("long"), size - block * b)
+    held = F.least(F.lit(b).cast("long"), F.col("size") - F.col("block") * b)
     words = F.when(F.col("turn") < F.col("turns"), held).otherwise(F.least(held, F.col("rest") - F.col("at") * b))
-    return slots.select("shard", "sid", "rank", "turn", block.alias("block"), words.alias("words"))
+    return slots.withColumn("block", block).select("shard", "slot", "sid", "rank", "turn", "block", words.alias("words"))
 
 
 class Mix:
@@ -123,11 +135,32 @@ class Mix:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), self.key.alias("key"))
         sized = materialize(rows)
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-        self.sources = materialize(targets(sizes, weights=weights).withColumn("sid", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())).withColumn("take", F.round("target").cast("long")))
+        self.sources = materialize(targets(sizes, weights=weights).withColumn("take", F.round("target").cast("long")))
         named = sized.join(self.sources.select(F.col("source").alias("_s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         self.rows = materialize(_streams(named, rows_a_chunk))
+        release(sized)
         self.slots = draw(self.sources, seed, shard_slots, block_words)
 
+    def shard_counts(self) -> DataFrame:
+        """(shard, sid, n): how many slots of each shard a source has drawn."""
+        return self.slots.groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
+    def shards(self) -> DataFrame:
+        """(shard, slot, source, block, n_words, text): the mix as it is laid out, each shard whole in one partition and in
+        the order of its slots. A block's text is its words, one blank between."""
+        rows = self.rows.where(F.col("size") > 0).select("sid", "start", F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("key").alias("_k"))
+        words = F.regexp_extract_all(F.col(self.text_col).cast("string"), F.lit(WORD), F.lit(0))
+        texts = self.docs.select(F.col(self.id_col).cast("long").alias("_id"), F.col(self.source_col).cast("string").alias("_source"), self.key.alias("_key"), words.alias("_words")).dropDuplicates(["_id", "_source", "_key"])
+        joined = texts.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")))
+        b, end = self.block_words, F.col("start") + F.size("_words")
+        parts = joined.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b).cast("long"), F.floor((end - 1) / b).cast("long"))))
+        lo, hi = F.greatest(F.col("block") * b - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * b, end) - F.col("start")
+        parts = parts.select("sid", "block", "start", F.slice("_words", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+        blocks = parts.groupBy("sid", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])).alias("all"))
+        named = self.sources.select("sid", "source")
+        out = self.slots.join(blocks, ["sid", "block"]).join(named, "sid").select("shard", "slot", "source", "block", F.col("words").alias("n_words"), F.array_join(F.slice("all", F.lit(1), F.col("words").cast("int")), " ").alias("text"))
+        return out.repartition("shard").sortWithinPartitions("shard", "slot")
+
     def pieces(self) -> DataFrame:
         """A row for each document and block that share words: block, and from and to within the block."""
         b, start, end = self.block_words, F.col("start"), F.col("start") + F.col("size")
