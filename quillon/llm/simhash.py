@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, materialize, slices, sorted_groups
@@ -57,13 +57,19 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out = [fingerprint(shingle_hashes(x)) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        out = [fingerprint(shingle_hashes(x)) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "h", "fp"])
+
+
+def text_hash(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): null text counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, h, fp long), h the text's hash: null text counts as empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def _near(fp: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -154,6 +160,14 @@ def links(distinct: DataFrame, long_list: int = 16384) -> DataFrame:
     return out.union(_linked(postings))
 
 
+def _members(prints: DataFrame, long_list: int) -> DataFrame:
+    """(fp, first, root): every fingerprint, the least (doc_id, h) that has it, and one fingerprint for its component."""
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
+    distinct = prints.groupBy("fp").agg(F.min(named).alias("first"))
+    component = connected_components(links(distinct.select("fp"), long_list))
+    return distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 16384) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
 
@@ -162,23 +176,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all its members' are null. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    component = connected_components(links(distinct.select("fp"), long_list))
-    member = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
+    member = _members(prints, long_list)
+    lowest = member.groupBy("root").agg(F.min("first").alias("first"))
+    named = member.join(lowest.withColumnRenamed("first", "_least"), "root").select("fp", F.col("_least.doc_id").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component stays: the one with the smallest id, with all its columns (of repeated rows of
-    that id, one). Rows without an id stay."""
-    found = near_groups(docs, id_col, text_col, **options)
-    gone = found.groupBy(F.col("doc_id").alias("_quillon_gone_id")).agg(F.min(F.col("doc_id") == F.col("component_id")).alias("_quillon_stays"), F.count("*").alias("_quillon_copies"))
-    gone = materialize(gone.where(~F.col("_quillon_stays") | (F.col("_quillon_copies") > 1)))
-    on = docs[id_col] == F.col("_quillon_gone_id")
-    rest = docs.join(gone, on, "left_anti")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 16384) -> DataFrame:
+    """One row of each component stays: the one with the smallest id, with all its columns. A row is known by its id and
+    its text's hash, so an id with several texts loses only those whose component keeps another row; of repeated rows,
+    and of the texts that one id has in one component, one stays. Rows without an id stay."""
+    prints = materialize(fingerprints(docs, id_col, text_col))
+    member = _members(prints, long_list)
+    lowest = member.where(F.col("first").isNotNull()).groupBy("root").agg(F.min("first").alias("_least"))
+    named = member.select("fp", "root").join(lowest, "root").select("fp", "_least")
+    rows = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h", "fp").agg(F.count("*").alias("_copies"))
+    kept = (F.col("doc_id") == F.col("_least.doc_id")) & (F.col("h") == F.col("_least.h"))
+    gone = materialize(rows.join(named, "fp").select(F.col("doc_id").alias("_quillon_gone_id"), F.col("h").alias("_quillon_gone_h"), kept.alias("_quillon_stays"), "_copies").where(~F.col("_quillon_stays") | (F.col("_copies") > 1)).drop("_copies"))
+    keyed = docs.withColumn("_quillon_h", text_hash(text_col))
+    on = (F.col(id_col).cast("long") == F.col("_quillon_gone_id")) & (F.col("_quillon_h") == F.col("_quillon_gone_h"))
+    rest = keyed.join(gone, on, "left_anti").select(*docs.columns)
     repeated = gone.where("_quillon_stays")
     if repeated.isEmpty():
         return rest
-    return rest.union(docs.join(repeated, on).dropDuplicates(["_quillon_gone_id"]).select(*docs.columns))
+    return rest.union(keyed.join(repeated, on).dropDuplicates(["_quillon_gone_id", "_quillon_h"]).select(*docs.columns))
