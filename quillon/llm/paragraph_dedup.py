@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, materialize, sorted_groups
+from quillon.llm.simhash import text_hash
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -195,9 +196,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = WIDTH, group_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, group_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Two tables: every compared paragraph (doc_id, h, para), h the text's hash; and, for those in a class of several,
-    (doc_id, h, para, class_doc, class_para): the class's first paragraph, which is the one to keep."""
+    (doc_id, h, para, class_doc, class_para, goes): the class's first paragraph, which is the one to keep, by document,
+    text and place, and whether this is another."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = materialize(rows.mapInArrow(_sign(min_words), "doc_id long, h long, para int, ph binary, bands array<long>"))
@@ -216,8 +218,21 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = connected_components(materialize(pairs.mapInArrow(_verify, "a binary, b binary")))
     named = signed.select("doc_id", "h", "para", "ph").join(links, F.col("ph") == F.col("node"), "left").select("doc_id", "h", "para", F.coalesce("component", "ph").alias("cls"))
     named = materialize(named)
-    first = named.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    return named.select("doc_id", "h", "para"), named.join(first, "cls").select("doc_id", "h", "para", F.col("first.doc_id").alias("class_doc"), F.col("first.para").alias("class_para"))
+    first = named.groupBy("cls").agg(F.min(F.struct("doc_id", "h", "para")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    goes = ~F.struct("doc_id", "h", "para").eqNullSafe(F.col("first"))
+    return named.select("doc_id", "h", "para"), named.join(first, "cls").select("doc_id", "h", "para", F.col("first.doc_id").alias("class_doc"), F.col("first.para").alias("class_para"), goes.alias("goes"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """(doc_id, h, class_id, n_paragraphs, n_removed, removed, classes): a row's id, its text's hash and what goes."""
+    compared, members = paragraph_classes(docs, id_col, text_col, **options)
+    counts = compared.distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    found = members.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("para", "class_doc", "class_para"))).alias("classes"), F.sort_array(F.collect_list(F.when(F.col("goes"), F.col("para")))).alias("removed"), F.min("class_doc").alias("class_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_i"), text_hash(text_col).alias("_h"))
+    same = F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))
+    out = rows.join(counts, same, "left").select("_i", "_h", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs")).join(found, same, "left")
+    none = F.array().cast("array<int>")
+    return out.select(F.col("_i").alias("doc_id"), F.col("_h").alias("h"), F.coalesce("class_id", "_i").alias("class_id"), "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("classes", F.array().cast("array<struct<para:int,class_doc:bigint,class_para:int>>")).alias("classes"))
 
 
 def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -226,25 +241,17 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest document that keeps a paragraph of the row's classes (its own id if none is shared).
     n_paragraphs counts the compared ones (of at least ``min_words`` words). removed has the line numbers that go;
     classes has (para, class_doc, class_para) of every paragraph in a class of several, the kept one included. Null
-    and empty texts have no paragraphs. Rows repeated with one id and text are one document here, returned for each
-    row: they agree. A null id ranks before all others. An empty table gives an empty result.
+    and empty texts have no paragraphs. A row is known by its id and its text: rows repeated in both are one document
+    here, returned for each row, and agree; several texts of one id, or of none, are several documents. A null id ranks
+    before all others. An empty table gives an empty result.
     """
-    compared, members = paragraph_classes(docs, id_col, text_col, **options)
-    counts = compared.distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-    goes = ~(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("para") == F.col("class_para")))
-    found = members.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("para", "class_doc", "class_para"))).alias("classes"), F.sort_array(F.collect_list(F.when(goes, F.col("para")))).alias("removed"), F.min("class_doc").alias("class_id"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"))
-    same = F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))
-    out = rows.join(counts, same, "left").select("_i", "_h", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs")).join(found, same, "left")
-    none = F.array().cast("array<int>")
-    return out.select(F.col("_i").alias("doc_id"), F.coalesce("class_id", "_i").alias("class_id"), "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("classes", F.array().cast("array<struct<para:int,class_doc:bigint,class_para:int>>")).alias("classes"))
+    return _judged(docs, id_col, text_col, **options).drop("h")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removed lines gone from their texts, all columns kept."""
-    found = near_paragraphs(docs, id_col, text_col, **options).where(F.col("n_removed") > 0).groupBy(F.col("doc_id").alias("_quillon_i")).agg(F.first("removed").alias("_quillon_gone"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_quillon_i")), "left")
+    found = _judged(docs, id_col, text_col, **options).where(F.col("n_removed") > 0).groupBy(F.col("doc_id").alias("_quillon_i"), F.col("h").alias("_quillon_h")).agg(F.first("removed").alias("_quillon_gone"))
+    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_quillon_i")) & (text_hash(text_col) == F.col("_quillon_h")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_quillon_gone", i)), "\n")
     text = F.when(F.col("_quillon_gone").isNull(), F.col(text_col)).otherwise(kept)
