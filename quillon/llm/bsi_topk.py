@@ -8,9 +8,11 @@ own slices. The best rows are selected from the most significant slice downward.
 of the attributes are left out of the sum, so a score is known up to a bound; all rows whose bound reaches the
 boundary are scored exactly, and ties go to the smaller id.
 
-Memory: a task holds one block of rows and one block of queries, whatever the size of the tables. The blocks of
-queries are dealt to all blocks of rows by an equi-join on the block's number; nothing is broadcast, and each pair
-of blocks returns k rows a query.
+Memory: vectors go to the task of their block, and every block of queries to all blocks of vectors (an equi-dealing by
+the block's number: nothing is broadcast or joined, no table of blocks is held). A task indexes one block, holds one block
+of queries and works on sixteen of them at a time; each pair of blocks returns k rows a query. Every query must meet every
+vector, so the work grows with the product; what is copied is a query's components once a block, so blocks are as large
+as leaves each core two, up to 65,536 rows. Scores that 64 bits couldn't hold are an error, not a wrong number.
 """
 
 from __future__ import annotations
@@ -23,53 +25,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-INDEX = "dim int, block long, base binary, widths binary, slices binary, ids binary, rows binary"
 BEST = "query_id long, vec_id long, score long"
+TOGETHER = 16  # queries that are scored at a time
 
 
 def quantise(df: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
     """(vec_id, q): q is floor(scale * x) of each component. Null vectors, null or non-finite components, null ids
-    and empty vectors take no part."""
+    and empty vectors take no part. A component so large that a score of two such vectors could pass 2^62 is an error."""
     v = F.col(vec_col)
     usable = v.isNotNull() & (F.size(v) > 0) & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    q = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return df.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q"))
-
-
-def _index_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """One row: the bit slices of a block, with its ids and its values for the exact step."""
-    rows = np.stack(frame["q"].to_numpy()).astype(np.int64)
-    ids = frame["vec_id"].to_numpy(np.int64)
-    order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    base = rows.min(axis=0)
-    up = (rows - base).astype(np.uint64)
-    widths = np.array([int(x).bit_length() for x in up.max(axis=0)], np.int64)
-    words = -(-len(ids) // 64)
-    parts = []
-    for d, width in enumerate(widths):
-        for s in range(width):
-            bits = np.zeros(words * 64, np.uint8)
-            bits[: len(ids)] = (up[:, d] >> np.uint64(s)) & np.uint64(1)
-            parts.append(np.packbits(bits, bitorder="little").tobytes())
-    small = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= base.min() and rows.max() <= np.iinfo(t).max)
-    return pd.DataFrame([{"dim": key[0], "block": key[1], "base": base.tobytes(), "widths": widths.tobytes(), "slices": b"".join(parts), "ids": ids.tobytes(), "rows": rows.astype(small).tobytes()}])
-
-
-def signed_digits(n: int) -> list[tuple[int, int]]:
-    """Non-adjacent form: (power, +1 or -1), a third of the bits on average."""
-    out, power = [], 0
-    while n:
-        if n & 1:
-            digit = 2 - (n & 3)
-            out.append((power, digit))
-            n -= digit
-        n >>= 1
-        power += 1
-    return out
-
-
-def add_slices(by_weight: dict[int, np.ndarray], words: int) -> dict[int, np.ndarray]:
+    most = F.lit(2.0**31) / F.sqrt(F.size(v))
+    whole = F.transform(v, lambda x: F.floor(F.when(F.abs(x.cast("double") * scale) < most, x.cast("double") * scale).otherwise(F.raise_error(F.concat(F.lit("too large a component for scores of 64 bits in vector "), F.col(id_col).cast("string"))).cast("double"))).cast("long"))
+    return df.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("q"))
+
+
+def signed_digits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, power, negative) of the digits of a matrix in non-adjacent form: a third of the bits on average."""
+    size = np.abs(values)
+    half = size >> 1
+    both = size + half
+    rows, columns, powers, negative = [], [], [], []
+    for mask, minus in ((both & (half ^ both), values < 0), (half & (half ^ both), values >= 0)):
+        for power in range(int(mask.max(initial=0)).bit_length()):
+            r, c = np.nonzero(mask >> power & 1)
+            rows.append(r), columns.append(c), powers.append(np.full(len(r), power)), negative.append(minus[r, c])
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(x or none) for x in (rows, columns, powers, negative))
+
+
+def add_slices(by_weight: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Carry-save addition: {weight: k bitmaps} to {weight: one bitmap}."""
     out, w, top = {}, 0, max(by_weight, default=-1)
     pending = dict(by_weight)
@@ -97,118 +81,138 @@ def add_slices(by_weight: dict[int, np.ndarray], words: int) -> dict[int, np.nda
 
 
 class Block:
-    """A block's index, opened for queries."""
-
-    def __init__(self, base: bytes, widths: bytes, slices: bytes, ids: bytes, rows: bytes, drop_bits: int):
-        self.base, self.widths, self.ids = np.frombuffer(base, np.int64), np.frombuffer(widths, np.int64), np.frombuffer(ids, np.int64)
-        cells = len(self.ids) * len(self.base)
-        self.rows = np.frombuffer(rows, f"<i{len(rows) // cells}").reshape(len(self.ids), -1)
-        self.words = -(-len(self.ids) // 64)
-        self.slices = np.frombuffer(slices, np.uint64).reshape(-1, self.words)
+    """The bit slices of a block of vectors, with their values for the exact step."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, drop_bits: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], rows[order]
+        base = self.rows.min(axis=0)
+        self.widths = np.array([int(x).bit_length() for x in (self.rows.max(axis=0) - base)], np.int64)
+        self.words = -(-len(ids) // 64)
         self.first = np.concatenate([[0], np.cumsum(self.widths)])
-        self.alive = np.zeros(self.words * 64, np.uint8)
-        self.alive[: len(self.ids)] = 1
-        self.alive = np.packbits(self.alive, bitorder="little").view(np.uint64)
+        self.slices = np.zeros((int(self.first[-1]) + 1, self.words), np.uint64)  # the last one stays empty
+        for d, width in enumerate(self.widths.tolist()):
+            up = (self.rows[:, d] - base[d]).astype(np.uint64)
+            for s in range(width):
+                self.slices[self.first[d] + s] = self._bitmap((up >> np.uint64(s) & np.uint64(1)).astype(np.uint8))
+        self.alive = self._bitmap(np.ones(len(ids), np.uint8))
         self.drop = np.minimum(drop_bits, np.maximum(self.widths - 1, 0))
         self.lost = (1 << self.drop) - 1  # the most that the dropped slices of an attribute are worth
 
-    def scores(self, query: np.ndarray) -> tuple[dict[int, np.ndarray], int, int]:
-        """Slices of the partial score, and the least and the most that is missing from it."""
-        picked: dict[int, list[int]] = {}
-        flipped: dict[int, list[int]] = {}
-        const = int(np.dot(query, self.base))
-        for d, value in enumerate(query.tolist()):
-            for power, digit in signed_digits(value):
-                for s in range(int(self.drop[d]), int(self.widths[d])):
-                    (picked if digit > 0 else flipped).setdefault(power + s, []).append(int(self.first[d]) + s)
-                    if digit < 0:  # -b is (not b) - 1
-                        const -= 1 << (power + s)
+    def _bitmap(self, bits: np.ndarray) -> np.ndarray:
+        return np.packbits(np.concatenate([bits, np.zeros(self.words * 64 - len(bits), np.uint8)]), bitorder="little").view(np.uint64)
+
+    def scores(self, queries: np.ndarray) -> dict[int, np.ndarray]:
+        """Slices of the partial scores, up to a constant a query: {weight: (queries, words)}."""
+        query, d, power, minus = signed_digits(queries)
+        n = self.widths[d] - self.drop[d]
+        query, d, power, minus = (np.repeat(x, n) for x in (query, d, power, minus))
+        s = self.drop[d] + np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+        weight = power + s
+        order = np.lexsort((query, weight))
+        query, weight, at, minus = query[order], weight[order], (self.first[d] + s)[order], minus[order]
+        new = np.concatenate([[True], (weight[1:] != weight[:-1]) | (query[1:] != query[:-1])]) if len(weight) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        place = np.arange(len(weight)) - np.repeat(first, np.diff(np.append(first, len(weight))))
         by_weight = {}
-        for w in picked.keys() | flipped.keys():
-            by_weight[w] = np.concatenate([self.slices[picked.get(w, [])], ~self.slices[flipped.get(w, [])]])
-        least = const + int(np.minimum(query * self.lost, 0).sum())
-        most = const + int(np.maximum(query * self.lost, 0).sum())
-        return add_slices(by_weight, self.words), least, most
-
-    def candidates(self, query: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
-        """Positions of all rows that may be among the k best."""
-        total, least, most = self.scores(query)
-        sure, tied, boundary = np.zeros_like(alive), alive, 0
+        for w in np.unique(weight).tolist():
+            lo, hi = np.searchsorted(weight, [w, w + 1])
+            shape = (int(place[lo:hi].max()) + 1, len(queries))
+            which, flip = np.full(shape, len(self.slices) - 1), np.zeros(shape, np.uint64)
+            which[place[lo:hi], query[lo:hi]] = at[lo:hi]
+            flip[place[lo:hi], query[lo:hi]] = np.where(minus[lo:hi], ~np.uint64(0), np.uint64(0))  # -b is (not b) - 1
+            by_weight[w] = self.slices[which] ^ flip[:, :, None]
+        return add_slices(by_weight)
+
+    def candidates(self, queries: np.ndarray, alive: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query, positions of all rows that may be among the k best."""
+        total = self.scores(queries)
         weights = sorted(total, reverse=True)
+        sure, tied, boundary = np.zeros_like(alive), alive, [0] * len(queries)
         for w in weights:
             more = tied & total[w]
-            n = int(np.bitwise_count(sure | more).sum())
-            if n >= k:
-                tied, boundary = more, boundary | (1 << w)
-            else:
-                sure, tied = sure | more, tied & ~total[w]
+            enough = np.bitwise_count(sure | more).sum(axis=1) >= k
+            boundary = [x | (1 << w) if e else x for x, e in zip(boundary, enough.tolist(), strict=True)]
+            sure = np.where(enough[:, None], sure, sure | more)
+            tied = np.where(enough[:, None], more, tied & ~total[w])
         # the k-th partial score is the boundary; a row counts if its most reaches the boundary's least
-        floor = boundary - (most - least)
-        if floor <= 0:
-            keep = alive
-        else:
-            above, equal = np.zeros_like(alive), alive
-            for w in range(max(max(weights, default=0), floor.bit_length() - 1), -1, -1):
-                bits = total.get(w)
-                if floor >> w & 1:
-                    equal = equal & bits if bits is not None else np.zeros_like(alive)
-                elif bits is not None:
-                    above, equal = above | (equal & bits), equal & ~bits
-            keep = above | equal
-        return np.flatnonzero(np.unpackbits(keep.view(np.uint8), bitorder="little"))
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best rows that aren't the query's own."""
-        alive = self.alive
-        lo, hi = np.searchsorted(self.ids, [query_id, query_id + 1]) if query_id < np.iinfo(np.int64).max else (len(self.ids), len(self.ids))
-        if hi > lo:
-            own = np.zeros(self.words * 64, np.uint8)
-            own[lo:hi] = 1
-            alive = alive & ~np.packbits(own, bitorder="little").view(np.uint64)
-        at = self.candidates(query, alive, k)
-        exact = self.rows[at].astype(np.int64) @ query
-        order = np.lexsort((self.ids[at], -exact))[:k]
-        return self.ids[at][order], exact[order]
+        floor = [max(x - int(spread), 0) for x, spread in zip(boundary, np.abs(queries) @ self.lost, strict=True)]
+        above, equal = np.zeros_like(alive), alive
+        for w in range(max(max(weights, default=0), max(floor).bit_length() - 1), -1, -1):
+            bits = total.get(w, np.zeros_like(alive))
+            wanted = np.array([x >> w & 1 for x in floor], bool)[:, None]
+            above, equal = np.where(wanted, above, above | (equal & bits)), np.where(wanted, equal & bits, equal & ~bits)
+        keep = np.unpackbits((above | equal).view(np.uint8), axis=1, bitorder="little")
+        return [np.flatnonzero(x) for x in keep]
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each query with the ids and exact scores of the k best rows that aren't its own."""
+        for lo in range(0, len(query_ids), TOGETHER):
+            ids, some = query_ids[lo : lo + TOGETHER], queries[lo : lo + TOGETHER]
+            alive = np.repeat(self.alive[None], len(ids), axis=0)
+            first, last = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+            for q in np.flatnonzero(last > first):
+                own = np.zeros(len(self.ids), np.uint8)
+                own[first[q] : last[q]] = 1
+                alive[q] &= ~self._bitmap(own)
+            for i, query, at in zip(ids.tolist(), some, self.candidates(some, alive, k), strict=True):
+                exact = self.rows[at] @ query
+                order = np.lexsort((self.ids[at], -exact))[:k]
+                yield i, self.ids[at][order], exact[order]
 
 
 def _search(k: int, drop_bits: int):
+    """Rows sorted by (dim, block, kind): a block's vectors, then the blocks of queries that it is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, None
+        key, ids, rows, block = None, [], [], None
         for batch in batches:
-            for x in batch.to_pylist():
-                if (x["dim"], x["block"]) != key:
-                    key, block = (x["dim"], x["block"]), Block(x["base"], x["widths"], x["slices"], x["ids"], x["rows"], drop_bits)
-                ids = np.frombuffer(x["query_ids"], np.int64)
-                queries = np.frombuffer(x["queries"], np.int64).reshape(len(ids), -1)
-                found = [block.best(int(i), q, k) for i, q in zip(ids, queries, strict=True)]
-                if found:
-                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, [len(f[0]) for f in found]), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found]).astype(np.int64)})
+            for x in (y for part in slices(batch) for y in part):
+                if x["queries"] is None:
+                    if (x["dim"], x["block"]) != key:
+                        key, ids, rows, block = (x["dim"], x["block"]), [], [], None
+                    ids.append(x["vec_id"])
+                    rows.append(np.array(x["q"], np.int64))
+                elif (x["dim"], x["block"]) == key:  # else a block without vectors
+                    if block is None:
+                        block = Block(np.array(ids, np.int64), np.stack(rows), drop_bits)
+                        ids, rows = [], []
+                    asked = np.frombuffer(x["query_ids"], np.int64)
+                    found = list(block.best(asked, np.frombuffer(x["queries"], np.int32).reshape(len(asked), -1).astype(np.int64), k))
+                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asked, [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]).astype(np.int64)})
+
+    def slices(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+        for lo in range(0, batch.num_rows, 512):
+            yield batch.slice(lo, 512).to_pylist()
 
     return run
 
 
 def _query_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("vec_id")
-    return pd.DataFrame([{"dim": key[0], "query_block": key[1], "query_ids": frame["vec_id"].to_numpy(np.int64).tobytes(), "queries": np.stack(frame["q"].to_numpy()).astype(np.int64).tobytes()}])
+    return pd.DataFrame([{"dim": key[0], "query_block": key[1], "query_ids": frame["vec_id"].to_numpy(np.int64).tobytes(), "queries": np.stack(frame["q"].to_numpy()).astype(np.int32).tobytes()}])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 256, drop_bits: int = 2) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int | None = None, query_rows: int = 1024, drop_bits: int = 2) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the highest inner product for each of ``queries``.
 
     Both tables have (vec_id long, q array<long>), as from ``quantise``. A query is compared with the vectors of its
     own length, except rows with its own id. Ties go to the smaller vec_id; equal rows of one id count each.
     A query without candidates returns no rows. An empty table gives an empty result.
     """
+    spark = vectors.sparkSession
     rows = vectors.withColumn("dim", F.size("q"))
     n = rows.count()
+    block_rows = block_rows or max(1024, min(65536, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     blocks = max(1, -(-n // block_rows))
-    index = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("dim", "block").applyInPandas(_index_block, INDEX)
+    placed = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(None).cast("long").alias("query_block"), "vec_id", "q", F.lit(None).cast("binary").alias("query_ids"), F.lit(None).cast("binary").alias("queries"))
     asked = queries.withColumn("dim", F.size("q"))
     groups = max(1, -(-asked.count() // query_rows))
     packed = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))).groupBy("dim", "query_block").applyInPandas(_query_block, "dim int, query_block long, query_ids binary, queries binary")
     dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = dealt.join(index.hint("shuffle_hash"), ["dim", "block"])  # a block's queries come to it; the block stays
-    pairs = pairs.select("dim", "block", "base", "widths", "slices", "ids", "rows", "query_ids", "queries")
-    found = pairs.mapInArrow(_search(k, drop_bits), BEST)
+    both = placed.union(dealt.select("dim", "block", "query_block", F.lit(None).cast("long"), F.lit(None).cast("array<bigint>"), "query_ids", "queries"))
+    # a partition a block: the work of a block of vectors is that of all queries, so none should wait behind another
+    met = both.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("dim", "block", F.asc_nulls_first("query_block"))
+    found = met.mapInArrow(_search(k, drop_bits), BEST)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
