@@ -2,8 +2,9 @@
 
 A layout is told by the hash of its nested field paths. The fingerprint selects a declarative mapping that turns rows
 of that layout into canonical turns (role, text); a template then marks the turns. For tables the paths come from the
-schema; for a column of JSON texts each row is fingerprinted by the layout paths that it holds, so layouts may differ
-from row to row. Everything is DataFrame functions.
+schema; for a column of JSON texts each row is fingerprinted by the layout paths that it holds in any element, null
+fields included, so layouts may differ from row to row. Where other fields make the fingerprint unknown, the layout of
+most fields that is there whole is taken. Everything is DataFrame functions.
 
 The template puts ``<|im_start|>role\\n text <|im_end|>\\n`` round each turn. Inside roles and texts ``\\`` becomes
 ``\\\\`` and ``<|`` becomes ``<\\|``, so no text can hold a marker, and both steps can be undone exactly; in roles a
@@ -20,24 +21,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
+TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """How to read one layout. ``turns``: an array's path, its role and text fields; or ``parts``: (role, path) in order,
-    where paths joined by ``+`` are parts of one text; or ``rows``: one row a turn, as (order, role, text)."""
+    """How to read one layout. ``turns``: an array's path, its role and text fields, after a turn of ``lead`` (a path) by
+    the system; or ``parts``: (role, path) in order, where paths joined by ``+`` are parts of one text; or ``rows``: one
+    row a turn, as (order, role, text)."""
 
     name: str
     turns: tuple[str, str, str] | None = None
     parts: tuple[tuple[str, str], ...] = ()
     rows: tuple[str, str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict, hash=False)
+    lead: str | None = None
 
     def paths(self) -> list[str]:
         if self.rows:
             return sorted(self.rows)
         if self.turns:
-            return sorted(f"{self.turns[0]}[].{f}" for f in self.turns[1:])
+            return sorted([*(f"{self.turns[0]}[].{f}" for f in self.turns[1:]), *([self.lead] if self.lead else [])])
         return sorted(x for _, p in self.parts for x in p.split("+"))
 
 
@@ -47,9 +51,15 @@ MAPPINGS = [
     Mapping("messages", turns=("messages", "role", "content"), roles=SPEAKERS),
     Mapping("conversations", turns=("conversations", "from", "value"), roles=SPEAKERS),
     Mapping("turns", turns=("turns", "speaker", "text"), roles=SPEAKERS),
+    Mapping("messages system", turns=("messages", "role", "content"), roles=SPEAKERS, lead="system"),
+    Mapping("conversations system", turns=("conversations", "from", "value"), roles=SPEAKERS, lead="system"),
+    Mapping("turns system", turns=("turns", "speaker", "text"), roles=SPEAKERS, lead="system"),
     Mapping("instruction", parts=(("user", "instruction+input"), ("assistant", "output"))),
     Mapping("instruction only", parts=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction system", parts=(("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
+    Mapping("instruction only system", parts=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Mapping("completion system", parts=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    Mapping("question system", parts=(("system", "system"), ("user", "question"), ("assistant", "answer"))),
     Mapping("prompt", parts=(("user", "prompt"), ("assistant", "response"))),
     Mapping("completion", parts=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt system", parts=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -64,6 +74,8 @@ def fingerprint(paths: list[str]) -> str:
 
 
 REGISTRY = {fingerprint(m.paths()): m for m in MAPPINGS}
+#: Layouts by the number of their fields, for rows whose fingerprint is unknown.
+BY_FIELDS = sorted(MAPPINGS, key=lambda m: -len(m.paths()))
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -79,10 +91,9 @@ def mapping_of(df: DataFrame) -> Mapping:
     if (found := REGISTRY.get(fingerprint(list(paths)))) is not None:
         return found
     # other columns may have a layout's names: take the first layout, of those with most fields, that is there whole
-    whole = sorted((m for m in MAPPINGS if paths >= set(m.paths())), key=lambda m: -len(m.paths()))
-    if not whole:
+    if (whole := next((m for m in BY_FIELDS if paths >= set(m.paths())), None)) is None:
         raise ValueError(f"no chat layout has the fields {sorted(paths)}")
-    return whole[0]
+    return whole
 
 
 def _text(c: Column) -> Column:
@@ -97,6 +108,12 @@ def _role(c: Column, roles: dict[str, str]) -> Column:
     return out.otherwise(named)
 
 
+def _led(text: Column) -> Column:
+    """The system's turn before an array's, if it says something."""
+    said = F.array(F.struct(F.lit("system").alias("role"), _text(text).alias("text")))
+    return F.filter(said, lambda t: t["text"] != "")
+
+
 def _joined(parts: list[Column]) -> Column:
     """Parts of one text, blank line between; empty parts leave no trace."""
     return F.array_join(F.filter(F.array(*map(_text, parts)), lambda x: x != ""), "\n\n")
@@ -110,37 +127,63 @@ def canonical_rows(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         return df.select(F.col(id_col).alias("conv_id"), F.col(order).alias("turn"), _role(F.col(role), m.roles).alias("role"), _text(F.col(text)).alias("text"))
     if m.turns:
         items, role, text = m.turns
-        exploded = df.select(F.col(id_col).alias("conv_id"), F.posexplode(items).alias("turn", "t"))
-        return exploded.select("conv_id", F.col("turn").cast("long"), _role(F.col(f"t.{role}"), m.roles).alias("role"), _text(F.col(f"t.{text}")).alias("text"))
+        turns = F.transform(items, lambda t: F.struct(_role(t[role], m.roles).alias("role"), _text(t[text]).alias("text")))
+        turns = F.concat(_led(F.col(m.lead)), F.coalesce(turns, F.array().cast(TURNS))) if m.lead else turns
+        return df.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
     turns = F.array(*(F.struct(F.lit(r).alias("role"), _joined([F.col(x) for x in p.split("+")]).alias("text")) for r, p in m.parts))
     turns = F.filter(turns, lambda t: (t["role"] != "system") | (t["text"] != ""))
     return df.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
 
+def _content(element: Column, name: str) -> Column:
+    """A text field of a JSON element; of a list of parts, the texts of those that have one, a line feed between."""
+    parts = F.try_variant_get(element, f"$.{name}", "array<variant>")
+    said = F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string"))))
+    return F.when(parts.isNotNull(), F.array_join(F.filter(said, lambda x: x.isNotNull()), "\n")).otherwise(_text(F.try_variant_get(element, f"$.{name}", "string")))
+
+
 def canonical_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text, layout) of a column of JSON texts, each row in its own layout.
 
-    Rows that aren't JSON objects or match no layout give one row with turn, role, text and layout null.
+    Null and missing roles and texts are empty. A layout's array without elements gives one row with its layout, and
+    turn, role and text null; so do, with layout null too, rows that aren't JSON objects or hold no layout whole. An
+    empty table gives no rows.
     """
     v = F.col("_v")
-    probe = lambda p: F.try_variant_get(v, "$." + p.replace("[]", "[0]"), "string").isNotNull()
-    present = F.array_compact(F.array(*(F.when(probe(p), F.lit(p)) for p in VOCABULARY)))
-    own = F.substring(F.sha2(F.array_join(present, "\n"), 256), 1, 16)
-    parsed = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(json_col).alias("_v")).withColumn("_fp", own)
-    kind = "array<struct<role:string,text:string>>"
-    turns, layout = F.when(F.lit(False), F.lit(None).cast(kind)), F.when(F.lit(False), "")
-    for fp, m in REGISTRY.items():
+    known = [m for m in MAPPINGS if not m.rows]
+    arrays = sorted({m.turns[0] for m in known if m.turns})
+    held = lambda c, path: F.try_variant_get(c, path, "variant").isNotNull()  # noqa: E731  null fields are there, too
+    parsed = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(json_col).alias("_v"))
+    parsed = parsed.select("*", *(F.try_variant_get(v, f"$.{a}", "array<variant>").alias(f"_{a}") for a in arrays))
+
+    def probe(path: str) -> Column:
+        array, nested, name = path.partition("[].")
+        if not nested:
+            return held(v, f"$.{path}")
+        empty = F.size(f"_{array}") == 0
+        return F.coalesce(empty | F.exists(f"_{array}", lambda e: held(e, f"$.{name}")), F.lit(False))
+
+    vocabulary = sorted({p for m in known for p in m.paths()})
+    present = F.array_compact(F.array(*(F.when(probe(p), F.lit(p)) for p in vocabulary)))
+    parsed = parsed.withColumn("_present", present).withColumn("_fp", F.substring(F.sha2(F.array_join("_present", "\n"), 256), 1, 16))
+
+    def turns_of(m: Mapping) -> Column:
         if m.turns:
             items, role, text = m.turns
-            got = F.try_variant_get(v, f"$.{items}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            read = F.transform(got, lambda t: F.struct(_role(t[role], m.roles).alias("role"), _text(t[text]).alias("text")))  # noqa: B023
-        elif m.parts:
-            part = lambda p: [F.try_variant_get(v, f"$.{x}", "string") for x in p.split("+")]
-            read = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), _joined(part(p)).alias("text")) for r, p in m.parts)), lambda t: (t["role"] != "system") | (t["text"] != ""))
-        else:
-            continue
-        turns, layout = turns.when(F.col("_fp") == fp, read), layout.when(F.col("_fp") == fp, m.name)
-    out = parsed.select("conv_id", turns.alias("turns"), layout.alias("layout")).select("conv_id", "layout", F.posexplode_outer("turns").alias("turn", "t"))
+            read = F.transform(f"_{items}", lambda e: F.struct(_role(F.try_variant_get(e, f"$.{role}", "string"), m.roles).alias("role"), _content(e, text).alias("text")))
+            return F.concat(_led(_content(v, m.lead)), read) if m.lead else read
+        spoken = [F.struct(F.lit(r).alias("role"), _joined([_content(v, x) for x in p.split("+")]).alias("text")) for r, p in m.parts]
+        return F.filter(F.array(*spoken), lambda t: (t["role"] != "system") | (t["text"] != ""))
+
+    turns, layout = F.when(F.lit(False), F.lit(None).cast(TURNS)), F.when(F.lit(False), "")
+    tests = [(F.col("_fp") == fp, m) for fp, m in REGISTRY.items() if not m.rows]
+    tests += [(F.size(F.array_except(F.array(*map(F.lit, m.paths())), F.col("_present"))) == 0, m) for m in BY_FIELDS if not m.rows]
+    for test, m in tests:
+        layout = layout.when(test, m.name)
+    parsed = parsed.withColumn("layout", layout)
+    for m in known:
+        turns = turns.when(F.col("layout") == m.name, turns_of(m))
+    out = parsed.select("conv_id", turns.alias("turns"), "layout").select("conv_id", "layout", F.posexplode_outer("turns").alias("turn", "t"))
     return out.select("conv_id", F.col("turn").cast("long"), F.col("t.role"), F.col("t.text"), "layout")
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, chat, common, exact_dedup, mixing, paragraph_dedup, pii, quality, queries, simhash, suffix_dedup
 
@@ -145,7 +146,7 @@ def test_paragraphs(spark, sf_dir, texts, limit):
         if u.find(p) != p:
             want[p[0]].append(p[1])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = {r.doc_id: r.removed for r in paragraph_dedup.near_paragraphs(docs, group_limit=limit).collect()}
+    got = {r.doc_id: r.removed for r in paragraph_dedup.near_paragraphs(docs, group_limit=limit, min_words=5).collect()}
     assert got == want
 
 
@@ -324,16 +325,92 @@ def test_mixing(spark, sf_dir, texts):
 
 
 def test_shard_counts(spark):
-    sources = spark.createDataFrame([(1, 100_000, 30_000), (2, 50_000, 100_000), (3, 7, 21)], "sid long, source_size long, take long")
-    slots = mixing.draw(sources, shard_slots=64, block_words=100).collect()
-    words = defaultdict(int)
-    for s in slots:
-        words[s.sid] += s.words
-    assert words == {1: 30_000, 2: 100_000, 3: 21}
-    shards = defaultdict(int)
-    for s in slots:
-        shards[s.shard] += 1
-    assert len(shards) == -(-len(slots) // 64) and max(shards.values()) < 64 * 2
+    """Totals are met, shards are full, a shard's counts are those of a multinomial draw, and another seed is another."""
+    sources = spark.createDataFrame([(1, 100_000, 30_000), (2, 50_000, 100_000), (3, 7, 21), (4, 9_000, 27_000), (5, 10, 0)], "sid long, source_size long, take long")
+    drawn = {}
+    for seed in (0, 1):
+        slots = mixing.draw(sources, seed, shard_slots=64, block_words=100).collect()
+        words, places, uses = defaultdict(int), set(), Counter()
+        for s in slots:
+            words[s.sid] += s.words
+            places.add((s.shard, s.slot))
+            uses[s.sid, s.block] += 1
+        assert words == {1: 30_000, 2: 100_000, 3: 21, 4: 27_000}
+        assert len(places) == len(slots) and places == {(k // 64, k % 64) for k in range(len(slots))}
+        assert max(n for (i, _), n in uses.items() if i == 2) == 2 and {n for (i, _), n in uses.items() if i == 4} == {3}
+        drawn[seed] = {(s.shard, s.slot): (s.sid, s.block) for s in slots}
+        counts, total = Counter((s.shard, s.sid) for s in slots), Counter(s.sid for s in slots)
+        whole = range(len(slots) // 64)
+        for i in (1, 2, 4):  # within six deviations of the mean, and as wide as the draw
+            p = total[i] / len(slots)
+            off = [(counts[k, i] - 64 * p) / (64 * p * (1 - p)) ** 0.5 for k in whole]
+            assert max(map(abs, off)) < 6 and 0.3 < np.mean(np.square(off)) < 3
+    same = sum(drawn[0][k] == drawn[1][k] for k in drawn[0])
+    assert same < len(drawn[0]) / 5
+
+
+def plain_mix(rows, seed, block_words, shard_slots):
+    """The mix in plain Python: {doc: taken}, {(shard, slot): text}. ``rows``: (doc, source, words) in stream order."""
+
+    def h(*key):
+        out = 42
+        for k in key:
+            out = xxhash.xxh64_intdigest((k & (2**64 - 1)).to_bytes(8, "little") if not isinstance(k, np.int32) else int(k).to_bytes(4, "little", signed=True), out)
+        return out - (1 << 64) if out >> 63 else out
+
+    def permuted(x, n, *key):
+        k = h(*key)
+        for r in range(1, mixing.ROUNDS + 1):
+            other = (h(k, np.int32(r)) % n - x) % n
+            if h(k, np.int32(r), max(x, other)) % 2 == 0:
+                x = other
+        return x
+
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    stream = {s: [w for _, t, ws in rows for w in ws if t == s] for s in sources}
+    target, open_, left = {}, set(sources), float(sum(map(len, stream.values())))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sources)}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * len(stream[s])}
+        target |= {s: 3.0 * len(stream[s]) for s in over} if over else {s: level * weight[s] for s in open_}
+        left -= sum(3 * len(stream[s]) for s in over)
+        open_ = open_ - over if over else set()
+    dealt = []
+    for sid, s in enumerate(sources, 1):
+        size, take = len(stream[s]), round(target[s])
+        if size and take:
+            blocks = -(-size // block_words)
+            dealt += [(sid, s, size, blocks, take, k) for k in range(take // size * blocks + -(-(take % size) // block_words))]
+    owner = {s: [d for d, t, ws in rows for _ in ws if t == s] for s in sources}
+    taken, out = Counter(), {}
+    for g in range(len(dealt)):
+        sid, s, size, blocks, take, rank = dealt[permuted(g, len(dealt), np.int32(seed))]
+        turn, at, full = rank // blocks, rank % blocks, size // block_words
+        block = permuted(at, full, np.int32(seed), sid, turn) if at < full else at
+        held = min(block_words, size - block * block_words)
+        n = held if turn < take // size else min(held, take % size - at * block_words)
+        span = slice(block * block_words, block * block_words + n)
+        taken.update(owner[s][span])
+        out[g // shard_slots, g % shard_slots] = (s, " ".join(stream[s][span]))
+    return taken, out
+
+
+def test_mix_is_the_plain_one(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice(["a", "b", "b", "b", "c", None]), " ".join(f"w{i}x{k}" for k in range(r.choice([0, 1, 5, 40, 130])))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    m = mixing.Mix(docs, block_words=16, shard_slots=32, seed=3, rows_a_chunk=30)
+    start = {x.doc_id: x.start for x in m.rows.collect()}
+    stream = [(i, s, t.split()) for i, s, t in sorted(rows, key=lambda x: (start[x[0]], len(x[2])))]
+    taken, shards = plain_mix(stream, 3, 16, 32)
+    assert {x.doc_id: x.taken for x in m.taken().collect()} == {i: taken[i] for i, _, _ in rows}
+    assert {(x.shard, x.slot): (x.source, x.text) for x in m.shards().collect()} == shards
+    words = Counter(w for _, t in shards.values() for w in t.split())
+    assert Counter(w for x in m.documents().collect() for w in x.text.split()) == words
+    counts = Counter((k, s) for (k, _), (s, _) in shards.items())
+    names = {x.sid: x.source for x in m.sources.collect()}
+    assert {(x.shard, names[x.sid]): x.n for x in m.shard_counts().collect()} == counts
 
 
 def test_lexicon():
@@ -402,6 +479,35 @@ def test_chat_layouts(spark):
     assert [tuple(r)[2:] for r in chat.canonical_rows(wide).orderBy("turn").collect()] == [("user", "do\n\nx"), ("assistant", "done")]
 
 
+def test_chat_layouts_keep_every_turn(spark):
+    """Null and missing fields, empty lists, parts, other fields beside a layout's."""
+    rows = {
+        '{"messages":[{"role":"assistant","content":null},{"role":"user","content":"hi"}]}': ("messages", [("assistant", ""), ("user", "hi")]),
+        '{"messages":[{"role":"user"},{"content":"yo"},{"role":"gpt","content":7}]}': ("messages", [("user", ""), ("", "yo"), ("assistant", "7")]),
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"see"},{"type":"image","url":"u"},"this"]}]}': ("messages", [("user", "see\nthis")]),
+        '{"messages":[]}': ("messages", [(None, None)]),
+        '{"system":"be kind","messages":[{"role":"user","content":"hi"}]}': ("messages system", [("system", "be kind"), ("user", "hi")]),
+        '{"system":null,"conversations":[{"from":"human","value":"a"}]}': ("conversations system", [("user", "a")]),
+        '{"prompt":"p","response":"r","instruction":"i"}': ("prompt", [("user", "p"), ("assistant", "r")]),
+        '{"prompt":"p","response":null}': ("prompt", [("user", "p"), ("assistant", "")]),
+        '{"text":"x","role":"y","turn":1,"question":"q","answer":"a"}': ("question", [("user", "q"), ("assistant", "a")]),
+        '{"instruction":"do","output":"done","system":"s"}': ("instruction only system", [("system", "s"), ("user", "do"), ("assistant", "done")]),
+        '{"prompt":"p","messages":[{"role":"user","content":"hi"}]}': ("messages", [("user", "hi")]),
+        '{"messages":"not a list"}': (None, [(None, None)]),
+        '[1, 2]': (None, [(None, None)]),
+    }
+    t = spark.createDataFrame(list(enumerate(rows)), "conv_id long, j string").select("*", F.lit(0).alias("turn"), F.lit("c").alias("layout"), F.lit("m").alias("_messages"), F.lit("v").alias("_v"))
+    got = defaultdict(list)
+    for r in chat.canonical_json(t, "j").orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.layout, r.role, r.text))
+    for k, (layout, turns) in enumerate(rows.values()):
+        assert got[k] == [(layout, *x) for x in turns], list(rows)[k]
+    empty = spark.createDataFrame([], "conv_id long, j string")
+    assert chat.canonical_json(empty, "j").count() == 0
+    table = spark.createDataFrame([(1, "s", [("user", None), (None, "x")]), (2, None, None)], "conv_id long, system string, messages array<struct<role:string,content:string>>")
+    assert sorted(tuple(r) for r in chat.canonical_rows(table).collect()) == [(1, 0, "system", "s"), (1, 1, "user", ""), (1, 2, "", "x")]
+
+
 def test_chat_round_trip(spark):
     r = random.Random(6)
     alphabet = ["\\", "<|", "<\\|", "|", "<", "n", "\n", "<|im_end|>\n", "<|im_start|>", "é", "😀"]

@@ -56,6 +56,13 @@ def test_topk(spark):
     assert got == [(0, 1, 7, s), (0, 2, 7, s), (0, 3, 50, s), (50, 1, 0, s), (50, 2, 7, s), (50, 3, 7, s)]
     empty = bsi_topk.quantise(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert bsi_topk.top_k(empty, empty).count() == 0
+    big = spark.createDataFrame([(0, [1.0, 3.6e16]), (50, [0.5, 1.0])], "vec_id long, embedding array<double>").select("*", F.lit(1).alias("dim"), F.lit(2).alias("block"), F.lit(3).alias("queries"))
+    with pytest.raises(Exception, match="too large a component"):
+        v = bsi_topk.quantise(big, "vec_id", "embedding")
+        bsi_topk.top_k(v, v).collect()
+    far = big.withColumn("embedding", F.transform("embedding", lambda x: F.least(x, F.lit(5e6))))
+    v = bsi_topk.quantise(far, "vec_id", "embedding")
+    assert [tuple(r) for r in bsi_topk.top_k(v, v).orderBy("query_id").collect()] == [(0, 1, 50, 256 * 128 + 1_280_000_000 * 256), (50, 1, 0, 256 * 128 + 1_280_000_000 * 256)]
 
 
 def test_simhash(docs, nothing):
@@ -70,6 +77,29 @@ def test_simhash(docs, nothing):
     assert simhash.near_groups(nothing).count() == 0 and simhash.dedup(nothing).count() == 0
 
 
+UNIQUE = {k: " ".join(f"{k}{i * 7919 % 1000}" for i in range(60)) for k in "tuvwx"}
+ONE_ID = [(1, UNIQUE["t"]), (5, UNIQUE["t"]), (5, UNIQUE["u"]), (7, UNIQUE["v"]), (7, UNIQUE["w"]), (7, UNIQUE["w"]), (8, UNIQUE["v"]), (None, UNIQUE["x"]), (None, UNIQUE["x"]), (None, UNIQUE["t"])]
+
+
+def test_simhash_keeps_every_unique_text(spark):
+    """An id with several texts: each text is judged by itself."""
+    d = spark.createDataFrame(ONE_ID, "doc_id long, text string").select("*", F.lit(1).alias("_quillon_h0"), F.lit(2).alias("fp"))
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.dedup(d).collect()))
+    assert got == sorted([(1, UNIQUE["t"]), (5, UNIQUE["u"]), (7, UNIQUE["v"]), (7, UNIQUE["w"]), (0, UNIQUE["x"]), (0, UNIQUE["x"]), (0, UNIQUE["t"])])
+    same = spark.createDataFrame([(3, UNIQUE["t"]), (3, UNIQUE["t"] + " " + UNIQUE["t"]), (4, UNIQUE["t"])], "doc_id long, text string")
+    assert len({r.component_id for r in simhash.near_groups(same).collect()}) == 1
+    assert [r.doc_id for r in simhash.dedup(same).collect()] == [3]
+
+
+def test_paragraphs_of_one_id(spark):
+    """Rows of one id, or without one, lose only their own repeated lines."""
+    line = "a line of seven words that repeats"
+    rows = [(5, f"{line}\nonly in the first text of five"), (5, f"second text of five is its own\n{line}"), (9, f"nine\n{line}\nnine more words of its own here"), (None, f"x\n{line}"), (None, "y stands alone here")]
+    out = sorted(r.text for r in paragraph_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    gone = [t.replace(line, "").strip("\n") for _, t in rows]
+    assert sum(line in t for t in out) == 1 and sorted(t.replace(line, "").strip("\n").replace("\n\n", "\n") for t in out) == sorted(g.replace("\n\n", "\n") for g in gone)
+
+
 def test_exact(docs, nothing):
     got = exact_dedup.exact_groups(docs).collect()
     assert len(got) == len(ROWS)
