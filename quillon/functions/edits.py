@@ -5,15 +5,16 @@ Positions count grapheme clusters, which Java's ``\\X`` splits inside Spark. Nul
 
 from __future__ import annotations
 
-import string
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import regexes
 
-OPS = ("drop", "chop", "take", "slice", "trim", "ltrim", "rtrim", "upper", "lower", "title", "lpad", "rpad", "prefix", "suffix", "replace", "s/")
 UNICODE_SPACE = r"\p{IsWhite_Space}"
 
 
@@ -148,145 +149,125 @@ class Substitute:
 Op = Slice | Trim | Case | Pad | Affix | Replace | Substitute
 
 
-class _Reader:
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
-
-    def blanks(self) -> int:
-        while self.at < len(self.text) and self.text[self.at].isspace():
-            self.at += 1
-        return self.at
-
-    def word(self) -> str:
-        end = self.at
-        while end < len(self.text) and not self.text[end].isspace() and self.text[end] != "|":
-            end += 1
-        return self.text[self.at : end]
-
-    def take_word(self) -> tuple[str, int]:
-        start = self.blanks()
-        w = self.word()
-        self.at += len(w)
-        return w, start
-
-    def count(self) -> int:
-        w, start = self.take_word()
-        if not (w.removeprefix("+").isascii() and w.removeprefix("+").isdigit()):
-            raise EditError(f'expected a number, found "{w}"' if w else "expected a number", start, start + len(w))
-        return int(w)
-
-    def string(self, what: str | None = None) -> str | None:
-        start = self.blanks()
-        if self.at == len(self.text) or self.text[self.at] == "|":
-            if what:
-                raise EditError(f"expected {what}", start, start)
-            return None
-        if self.text[self.at] != '"':
-            return self.take_word()[0]
-        out, i = [], self.at + 1
-        while i < len(self.text):
-            c = self.text[i]
-            if c == '"':
-                self.at = i + 1
-                return "".join(out)
-            if c == "\\":
-                i += 1
-                if i == len(self.text):
-                    break
-                c = {"n": "\n", "t": "\t"}.get(self.text[i], self.text[i])
-            out.append(c)
-            i += 1
-        raise EditError("unterminated string", start, len(self.text))
-
-    def delimited(self, d: str) -> str | None:
-        """Up to the next bare ``d``; an escaped one stands for itself, other escapes stay."""
-        out = []
-        while self.at < len(self.text):
-            c = self.text[self.at]
-            self.at += 1
-            if c == d:
-                return "".join(out)
-            if c == "\\" and self.at < len(self.text):
-                n = self.text[self.at]
-                self.at += 1
-                c = n if n == d else c + n
-            out.append(c)
-        return None
-
-    def substitute(self) -> Substitute:
-        start, d = self.at, self.text[self.at + 1]
-        self.at += 2
-        first = self.at
-        pattern = self.delimited(d)
-        last = self.at - 1
-        new = self.delimited(d) if pattern is not None else None
-        if new is None:
-            raise EditError(f"unterminated regex: expected s{d}pattern{d}replacement{d}", start, len(self.text))
-        flags = ""
-        while self.at < len(self.text) and (c := self.text[self.at]) != "|" and not c.isspace():
-            if c not in "gi":
-                raise EditError(f"unknown regex flag '{c}' (g, i)", self.at, self.at + 1)
-            flags += c
-            self.at += 1
-        try:
-            regexes.check(pattern)
-        except ValueError as e:
-            raise EditError(f"regex: {e}", first, last) from None
-        return Substitute(pattern, new, "g" in flags, "i" in flags)
-
-    def op(self) -> Op:
-        start = self.at
-        if self.text[start] == "s" and self.text[start + 1 : start + 2] in tuple(string.punctuation):
-            return self.substitute()
-        name, _ = self.take_word()
-        if name in ("drop", "chop", "take"):
-            n = self.count()
-            return Slice(n, None, name) if name == "drop" else Slice(None, -n if name == "chop" else n, name)
-        if name == "slice":
-            w, at = self.take_word()
-            ends = w.split(":", 1)
-            try:
-                a, b = (int(x) if x else None for x in ends)
-            except ValueError:
-                raise EditError("expected a range like 1:, :-1 or 2:5", at, at + len(w)) from None
-            return Slice(a, b)
-        if name in ("trim", "ltrim", "rtrim"):
-            return Trim(name, self.string() or None)
-        if name in ("upper", "lower", "title"):
-            return Case(name)
-        if name in ("lpad", "rpad"):
-            n, at = self.count(), self.blanks()
-            fill = self.string()
-            fill = " " if fill is None else fill
-            import regex
-
-            if len(regex.findall(r"\X", fill)) != 1:
-                raise EditError("the fill must be one character", at, self.at)
-            return Pad(name, n, fill)
-        if name in ("prefix", "suffix"):
-            return Affix(name, self.string("text"))
-        if name == "replace":
-            at = self.blanks()
-            old = self.string("the text to replace")
-            if not old:
-                raise EditError("the text to replace is empty", at, self.at)
-            return Replace(old, self.string("the replacement"))
-        raise EditError(f'unknown edit "{name}" ({", ".join(OPS[:-1])}, s/re/rep/)' if name else "expected an edit", start, start + len(name))
+#: One token of a chain: blanks, the bar, text in quotes (or a quote left open), a bare word.
+_TOKEN = re.compile(r'(?P<blank>\s+)|(?P<bar>\|)|"(?P<quoted>(?:[^"\\]|\\.)*)"|(?P<open>"[\s\S]*)|(?P<word>[^\s|]+)', re.S)
+#: A substitution, which reads to its own delimiter; the delimiter is any ASCII punctuation.
+_SUBSTITUTION = re.compile(r"s(?P<d>[!-/:-@\[-`{-~])(?:(?P<old>(?:(?!(?P=d))(?:\\.|[^\\]))*)(?P=d)(?P<new>(?:(?!(?P=d))(?:\\.|[^\\]))*)(?P=d)(?P<flags>[^\s|]*))?", re.S)
+_RANGE = re.compile(r"([+-]?[0-9]+)?:([+-]?[0-9]+)?")
+
+
+@dataclass(frozen=True)
+class _Word:
+    text: str
+    start: int
+    end: int
+    bare: bool = True
+
+
+def _count(name: str, w: _Word) -> int:
+    if not w.bare or not re.fullmatch(r"\+?[0-9]+", w.text):
+        raise EditError(f"{name} takes a count, and {w.text} is none", w.start, w.end)
+    return int(w.text)
+
+
+def _range(name: str, w: _Word) -> tuple[int | None, int | None]:
+    ends = _RANGE.fullmatch(w.text) if w.bare else None
+    if not ends:
+        raise EditError(f"{name} takes a range such as 2:5, 1: or :-1, and {w.text} is none", w.start, w.end)
+    return tuple(int(x) if x else None for x in ends.groups())
+
+
+def _fill(name: str, w: _Word) -> str:
+    if not regex.fullmatch(r"\X", w.text):
+        raise EditError(f"{name} fills with one character", w.start, w.end)
+    return w.text
+
+
+def _sought(name: str, w: _Word) -> str:
+    if not w.text:
+        raise EditError(f"{name} needs something to look for", w.start, w.end)
+    return w.text
+
+
+def _any(name: str, w: _Word) -> str:
+    return w.text
+
+
+#: What may be missing at the end of an edit's arguments is None here; the others are said to be missing by this name.
+_NEEDED = {_count: "a count", _range: "a range", _any: "a text", _sought: "a text to look for"}
+#: How each edit is written: the readers of its arguments, how many of them may be left out, and what they make.
+_EDITS = {
+    "drop": ((_count,), 0, lambda n: Slice(n, None, "drop")),
+    "chop": ((_count,), 0, lambda n: Slice(None, -n, "chop")),
+    "take": ((_count,), 0, lambda n: Slice(None, n, "take")),
+    "slice": ((_range,), 0, lambda ends: Slice(*ends)),
+    **{name: ((_any,), 1, lambda chars=None, name=name: Trim(name, chars or None)) for name in ("trim", "ltrim", "rtrim")},
+    **{name: ((), 0, lambda name=name: Case(name)) for name in ("upper", "lower", "title")},
+    **{name: ((_count, _fill), 1, lambda n, fill=" ", name=name: Pad(name, n, fill)) for name in ("lpad", "rpad")},
+    **{name: ((_any,), 0, lambda text, name=name: Affix(name, text)) for name in ("prefix", "suffix")},
+    "replace": ((_sought, _any), 0, Replace),
+}
+
+
+def _substitution(found: re.Match, end: int) -> Substitute:
+    d = found["d"]
+    if found["old"] is None:
+        raise EditError(f"this substitution stops short of s{d}pattern{d}text{d}", found.start(), end)
+    old, new = (re.sub(r"\\(.)", lambda m: d if m[1] == d else m[0], found[part], flags=re.S) for part in ("old", "new"))
+    for k, flag in enumerate(found["flags"], found.start("flags")):
+        if flag not in "gi":
+            raise EditError(f"a substitution has the flags g and i, not {flag}", k, k + 1)
+    try:
+        regexes.check(old)
+    except ValueError as e:
+        raise EditError(f"the pattern can't be read: {e}", *found.span("old")) from None
+    return Substitute(old, new, "g" in found["flags"], "i" in found["flags"])
+
+
+def _chain(text: str) -> Iterator[tuple[int, int, Substitute | None, list[_Word]]]:
+    """Each edit between bars: where it begins and ends, and either a substitution or its words."""
+    at, begin, words, made = 0, 0, [], None
+    while at < len(text):
+        if not words and made is None and (found := _SUBSTITUTION.match(text, at)):
+            made = _substitution(found, len(text))
+            at = found.end()
+            continue
+        token = _TOKEN.match(text, at)
+        at = token.end()
+        if token["open"] is not None:
+            raise EditError("this text has no closing quote", token.start(), len(text))
+        if token["bar"]:
+            yield begin, token.start(), made, words
+            begin, words, made = at, [], None
+        elif token["quoted"] is not None:
+            said = re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), token["quoted"], flags=re.S)
+            words.append(_Word(said, *token.span(), bare=False))
+        elif token["word"]:
+            words.append(_Word(token["word"], *token.span()))
+    yield begin, len(text), made, words
 
 
 def parse_ops(text: str) -> list[Op]:
     """``op ("|" op)*``, at least one."""
-    r, out = _Reader(text), []
-    while True:
-        if r.blanks() == len(text):
-            raise EditError("expected an edit after |" if out else "expected an edit, e.g. drop 1", len(text), len(text))
-        out.append(r.op())
-        if r.blanks() == len(text):
-            return out
-        if text[r.at] != "|":
-            w = r.word() or text[r.at]
-            raise EditError(f'expected | or the end, found "{w}"', r.at, r.at + len(w))
-        r.at += 1
+    out: list[Op] = []
+    for begin, end, made, words in _chain(text):
+        if made is not None:
+            extra = words
+        elif not words:
+            raise EditError("no edit follows the |" if begin else "nothing to do: name an edit, such as drop 1", end, end)
+        else:
+            name, arguments = words[0].text, words[1:]
+            if name not in _EDITS or not words[0].bare:
+                raise EditError(f"there is no edit {name} ({', '.join(_EDITS)}, s/pattern/text/)", words[0].start, words[0].end)
+            readers, optional, make = _EDITS[name]
+            if len(arguments) < len(readers) - optional:
+                raise EditError(f"{name} takes {_NEEDED[readers[len(arguments)]]}", end, end)
+            made = make(*(read(name, w) for read, w in zip(readers, arguments, strict=False)))
+            extra = arguments[len(readers) :]
+        if extra:
+            raise EditError(f"{extra[0].text} comes where | or the end belongs", extra[0].start, extra[0].end)
+        out.append(made)
+    return out
 
 
 def apply(s: Column, ops: list[Op] | tuple[Op, ...], is_null: Column | None = None) -> Column:

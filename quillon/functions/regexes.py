@@ -19,9 +19,9 @@ def check(pattern: str) -> None:
     """ValueError if the pattern is not an expression of the language."""
     bare = re.sub(r"\\.", "", pattern, flags=re.S)
     if re.search(r"\(\?(?:[=!>|R]|<[=!])", bare):
-        raise ValueError("look-around is not supported")
+        raise ValueError("patterns have no look-around")
     if re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\k<", pattern):
-        raise ValueError("backreferences are not supported")
+        raise ValueError("patterns have no back-references")
     try:
         regex.compile(pattern)
     except regex.error as e:
