@@ -2,38 +2,54 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from fractions import Fraction
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-_UNITS = ("B", "K", "M", "G", "T")
+_SCALED = regex.compile(r"(?=\.?[0-9])(?P<whole>[0-9]*)(?P<point>\.(?P<part>[0-9]*))?\s*(?P<unit>[A-Za-z]*)")
+_BINARY = {"": 1, "b": 1} | {unit + end: 1 << 10 * k for k, unit in enumerate("kmgt", 1) for end in ("", "b", "ib")}
+_DECIMAL = {"": 1} | {unit: 1000**k for k, unit in enumerate("kmgt", 1)}
+
+
+def _scaled(text: str, units: dict[str, int], what: str) -> int:
+    found = _SCALED.fullmatch(text.strip())
+    factor = units.get(found["unit"].lower()) if found else None
+    if factor is None:
+        raise ValueError(f"{text!r} is no {what}")
+    if found["point"] and factor == 1:
+        raise ValueError(f"{text!r}: a fraction needs a unit")
+    value = int(Fraction(f"{found['whole'] or 0}.{found['part'] or 0}") * factor)
+    if value >= 1 << 64:
+        raise ValueError(f"{text!r} is beyond 64 bits")
+    return value
 
 
 def parse_size(text: str) -> int:
-    """``512``, ``64K``, ``1.5GiB``: binary units. ValueError for anything else."""
-    found = re.fullmatch(r"\s*([0-9]+(?:\.[0-9]+)?)\s*(?:([kKmMgGtT])(?:[iI]?[bB])?|[bB])?\s*", text)
-    if not found:
-        raise ValueError(f"not a size: {text!r}")
-    return int(float(found[1]) * 1024 ** ("kmgt".index(found[2].lower()) + 1 if found[2] else 0))
+    """``512``, ``64K``, ``1.5GiB``: binary units, rounded down to bytes. ValueError for zero and anything else."""
+    value = _scaled(text, _BINARY, "size")
+    if not value:
+        raise ValueError("a size is more than zero")
+    return value
 
 
 def parse_count(text: str) -> int:
-    """``1_000``, ``10k``, ``2.5M``: decimal units."""
-    found = re.fullmatch(r"\s*([0-9][0-9_,]*(?:\.[0-9]+)?)\s*([kKmMgGbBtT])?\s*", text)
-    if not found:
-        raise ValueError(f"not a count: {text!r}")
-    scale = {"k": 3, "m": 6, "g": 9, "b": 9, "t": 12}[found[2].lower()] if found[2] else 0
-    return int(float(found[1].replace("_", "").replace(",", "")) * 10**scale)
+    """``250``, ``10k``, ``2.5M``: decimal units, rounded down."""
+    return _scaled(text, _DECIMAL, "count")
 
 
 def format_size(n: int) -> str:
-    value, unit = float(n), 0
-    while value >= 1024 and unit < len(_UNITS) - 1:
-        value, unit = value / 1024, unit + 1
-    return f"{n} B" if unit == 0 else f"{value:.1f} {_UNITS[unit]}iB"
+    """``512 B``, ``4.2 KB``: 1 KB is 1,024 B; to the nearest tenth."""
+    if n < 1024:
+        return f"{n} B"
+    for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
+        tenths = (20 * n + (1 << 10 * power)) >> (10 * power + 1)
+        if tenths < 10_240 or unit == "PB":
+            break
+    return f"{tenths // 10}.{tenths % 10} {unit}"
 
 
 def format_count(n: int) -> str:
@@ -41,66 +57,101 @@ def format_count(n: int) -> str:
 
 
 def format_count_compact(n: int) -> str:
+    """``999``, ``1.2k``, ``412M``: rounded down, a tenth only below a hundred of the unit."""
     for scale, unit in ((10**12, "T"), (10**9, "G"), (10**6, "M"), (10**3, "k")):
         if n >= scale:
-            return f"{n / scale:.1f}".rstrip("0").rstrip(".") + unit
+            whole, tenth = divmod(10 * n // scale, 10)
+            return f"{whole}.{tenth}{unit}" if tenth and whole < 100 else f"{whole}{unit}"
     return str(n)
 
 
-def format_rate(bytes_: int, seconds: float) -> str:
-    return f"{format_size(int(bytes_ / seconds))}/s" if seconds > 0 else "-"
+def format_rate(bytes_: float, seconds: float = 1.0) -> str:
+    """Bytes a second; nothing known is nothing a second."""
+    rate = bytes_ / seconds if seconds > 0 else 0.0
+    return f"{format_size(int(rate) if 0 < rate < float('inf') else 0)}/s"
 
 
-def format_eta(seconds: float) -> str:
-    s = max(0, round(seconds))
-    return f"{s // 3600}h {s // 60 % 60:02}m" if s >= 3600 else f"{s // 60}m {s % 60:02}s" if s >= 60 else f"{s}s"
+def format_eta(seconds: float | None) -> str:
+    """``~23 s left``, ``~4 min left``, ``~1 h 12 min left``; a dash where nothing is known."""
+    if seconds is None:
+        return "—"
+    s = max(1, int(seconds + 0.5))
+    if s < 60:
+        return f"~{s} s left"
+    hours, minutes = divmod((s + 30) // 60, 60)
+    return "~" + " ".join([f"{hours} h"] * (hours > 0) + [f"{minutes} min"] * (minutes > 0)) + " left"
 
 
-def char_width(c: str) -> int:
-    """Terminal cells: 0 for combining marks and controls, 2 for wide characters."""
-    if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cc", "Cf"):
+def _cell_width(c: str) -> int:
+    if unicodedata.category(c) in ("Mn", "Me", "Cc", "Cf") or "\u1160" <= c <= "\u11ff":
         return 0
     return 2 if unicodedata.east_asian_width(c) in "WF" else 1
 
 
+def grapheme_width(g: str) -> int:
+    """Terminal cells of one grapheme cluster: joined, flagged or emoji-styled symbols are two."""
+    if len(g) == 1:
+        return _cell_width(g)
+    if "\ufe0f" in g or "\u200d" in g and _cell_width(g[0]) == 2 or all("\U0001f1e6" <= c <= "\U0001f1ff" for c in g):
+        return 2
+    return sum(0 if "\U0001f3fb" <= c <= "\U0001f3ff" and k else _cell_width(c) for k, c in enumerate(g))
+
+
+def graphemes(s: str) -> list[str]:
+    return regex.findall(r"\X", s)
+
+
 def width(s: str) -> int:
-    return len(s) if s.isascii() and s.isprintable() else sum(map(char_width, s))
+    return len(s) if s.isascii() and s.isprintable() else sum(map(grapheme_width, graphemes(s)))
 
 
 def prefix_within(s: str, cells: int) -> str:
-    """The longest prefix of at most this many cells."""
-    used = 0
-    for i, c in enumerate(s):
-        used += char_width(c)
+    """The longest prefix of whole graphemes of at most this many cells."""
+    used = end = 0
+    for g in graphemes(s):
+        used += grapheme_width(g)
         if used > cells:
-            return s[:i]
-    return s
+            break
+        end += len(g)
+    return s[:end]
 
 
 def truncate_end(s: str, cells: int) -> str:
-    return s if width(s) <= cells else prefix_within(s, max(cells - 1, 0)) + "…" if cells else ""
+    return s if width(s) <= cells else prefix_within(s, cells - 1) + "…" if cells > 0 else ""
 
 
 def truncate_middle(s: str, cells: int) -> str:
+    """Both ends, the first with the odd cell."""
     if width(s) <= cells:
         return s
-    if cells <= 1:
-        return "…"[:cells]
-    head = (cells - 1 + 1) // 2
-    return prefix_within(s, head) + "…" + prefix_within(s[::-1], cells - 1 - head)[::-1]
+    if cells <= 0:
+        return ""
+    head = prefix_within(s, cells // 2)
+    room, tail = cells - 1 - width(head), []
+    for g in reversed(graphemes(s[len(head) :])):
+        room -= grapheme_width(g)
+        if room < 0:
+            break
+        tail.append(g)
+    return head + "…" + "".join(reversed(tail))
 
 
-def fit(s: str, cells: int) -> str:
-    """Cut or padded to exactly this many cells."""
-    s = truncate_end(s, cells)
-    return s + " " * (cells - width(s))
+def fit(s: str, cells: int, right: bool = False) -> str:
+    """Cut or padded to exactly this many cells; a wide character that would be split is a blank before the ellipsis."""
+    missing = cells - width(s)
+    if missing >= 0:
+        return " " * missing + s if right else s + " " * missing
+    if cells <= 0:
+        return ""
+    head = prefix_within(s, cells - 1)
+    return head + " " * (cells - 1 - width(head)) + "…"
 
 
-_BIDI = frozenset("\u200e\u200f\u061c\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069")
+_BIDI = frozenset("\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069")
 
 
 def display_segments(s: str) -> list[tuple[str, bool]]:
-    """(text, escaped) runs: control and direction characters come as visible escapes."""
+    """(text, escaped) runs: control and direction characters come as visible escapes. An empty text is one empty run."""
     out: list[list] = []
     for c in s:
         named = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c)
@@ -110,7 +161,7 @@ def display_segments(s: str) -> list[tuple[str, bool]]:
             out[-1][0] += piece
         else:
             out.append([piece, escaped])
-    return [(a, b) for a, b in out]
+    return [(a, b) for a, b in out] or [("", False)]
 
 
 def levenshtein(a: str, b: str) -> int:

@@ -40,11 +40,20 @@ def test_formats(spark):
 
 
 def test_text_helpers(spark):
-    assert text.parse_size("64K") == 65536 and text.parse_size("1.5GiB") == 3 << 29 and text.parse_size("7") == 7
-    assert text.parse_count("1_000") == 1000 and text.parse_count("2.5M") == 2_500_000
-    assert text.format_size(1536) == "1.5 KiB" and text.format_count(1234567) == "1,234,567" and text.format_count_compact(1_500_000) == "1.5M"
-    assert text.format_eta(3700) == "1h 01m" and text.format_rate(2048, 1) == "2.0 KiB/s"
-    assert text.width("漢字a") == 5 and text.truncate_end("abcdef", 4) == "abc…" and text.truncate_middle("abcdef", 5) == "ab…ef" and text.fit("ab", 4) == "ab  "
+    assert text.parse_size("64K") == 65536 and text.parse_size("1.5GiB") == 3 << 29 and text.parse_size("7") == text.parse_size("7 b") == 7
+    assert text.parse_count("0") == 0 and text.parse_count("2.5M") == 2_500_000 and text.parse_count(".5k") == 500
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 4300: "4.2 KB", 1536: "1.5 KB", 1048524: "1023.9 KB", 1048575: "1.0 MB", 1 << 40: "1.0 TB", 1 << 62: "4096.0 PB"}
+    assert {n: text.format_size(n) for n in sizes} == sizes
+    counts = {999: "999", 1000: "1k", 1_250: "1.2k", 20_000: "20k", 12_345_678: "12.3M", 412_900_000: "412M", 1_500_000_000: "1.5G", 2 * 10**12: "2T"}
+    assert {n: text.format_count_compact(n) for n in counts} == counts and text.format_count(1234567) == "1,234,567"
+    etas = {None: "—", 0: "~1 s left", 23: "~23 s left", 59.6: "~1 min left", 240: "~4 min left", 3600: "~1 h left", 4320: "~1 h 12 min left"}
+    assert {s: text.format_eta(s) for s in etas} == etas and text.format_rate(2048, 1) == "2.0 KB/s" and text.format_rate(1, 0) == "0 B/s"
+    assert text.width("漢字a") == 5 and text.width("e\u0301" * 3) == 3 and text.width("🦀") == text.width("👨\u200d👩\u200d👧") == text.width("🇩🇪") == 2
+    assert text.truncate_end("abcdef", 4) == "abc…" and text.truncate_end("日本語", 4) == "日…" and text.truncate_end("abc", 0) == ""
+    assert text.truncate_middle("abcdef", 5) == "ab…ef" and text.truncate_middle("abcdef", 4) == "ab…f" and text.truncate_middle("日本語", 3) == "…語"
+    assert [text.fit("ab", 4), text.fit("ab", 4, right=True), text.fit("日本語", 4), text.fit("a🦀b", 3), text.fit("日", 1), text.fit("x", 0)] == ["ab  ", "  ab", "日 …", "a …", "…", ""]
+    assert text.fit("e\u0301" * 3, 2) == "e\u0301…" and text.prefix_within("👨\u200d👩\u200d👧x", 1) == "" and text.display_segments("") == [("", False)]
+    assert text.display_segments("\u200fx") == [("\u200fx", False)]
     assert text.display_segments("a\tb‮") == [("a", False), ("\\t", True), ("b", False), ("\\u{202e}", True)]
     assert text.levenshtein("price", "prcie") == 2
     df = spark.createDataFrame([("漢字",), ("abc",), (None,)], "s string")
