@@ -8,7 +8,7 @@ from quillon.operators import export as exports
 from quillon.operators.profile import profile
 from quillon.operators.saved import SavedViews
 from quillon.operators.views import ViewStack
-from quillon.plans.names import NameError_, match_column
+from quillon.plans.names import NameError_, goto_column, match_column
 
 COMMANDS = ("sort", "filter", "set type", "set hints", "set inspector", "freeze", "profile", "open", "export", "goto", "edit", "reset edits", "dupes", "dedupe", "delete view")
 
@@ -89,7 +89,7 @@ class Workbench:
                     return self.stack.active.goto(c.args)
                 except ValueError:
                     try:
-                        return self.source.column(c.args)
+                        return self.source.columns[goto_column(c.args, self.source.names)]
                     except NameError_ as e:
                         raise CommandError(str(e)) from None
             case "open":

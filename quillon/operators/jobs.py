@@ -1,10 +1,10 @@
-"""Running work in the background under a name: one of a kind at a time, cancelled by Spark's job tags."""
+"""Running work in the background: exclusive kinds in their tab, filters that replace one another, progress by job."""
 
 from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
@@ -18,6 +18,8 @@ ALONE = ("sort", "profile", "export", "dupes")
 class Job:
     kind: str
     tag: str
+    tab: Hashable = None
+    parent: Hashable = None  # what a filter filters
     state: str = "queued"  # running, done, failed, cancelled
     result: object = None
     error: BaseException | None = None
@@ -25,22 +27,25 @@ class Job:
 
 
 class Jobs:
+    """Spark runs each job's stages under a job group of its own. A running stage can't be paused."""
+
     def __init__(self, spark: SparkSession):
         self.spark, self.jobs = spark, []
 
-    def submit(self, kind: str, work: Callable[[], object]) -> Job:
-        """A second job of a kind that runs alone is refused; a new filter cancels those before it."""
+    def submit(self, kind: str, work: Callable[[], object], tab: Hashable = None, parent: Hashable = None) -> Job:
+        """A second job of a kind that runs alone is refused in its tab; a new filter cancels those on the same parent."""
         if kind not in KINDS:
-            raise ValueError(f"unknown kind {kind}")
-        running = [j for j in self.jobs if j.kind == kind and not j.done.is_set()]
+            raise ValueError(f"no job is of kind {kind}")
+        running = [j for j in self.jobs if j.kind == kind and j.tab == tab and not j.done.is_set()]
         if running and kind in ALONE:
-            raise RuntimeError(f"a {kind} is running")
+            raise RuntimeError(f"this tab already has a {kind} under way")
         for j in running:
-            self.cancel(j)
-        job = Job(kind, f"quillon-{uuid.uuid4().hex}")
+            if kind == "filter" and j.parent == parent:
+                self.cancel(j)
+        job = Job(kind, f"quillon-{uuid.uuid4().hex}", tab, parent)
 
         def run() -> None:
-            self.spark.addTag(job.tag)
+            self.spark.sparkContext.setJobGroup(job.tag, job.kind, interruptOnCancel=True)
             try:
                 if job.state == "queued":
                     job.state = "running"
@@ -50,7 +55,6 @@ class Jobs:
                 job.error = e
                 job.state = "failed" if job.state == "running" else job.state
             finally:
-                self.spark.removeTag(job.tag)
                 job.done.set()
 
         self.jobs.append(job)
@@ -60,10 +64,11 @@ class Jobs:
     def cancel(self, job: Job) -> None:
         if not job.done.is_set():
             job.state = "cancelled"
-            self.spark.interruptTag(job.tag)
+            self.spark.sparkContext.cancelJobGroup(job.tag)
 
-    def progress(self) -> dict[int, tuple[int, int]]:
-        """{stage: (tasks done, tasks)} of all that runs."""
+    def progress(self, job: Job) -> tuple[int, int]:
+        """(tasks done, tasks) of the job's stages so far."""
         tracker = self.spark.sparkContext.statusTracker()
-        stages = (tracker.getStageInfo(s) for s in tracker.getActiveStageIds())
-        return {s.stageId: (s.numCompletedTasks, s.numTasks) for s in stages if s}
+        jobs = (tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(job.tag))
+        stages = [s for j in jobs if j for s in map(tracker.getStageInfo, j.stageIds) if s]
+        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)

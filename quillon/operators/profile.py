@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import display_width
@@ -91,6 +91,18 @@ def top5(source: Source, df: DataFrame, c: ColumnMeta) -> DataFrame:
     return df.select(top_key(live).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(TOP)
 
 
+def top_sketch(source: Source, df: DataFrame, c: ColumnMeta, capacity: int = 1024) -> DataFrame:
+    """(value, n, max_overcount): the most frequent values by a mergeable sketch of ``capacity`` counters, in one pass and
+    fixed memory. A value's true count is at most n and at least n - max_overcount. The sketch keeps up to three quarters
+    of its table (a power of two); its counts exceed the true ones by at most 3.5 / table of the rows."""
+    live, _, _ = _parts(source, c)
+    table = 1 << (-(-4 * capacity // 3) - 1).bit_length()
+    key = top_key(live)
+    sketch = df.where(key.isNotNull()).select(key.alias("v")).agg(F.expr(f"approx_top_k(v, {TOP}, {capacity})").alias("t"), F.count("*").alias("rows"))
+    over = F.ceil(F.col("rows") * 3.5 / table).cast("long")
+    return sketch.select(F.explode("t").alias("t"), over.alias("max_overcount")).select(F.col("t.item").alias("value"), F.col("t.count").alias("n"), "max_overcount")
+
+
 def widest(source: Source, c: ColumnMeta) -> Column:
     live, _, _ = _parts(source, c)
     return F.least(F.max(display_width(live)), F.lit(65535))
@@ -102,21 +114,36 @@ def width_p95(source: Source, df: DataFrame, c: ColumnMeta) -> int:
     return df.select(F.least(F.coalesce(display_width(live), F.lit(0)), F.lit(256)).alias("w")).agg(F.expr("percentile_disc(0.95) within group (order by w)")).first()[0] or 0
 
 
+def top5_of(source: Source, df: DataFrame, columns: list[ColumnMeta]) -> DataFrame:
+    """(slot, value, n): the most frequent values of each column, by its slot, in one pass."""
+    cells = F.array_compact(F.array(*(F.when(k.isNotNull(), F.struct(F.lit(i).alias("slot"), k.alias("value"))) for i, c in enumerate(columns) for k in [top_key(_parts(source, c)[0])])))
+    n = df.select(F.explode(cells).alias("c")).groupBy("c.slot", "c.value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("n"), "value"))  # limited to five a task before the shuffle
+    return n.withColumn("_place", place).where(F.col("_place") <= TOP).drop("_place")
+
+
 def profile(source: Source, columns: list[str] | None = None, full: bool = True, sketches: bool = True) -> list[ColumnStats]:
-    """Profiles of the named columns (all: None), of all rows or of the sample; never of a view."""
+    """Profiles of the named columns (all: None), of all rows or of the sample; never of a view. Two jobs, whatever the
+    number of columns: one aggregate of all, one count of all values."""
     chosen = [source.column(n) for n in columns] if columns else list(source.columns)
     df = source.df if full else sample(source)
     aggs, at = [], {}
     for c in chosen:
-        for name, a in (sketched if full and sketches else exact)(source, c).items():
+        for name, a in ((sketched if full and sketches else exact)(source, c) | {"width": widest(source, c)}).items():
             at[c.field, name] = len(aggs)
             aggs.append(a)
     row = df.agg(*(a.alias(f"a{i}") for i, a in enumerate(aggs))).first()
-    widths = df.agg(*(widest(source, c).alias(f"w{i}") for i, c in enumerate(chosen))).first()
+    tops: dict[int, list] = {}
+    for slot, value, n in top5_of(source, df, chosen).orderBy("slot", F.desc("n"), "value").collect():
+        tops.setdefault(slot, []).append((value, n))
     out = []
     for i, c in enumerate(chosen):
         get = lambda name, c=c: row[at[c.field, name]] if (c.field, name) in at else None
-        top = [(r[0], r[1]) for r in top5(source, df, c).collect()]
         label = "all rows" if full else f"sample {row[at[c.field, 'rows_seen']]} rows"
-        out.append(ColumnStats(c.query, c.label, label, get("rows_seen"), get("nulls"), get("distinct"), get("min"), get("max"), get("mean"), get("p50"), get("p95"), widths[i], top))
+        out.append(ColumnStats(c.query, c.label, label, get("rows_seen"), get("nulls"), get("distinct"), get("min"), get("max"), get("mean"), get("p50"), get("p95"), get("width"), tops.get(i, [])))
     return out
+
+
+def stale(stats: ColumnStats, source: Source) -> bool:
+    """Whether a profile was made for another type of its column than the source now reads it by."""
+    return source.column(stats.column).label != stats.type

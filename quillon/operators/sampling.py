@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import values
+from quillon.operators.tables import kept
 
 HEAD = SPREAD = 10_000
 ENUM_MOST = 64
@@ -35,10 +38,35 @@ def in_sample(row: Column, rows: int, head: int = HEAD, spread: int = SPREAD) ->
 def sample(source, head: int = HEAD, spread: int = SPREAD) -> DataFrame:
     from quillon.sources.source import ROW
 
+    if source.sampled is not None and (head, spread) == (HEAD, SPREAD):
+        return source.sampled
     rows = source.scan.rows if source.scan else source.df.count()
     return source.df.where(in_sample(F.col(ROW), rows, head, spread))
 
 
+@dataclass(frozen=True)
+class SampleResult:
+    """A source's sample, read once: after an edit or another type, its statistics come from the rows it holds."""
+
+    source: object
+
+    @staticmethod
+    def of(source) -> SampleResult:
+        return SampleResult(source if source.sampled is not None else replace(source, sampled=kept(sample(source))))
+
+    def stats(self, *columns: str) -> list:
+        """Exact statistics of the sampled rows, as the source now edits and reads them."""
+        from quillon.operators.profile import profile
+
+        return profile(self.source, list(columns) or None, full=False)
+
+    def set_type(self, name: str, label: str) -> SampleResult:
+        return SampleResult(self.source.set_type(name, label))
+
+    def edit(self, name: str, text: str) -> SampleResult:
+        return SampleResult(self.source.edit(name, text))
+
+
 def infer_types(source, fields: list[str] | None = None) -> dict[str, str]:
     """{field: label}: the first type that reads 99 % of a column's sampled values that aren't null; an enum is text of
     2 to 64 distinct values that are at most half of them."""

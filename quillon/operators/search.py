@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import regexes
-from quillon.operators.views import POS, View
+from quillon.operators.views import View
 from quillon.plans.names import NameError_, match_column
 from quillon.sources.source import ROW, ColumnMeta
 
@@ -63,16 +63,21 @@ def columns_of(view: View, s: Search) -> list[ColumnMeta]:
     return [s.column] if s.column else view.source.visible()
 
 
-def hits(view: View, s: Search) -> DataFrame:
-    """(_row_id, slot, column, start, end): each matching cell with the byte range of its first match. Null spellings
-    are text like any other; missing cells have none."""
+def _found(view: View, s: Search) -> Column:
+    """An array of a row's matching cells: slot, column, start and end of the first match in bytes."""
     found = []
     for slot, c in enumerate(columns_of(view, s)):
         t = view.source.text(c)
         at, what = _first(t, s)
         start = F.octet_length(F.substring(t, F.lit(1), at - 1))
         found.append(F.when(at > 0, F.struct(F.lit(slot).alias("slot"), F.lit(c.query).alias("column"), start.alias("start"), (start + F.octet_length(what)).alias("end"))))
-    return view.df.select(ROW, F.explode(F.array_compact(F.array(*found))).alias("h")).select(ROW, "h.slot", "h.column", "h.start", "h.end")
+    return F.array_compact(F.array(*found))
+
+
+def hits(view: View, s: Search) -> DataFrame:
+    """(_row_id, slot, column, start, end): each matching cell with the byte range of its first match. Null spellings
+    are text like any other; missing cells have none."""
+    return view.df.select(ROW, F.explode(_found(view, s)).alias("h")).select(ROW, "h.slot", "h.column", "h.start", "h.end")
 
 
 @dataclass(frozen=True)
@@ -88,11 +93,19 @@ class Hit:
 
 def next_match(view: View, s: Search, pos: int, slot: int, backwards: bool = False) -> Hit | None:
     """The next cell after (pos, slot): later cells of the row, later rows, then from the other end; the cell itself
-    comes last."""
-    found = hits(view, s).join(view.positions(), ROW)
-    here = (F.col(POS) > pos) | ((F.col(POS) == pos) & (F.col("slot") > slot))
+    comes last. Each task hands on the first match of its rows by the view's order; nothing is sorted or numbered."""
+    row_id = view.row_at(pos) if pos >= 0 else None
+    key = None if row_id is None else view.key_of(row_id)
+    if key is None:  # beyond either end
+        past = F.lit((pos < 0) == backwards)
+    else:
+        same, ahead = F.col(ROW) == row_id, view.before(key)
+        inside = F.col("h.slot") < slot if backwards else F.col("h.slot") > slot
+        past = ~((same & inside) | (ahead if backwards else ~ahead & ~same))
+    cells = view.df.withColumn("h", F.explode(_found(view, s)))
     if backwards:
-        here = (F.col(POS) < pos) | ((F.col(POS) == pos) & (F.col("slot") < slot))
-    by = [F.desc(POS), F.desc("slot")] if backwards else [F.asc(POS), F.asc("slot")]
-    r = found.orderBy((~here).cast("int"), *by).select(POS, ROW, "slot", "column", "start", "end", (~here).alias("w")).first()
-    return Hit(*r) if r else None
+        order = [k.asc_nulls_first() if d else k.desc_nulls_first() for k, d in view.order] + [F.col(ROW).desc(), F.col("h.slot").desc()]
+    else:
+        order = [*view.ordering(), F.col("h.slot").asc()]
+    r = cells.orderBy(past.asc(), *order).select(ROW, "h.slot", "h.column", "h.start", "h.end", past.alias("w")).first()
+    return Hit(view.position_of(r[0]), *r) if r else None

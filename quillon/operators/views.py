@@ -6,9 +6,11 @@ order; a sort replaces it, and its ties go by the row id in the file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.tables import kept
@@ -56,11 +58,11 @@ def parse_sort(text: str, source: Source) -> list[SortKey]:
         word, at = part.strip(), start + lead
         end = at + len(word)
         if not word:
-            raise SortError("expected a column", start, start + len(part))
+            raise SortError("a column is missing", start, start + len(part))
         if word[0] == "`":
             close = word.find("`", 1)
             if close < 0:
-                raise SortError("unterminated `", at, end)
+                raise SortError("this backtick has no partner", at, end)
             name, flags = word[1:close], word[close + 1 :]
         else:
             name, _, flags = word.partition(":")
@@ -73,14 +75,14 @@ def parse_sort(text: str, source: Source) -> list[SortKey]:
             elif f == "ci" and not ci:
                 ci = True
             else:
-                raise SortError(f"unknown sort flag {f}", at, end)
+                raise SortError(f"{f} is no way to sort (asc, desc, ci)", at, end)
         found = [c for c in source.columns if name.strip() in (c.query, c.display)]
         if not found and name[:1] == "$" and name[1:].isdigit() and 0 < int(name[1:]) <= len(source.columns):
             found = [source.columns[int(name[1:]) - 1]]
         if not found:
-            raise SortError(f"unknown column {name}", at, end)
+            raise SortError(f"no column is called {name}", at, end)
         if ci and found[0].label not in ("str", "enum"):
-            raise SortError(f"ci needs a text column; {name} is {found[0].label}", at, end)
+            raise SortError(f"only text sorts by ci, and {name} is {found[0].label}", at, end)
         out.append(SortKey(found[0], descending, ci))
     return out
 
@@ -140,15 +142,12 @@ class View:
         return replace(self, df=keyed.join(several, names, "left_semi").select(*self.df.columns), label="duplicates", parent=self)
 
     def dedupe(self, columns: str | None = None) -> View:
-        """The first row of each key in the view's order."""
+        """The first row of each key in the view's order. Each task keeps one row a key before the shuffle (Spark's limit
+        of ranked groups), so a key that most rows share costs one row a task."""
         keyed, names = self._keyed(columns)
-        if self.order:
-            first = F.row_number().over(Window.partitionBy(names).orderBy(*self.ordering()))
-            df = keyed.withColumn("_n", first).where("_n = 1")
-        else:  # the least row id: combined before the shuffle
-            least = keyed.groupBy(names).agg(F.min(ROW).alias(ROW)).select(ROW)
-            df = self.df.join(least, ROW, "left_semi")
-        return replace(self, df=df.select(*self.df.columns), label="deduplicated", parent=self)
+        first = F.row_number().over(Window.partitionBy(names).orderBy(*self.ordering()))
+        df = keyed.withColumn("_n", first).where("_n = 1").select(*self.df.columns)
+        return replace(self, df=df, label="deduplicated", parent=self)
 
     def dupes_summary(self, columns: str | None = None) -> DataFrame:
         """(groups, rows, removed): keys with several rows, the view's rows, and those that dedupe takes out."""
@@ -171,26 +170,53 @@ class View:
         ordered = self.df.orderBy(*self.ordering())
         return (ordered.offset(first) if first else ordered).limit(count)
 
-    def positions(self) -> DataFrame:
-        """(_pos, _row_id): the view's rows numbered from 0. Sorted by ranges and numbered by each range's count, so no
-        task sees all rows; the driver gets a number a range."""
-        ids = self.df.select(ROW, *(k.alias(f"_o{i}") for i, (k, _) in enumerate(self.order)))
+    def numbered(self, *columns: str | Column) -> DataFrame:
+        """(_pos, _row_id, columns): the view's rows numbered from 0. Sorted by ranges, with the wanted columns along, and
+        numbered by each range's count, so no task sees all rows and nothing is joined back; the driver gets a number a
+        range."""
+        ids = self.df.select(ROW, *columns, *(k.alias(f"_o{i}") for i, (k, _) in enumerate(self.order)))
+        wanted = [c for c in ids.columns if not c.startswith("_o")]
         by = [F.col(f"_o{i}").desc_nulls_last() if d else F.col(f"_o{i}").asc_nulls_last() for i, (_, d) in enumerate(self.order)]
-        ranged = kept(ids.orderBy(*by, ROW).select(ROW, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
-        base, bases = 0, []
+        ranged = kept(ids.orderBy(*by, ROW).select(*wanted, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+        base, bases = 0, {"_p": [], "_add": []}
         for p, n, first in ranged.groupBy("_p").agg(F.count("*"), F.min("_m")).orderBy("_p").collect():
-            bases.append((p, base - first))
+            bases["_p"].append(p)
+            bases["_add"].append(base - first)
             base += n
-        known = self.df.sparkSession.createDataFrame(bases, "_p int, _add long")  # a row a range
-        return ranged.join(F.broadcast(known), "_p").select((F.col("_m") + F.col("_add")).alias(POS), ROW)
+        known = self.df.sparkSession.createDataFrame(pa.table(bases, pa.schema([("_p", pa.int32()), ("_add", pa.int64())])))  # a row a range
+        return ranged.join(F.broadcast(known), "_p").select((F.col("_m") + F.col("_add")).alias(POS), *wanted)
+
+    def positions(self) -> DataFrame:
+        """(_pos, _row_id): the view's rows numbered from 0."""
+        return self.numbered()
+
+    def matches(self) -> Iterator[Row]:
+        """The rows as they are found, in the view's order: a filter's first matches show before the last is known. A
+        filter alone is read partition by partition; the driver holds one at a time."""
+        ordered = self.df.orderBy(*self.ordering()) if self.order or not self.source.in_file_order else self.df
+        return ordered.toLocalIterator(prefetchPartitions=True)
+
+    def key_of(self, row_id: int) -> list | None:
+        """A row's sort keys and its id; None if it isn't in the view."""
+        found = self.df.where(F.col(ROW) == row_id).select(*(k.alias(f"_o{i}") for i, (k, _) in enumerate(self.order)), ROW).first()
+        return None if found is None else list(found)
+
+    def before(self, key: list) -> Column:
+        """Whether a row stands before the one of this key."""
+        out, ties = F.lit(False), F.lit(True)
+        for (k, descending), v in zip(self.order, key, strict=False):
+            if v is None:
+                ahead, tie = k.isNotNull(), k.isNull()
+            else:
+                v = F.lit(v).cast(self.df.select(k.alias("k")).schema[0].dataType)
+                ahead, tie = F.coalesce(k > v if descending else k < v, F.lit(False)), F.coalesce(k == v, F.lit(False))
+            out, ties = out | (ties & ahead), ties & tie
+        return out | (ties & (F.col(ROW) < key[-1]))
 
     def position_of(self, row_id: int) -> int | None:
-        """Where a row stands, None if it isn't in the view."""
-        if not self.order:  # rank: rows before it
-            n, here = self.df.where(F.col(ROW) <= row_id).agg(F.count("*"), F.count_if(F.col(ROW) == row_id)).first()
-            return n - 1 if here else None
-        found = self.positions().where(F.col(ROW) == row_id).first()
-        return found[0] if found else None
+        """Where a row stands, None if it isn't in the view: the count of the rows before it."""
+        key = self.key_of(row_id)
+        return None if key is None else self.df.where(self.before(key)).count()
 
     def row_at(self, pos: int) -> int | None:
         found = self.window(pos, 1).select(ROW).first()

@@ -49,6 +49,14 @@ def match_column(text: str, columns: list[tuple[str, str]]) -> int:
     raise NameError_(f"no column {text}")
 
 
+def goto_column(text: str, columns: list[tuple[str, str]]) -> int:
+    """As ``match_column``, but of several names alike but for case the first will do."""
+    low = text.strip().lower()
+    exact = any(text.strip() in names for names in columns)
+    alike = [i for i, names in enumerate(columns) if low in (n.lower() for n in names)]
+    return alike[0] if alike and not exact else match_column(text, columns)
+
+
 def suggestion(name: str, names: list[str]) -> str | None:
     """The nearest name within two edits."""
     best = min(names, key=lambda n: levenshtein(name, n), default=None)

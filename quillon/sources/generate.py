@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.dialect import CODECS
+
 COUNTRIES = ("DE", "FR", "US", "JP", "BR", "IN", "GB", "ES", "IT", "CA")
 STATES = ("new", "paid", "packed", "shipped", "returned", "lost")
 WORDS = ("blue", "fast", "small", "old", "round", "cheap", "soft", "loud")
@@ -49,6 +51,18 @@ def lines(spark: SparkSession, rows: int, seed: int = 42, nulls: float = 0.0, ra
     return out.withColumn("line", F.concat("line", F.lit("\r"))) if crlf else out
 
 
+#: What an encoding's files begin with.
+MARKS = {"utf-8": b"", "utf-8-bom": b"\xef\xbb\xbf", "utf-16le": b"\xff\xfe", "utf-16be": b"\xfe\xff", "windows-1252": b""}
+
+
 def write(spark: SparkSession, path: str, rows: int, **knobs) -> None:
-    """A folder of part files, in order; the first begins with the header."""
+    """A folder of UTF-8 part files, in order; the first begins with the header."""
     lines(spark, rows, **knobs).orderBy("id").select("line").write.option("lineSep", "\n").text(path)
+
+
+def write_file(spark: SparkSession, path: str, rows: int, encoding: str = "utf-8", **knobs) -> None:
+    """One local file in any of the encodings, streamed through the driver: for fixtures."""
+    with open(path, "wb") as f:
+        f.write(MARKS[encoding])
+        for r in lines(spark, rows, **knobs).orderBy("id").select("line").toLocalIterator():
+            f.write(f"{r.line}\n".encode(CODECS[encoding]))

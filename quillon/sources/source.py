@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import codecs
 import os
-import shutil
 import stat
 import sys
-import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import edits, values
+from quillon.operators.tables import kept, shared_folder
 from quillon.plans.compiler import Cell, Predicate, compile_filter
 from quillon.plans.names import column_names, match_column
 from quillon.sources import dialect as dialects
@@ -59,6 +63,8 @@ class Source:
     header_width: int = 0
     nulls: tuple[str, ...] = values.NULLS
     edits: dict[str, tuple[edits.Op, ...]] = field(default_factory=dict)
+    overrides: Overrides = Overrides()
+    sampled: DataFrame | None = None  # the sample's rows, kept for types and statistics
 
     # opening -----------------------------------------------------------------------------------------------------
 
@@ -66,14 +72,14 @@ class Source:
     def open(spark: SparkSession, path: str, overrides: Overrides = Overrides(), sample_bytes: int = SAMPLE, nulls: tuple[str, ...] = values.NULLS, strict: bool = True, infer: bool = True) -> Source:
         """A delimited file (``-``: standard input, spooled). ``strict=False`` reads clean files by Spark's own reader."""
         if path == "-":
-            path = spool(sys.stdin.buffer)
+            path = spool(sys.stdin.buffer, shared_folder(spark))
         local = check_path(path)
         data = head(spark, path, local, sample_bytes + dialects.EXTENSION)
         report = dialects.sniff(data, sample_bytes, overrides)
         d = report.dialect
         read = path
         if d.encoding in ("utf-16le", "utf-16be"):
-            read = transcode(local or path, d.encoding)
+            read = transcode(spark, path, local, d.encoding)
             d = replace(d, encoding="utf-8")
         if not strict and d.quote in (None, '"') and d.escape == "doubled" and d.encoding == "utf-8":
             return Source._native(spark, read, d, report, nulls)
@@ -85,7 +91,7 @@ class Source:
         metas += [ColumnMeta(f"_extra{k + 1}", f"_extra{k + 1}", f"f{len(names) + k}", synthetic=True) for k in range(width - len(names))]
         body = rows.where("row > 0").withColumn("row", F.col("row") - 1) if d.header else rows
         df = body.select(F.col("row").alias(ROW), F.size("fields").alias(WIDTH), *(F.get("fields", F.lit(i)).alias(f"f{i}") for i in range(width)))
-        out = Source(df, tuple(metas), path, report.dialect, report, replace(scan, rows=max(scan.rows - (d.header and scan.rows > 0), 0)), len(names), nulls)
+        out = Source(df, tuple(metas), path, report.dialect, report, replace(scan, rows=max(scan.rows - (d.header and scan.rows > 0), 0)), len(names), nulls, overrides=overrides)
         return out.with_inferred_types() if infer else out
 
     @staticmethod
@@ -97,23 +103,45 @@ class Source:
 
     @staticmethod
     def from_dataframe(df: DataFrame, row_id: str | Column | None = None, nulls: tuple[str, ...] = values.NULLS) -> Source:
-        """A typed table. ``row_id`` names the file order; without it Spark's rising ids are taken (not contiguous)."""
+        """A typed table. ``row_id`` names the rows and their order. Without it they take Spark's rising ids: in order,
+        unique, not contiguous, and the same in every plan that reads the same partitions. No operator joins a table to
+        itself on them, but for ids that outlive a plan (``fetch``) give a column."""
         number = F.monotonically_increasing_id() if row_id is None else F.col(row_id) if isinstance(row_id, str) else row_id
+        df = df if ROW not in df.columns else df.withColumnRenamed(ROW, "_number")
+        number = F.col("_number") if isinstance(row_id, str) and row_id == ROW else number
+        shown = [(c, k) for c, k in df.dtypes if c != "_number"]
         metas = []
-        for (a, b), (name, kind) in zip(column_names(df.columns), df.dtypes, strict=True):
+        for (a, b), (name, kind) in zip(column_names([c for c, _ in shown]), shown, strict=True):
             label = values.type_of_spark(kind)
             metas.append(ColumnMeta(a, b, name, label, label))
-        out = df.select(number.cast("long").alias(ROW), F.lit(len(metas)).alias(WIDTH), *(F.col(f"`{c}`") for c in df.columns))
+        out = df.select(number.cast("long").alias(ROW), F.lit(len(metas)).alias(WIDTH), *(F.col(f"`{c}`") for c, _ in shown))
         return Source(out, tuple(metas), header_width=len(metas), nulls=nulls)
 
     @staticmethod
     def parquet(spark: SparkSession, path: str, row_id: str | None = None, nulls: tuple[str, ...] = values.NULLS) -> Source:
-        """A Parquet table; rows of a single file are numbered by their place in it unless ``row_id`` names a column."""
+        """A Parquet table. Without a column that names its rows (``row_id``), they are numbered by their place: files in
+        the order of their paths, rows in the order of each file."""
         df = spark.read.parquet(path)
-        return Source.from_dataframe(df, row_id or F.col("_metadata.row_index"), nulls)
+        if row_id:
+            return Source.from_dataframe(df, row_id, nulls)
+        at = F.col("_metadata.row_index")
+        if len(df.inputFiles()) < 2:
+            return Source.from_dataframe(df, at, nulls)
+        files = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("n")).orderBy("_file").collect()  # a row a file, as the driver lists them
+        starts = pa.table({"_at": [f["_file"] for f in files], "_first": np.cumsum([0, *(f["n"] for f in files[:-1])])})
+        known = spark.createDataFrame(starts).select(F.xxhash64("_at").alias("_at"), F.col("_first").cast("long"))
+        known = F.broadcast(known) if len(files) <= 1_000_000 else known  # 16 bytes a file
+        placed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), at.alias("_index"), F.xxhash64("_metadata.file_path").alias("_at"))
+        numbered = placed.join(known, "_at").select("_row.*", (F.col("_first") + F.col("_index")).alias(ROW))
+        return Source.from_dataframe(numbered.select(*df.columns, ROW), ROW, nulls)
 
     # columns -----------------------------------------------------------------------------------------------------
 
+    @property
+    def in_file_order(self) -> bool:
+        """Whether the partitions of ``df`` come in the order of the row ids by themselves."""
+        return self.scan is not None and self.scan.strategy == "lines"
+
     @property
     def names(self) -> list[tuple[str, str]]:
         return [(c.display, c.query) for c in self.columns]
@@ -194,10 +222,16 @@ class Source:
         return out
 
     def with_inferred_types(self, fields: list[str] | None = None) -> Source:
-        from quillon.operators.sampling import infer_types
+        from quillon.operators.sampling import infer_types, sample
+
+        held = self if self.sampled is not None or self.scan is None else replace(self, sampled=kept(sample(self)))
+        labels = infer_types(held, fields)
+        return replace(held, columns=tuple(replace(c, inferred=labels.get(c.field, c.inferred)) for c in self.columns))
 
-        labels = infer_types(self, fields)
-        return replace(self, columns=tuple(replace(c, inferred=labels.get(c.field, c.inferred)) for c in self.columns))
+    def reopen(self, spark: SparkSession) -> Source:
+        """The file as it now is: dialect, rows, counts and types found anew."""
+        spark.catalog.refreshByPath(self.path)
+        return Source.open(spark, self.path, self.overrides, nulls=self.nulls)
 
     def with_dialect(self, spark: SparkSession, overrides: Overrides) -> Source:
         return Source.open(spark, self.path, overrides, nulls=self.nulls)
@@ -232,33 +266,70 @@ def check_path(path: str) -> str | None:
     return local
 
 
-def head(spark: SparkSession, path: str, local: str | None, size: int) -> bytes:
-    """The first bytes of a file, through Spark's file system where it isn't local."""
+def chunks(spark: SparkSession, path: str, local: str | None, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, through Spark's file system where it isn't local."""
     if local:
         with open(local, "rb") as f:
-            return f.read(size)
+            while data := f.read(size):
+                yield data
+        return
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
     try:
-        return bytes(stream.readNBytes(size))
+        while data := bytes(stream.readNBytes(size)):
+            yield data
+    finally:
+        stream.close()
+
+
+def head(spark: SparkSession, path: str, local: str | None, size: int) -> bytes:
+    """The first bytes of a file."""
+    found = chunks(spark, path, local, size)
+    try:
+        return next(found, b"")
+    finally:
+        found.close()
+
+
+def copy_to(folder: str, name: str, data: Iterable[bytes]) -> str:
+    """A new file in a folder that executors share; a folder of another store is written through Spark's file system."""
+    path = f"{folder.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}.txt"
+    local = path.removeprefix("file://").removeprefix("file:")
+    if "://" not in local:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as f:
+            f.writelines(data)
+        return path
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        for piece in data:
+            stream.write(bytearray(piece))
     finally:
         stream.close()
+    return path
+
+
+def spool(stream, folder: str) -> str:
+    """Copy a pipe to a file in the shared folder."""
+    return copy_to(folder, "stdin", iter(lambda: stream.read(1 << 20), b""))
 
 
-def spool(stream) -> str:
-    """Copy a pipe to a temporary file."""
-    with tempfile.NamedTemporaryFile(prefix="quillon-stdin-", suffix=".txt", delete=False) as f:
-        shutil.copyfileobj(stream, f)
-        return f.name
+def transcode(spark: SparkSession, path: str, local: str | None, encoding: str) -> str:
+    """A UTF-8 copy, in the shared folder, of a UTF-16 file without its mark; lone surrogates become U+FFFD."""
+    decoder = codecs.getincrementaldecoder(CODECS[encoding])("replace")
 
+    def pieces() -> Iterator[bytes]:
+        first = True
+        for data in chunks(spark, path, local):
+            text = decoder.decode(data)
+            if first and text:
+                text, first = text.removeprefix("\ufeff"), False
+            yield text.encode("utf-8", "replace")
+        yield decoder.decode(b"", True).encode("utf-8", "replace")
 
-def transcode(path: str, encoding: str) -> str:
-    """A UTF-8 copy of a UTF-16 file without its mark; lone surrogates become U+FFFD."""
-    with open(path, encoding=CODECS[encoding], errors="replace", newline="") as src, tempfile.NamedTemporaryFile("w", encoding="utf-8", newline="", prefix="quillon-utf16-", delete=False) as out:
-        first = src.read(1)
-        out.write("" if first == "﻿" else first)
-        shutil.copyfileobj(src, out)
-        return out.name
+    return copy_to(shared_folder(spark), "utf16", pieces())
 
 
 def raw_lines(spark: SparkSession, path: str, cut: int = 4096) -> DataFrame:

@@ -7,6 +7,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+from quillon.sources.source import Source
+
 
 class Watcher:
     """Looks at a file's length and time; tells each change once."""
@@ -33,6 +35,6 @@ class Watcher:
         self.last = seen
         return "deleted" if seen is None else "changed"
 
-    def reload(self, spark: SparkSession) -> None:
-        """Let Spark forget what it knows of the file."""
-        spark.catalog.refreshByPath(self.path)
+    def reload(self, spark: SparkSession, source: Source) -> Source:
+        """The source opened anew, under the overrides it was opened with; views on the old one keep what they have."""
+        return source.reopen(spark)

@@ -1,12 +1,17 @@
+import glob
 import io
 import random
 
 import pytest
 
 from quillon.functions.edits import EditError, parse_ops
+from quillon.operators import profile as profiles
+from quillon.operators.sampling import SampleResult
+from quillon.operators.views import View
 from quillon.sources import dialect as D
-from quillon.sources import records
+from quillon.sources import generate, records
 from quillon.sources.source import ROW, Source, SourceError, raw_lines, spool
+from quillon.streaming.watch import Watcher
 
 #: file content: what differs from a plain comma file with a header
 SNIFF = {
@@ -128,7 +133,7 @@ def test_odd_files(spark, tmp_path):
     with pytest.raises(SourceError) as e:
         Source.open(spark, str(tmp_path))
     assert e.value.kind == "IsDirectory"
-    assert open(spool(io.BytesIO(b"a,b\n")), "rb").read() == b"a,b\n"
+    assert open(spool(io.BytesIO(b"a,b\n"), str(tmp_path)), "rb").read() == b"a,b\n"
 
 
 EDITS = [
@@ -155,9 +160,62 @@ def test_edits(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("text", "message", "span"),
-    [("", "expected an edit, e.g. drop 1", (0, 0)), ("drop", "expected a number", (4, 4)), ("drop x", 'expected a number, found "x"', (5, 6)), ("bogus", 'unknown edit "bogus"', (0, 5)), ("slice 1", "expected a range like 1:, :-1 or 2:5", (6, 7)), ("lpad 3 ab", "the fill must be one character", (7, 9)), ('replace "" x', "the text to replace is empty", (8, 10)), ("s/a/b", "unterminated regex", (0, 5)), ("s/a/b/x", "unknown regex flag 'x' (g, i)", (6, 7)), ("upper lower", 'expected | or the end, found "lower"', (6, 11)), ("upper |", "expected an edit after |", (7, 7)), ('prefix "x', "unterminated string", (7, 9))],
+    [("", "nothing to do: name an edit, such as drop 1", (0, 0)), ("drop", "drop takes a count", (4, 4)), ("drop x", "drop takes a count, and x is none", (5, 6)), ("bogus", "there is no edit bogus", (0, 5)), ("slice 1", "slice takes a range such as 2:5, 1: or :-1, and 1 is none", (6, 7)), ("lpad 3 ab", "lpad fills with one character", (7, 9)), ('replace "" x', "replace needs something to look for", (8, 10)), ("s/a/b", "this substitution stops short of s/pattern/text/", (0, 5)), ("s/a/b/x", "a substitution has the flags g and i, not x", (6, 7)), ("upper lower", "lower comes where | or the end belongs", (6, 11)), ("upper |", "no edit follows the |", (7, 7)), ('prefix "x', "this text has no closing quote", (7, 9))],
 )
 def test_edit_errors(text, message, span):
     with pytest.raises(EditError) as e:
         parse_ops(text)
     assert e.value.message.startswith(message) and e.value.span == span
+
+
+def test_encodings_of_whole_files(spark, tmp_path):
+    """Files of every encoding read alike; a UTF-16 file's copy lies in the folder that executors share."""
+    want = None
+    for encoding in generate.MARKS:
+        path = str(tmp_path / f"{encoding}.csv")
+        generate.write_file(spark, path, 50, encoding, quoted_newlines=0.3, nulls=0.1)
+        s = Source.open(spark, path)
+        assert s.report.dialect.encoding == (encoding if encoding != "windows-1252" else s.report.dialect.encoding)
+        got = sorted(tuple(r) for r in s.df.collect())
+        want = want or got
+        assert got == want and len(got) == 50
+    copies = glob.glob(spark.conf.get("spark.checkpoint.dir") + "/quillon-utf16-*")
+    assert copies
+
+
+def test_many_files(spark, tmp_path):
+    """Rows of several Parquet files have rising, unique, contiguous ids, and duplicates go by them."""
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i % 3, i) for i in range(10)], "k int, v int").repartitionByRange(2, "v").sortWithinPartitions("v").write.parquet(path)
+    s = Source.parquet(spark, path)
+    assert sorted((r[ROW], r.v) for r in s.df.collect()) == [(i, i) for i in range(10)]
+    view = View.all(s)
+    assert sorted(r.v for r in view.dedupe("k").df.collect()) == [0, 1, 2]
+    assert sorted(r.v for r in view.sort("v:desc").dedupe("k").df.collect()) == [7, 8, 9]
+    assert [r.v for r in view.fetch([7, 2])] == [7, 2] and view.sort("v:desc").position_of(3) == 6
+    assert sorted((r["_pos"], r.v) for r in view.sort("v:desc").numbered("v").collect()) == [(i, 9 - i) for i in range(10)]
+    assert [r.v for r in view.filter("v > 6").matches()] == [7, 8, 9]
+    kept = Source.from_dataframe(spark.read.parquet(path))
+    assert View.all(kept).dedupe("k").df.count() == 3
+
+
+def test_sample_result(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("a,b\n" + "".join(f"x{i % 7},{i}\n" for i in range(200)))
+    r = SampleResult.of(Source.open(spark, str(path)))
+    path.write_text("gone")  # the sample is kept: nothing reads the file again
+    (stats,) = r.stats("b")
+    assert (stats.type, stats.rows_seen, stats.max) == ("i64", 200, 199)
+    typed = r.set_type("b", "str")
+    assert typed.stats("b")[0].max is None and profiles.stale(stats, typed.source) and not profiles.stale(stats, r.source)
+    assert r.edit("a", "drop 1").source.column("a").label == "i64" and r.edit("a", "drop 1").stats("a")[0].max == 6
+
+
+def test_watch_reopens(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_text("a\n1\n")
+    s, w = Source.open(spark, str(path)), Watcher(str(path), every=0)
+    path.write_text("a,b\n1,2\n3,4\n")
+    assert w.poll() == "changed"
+    again = w.reload(spark, s)
+    assert again.counts()["rows"] == 2 and [c.display for c in again.columns] == ["a", "b"]

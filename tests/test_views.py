@@ -201,9 +201,18 @@ def test_jobs(spark):
     slow = jobs.submit("export", lambda: [time.sleep(0.05) for _ in iter(lambda: bool(gate), True)])
     with pytest.raises(RuntimeError):
         jobs.submit("export", lambda: 1)
+    other = jobs.submit("export", lambda: spark.range(1000).repartition(4).count(), tab=2)  # another tab's
+    assert other.done.wait(60) and other.result == 1000
+    done, tasks = jobs.progress(other)
+    assert 0 < done <= tasks and jobs.progress(failed) == (0, 0)
     jobs.cancel(slow)
-    gate.append(1)
-    assert slow.done.wait(60) and slow.state == "cancelled"
+    first = jobs.submit("filter", lambda: [time.sleep(0.05) for _ in iter(lambda: len(gate) > 1, True)], parent="all")
+    beside = jobs.submit("filter", lambda: 1, parent="another")
+    assert beside.done.wait(60) and first.state in ("queued", "running")
+    jobs.submit("filter", lambda: 2, parent="all")
+    assert first.state == "cancelled"
+    gate += [1, 2]
+    assert slow.done.wait(60) and slow.state == "cancelled" and first.done.wait(60)
 
 
 def test_watch(spark, tmp_path):
@@ -215,7 +224,6 @@ def test_watch(spark, tmp_path):
     assert w.poll(w.at + 3) == "changed" and w.poll(w.at + 3) is None
     path.unlink()
     assert w.poll(w.at + 3) == "deleted"
-    w.reload(spark)
 
 
 def test_sort_helpers(source):
