@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +14,16 @@ from pyspark.sql import functions as F
 from quillon.operators import export as exports
 from quillon.operators import profile as profiles
 from quillon.operators import search as searches
-from quillon.operators.views import POS, View
+from quillon.operators.jobs import Jobs
+from quillon.operators.sampling import SampleResult
+from quillon.operators.saved import SavedView, SavedViews
+from quillon.operators.tables import shared_folder
+from quillon.operators.views import POS, View, ViewStack, open_view
+from quillon.plans import syntax
+from quillon.sources import source as sources
+from quillon.sources.dialect import Overrides
 from quillon.sources.source import ROW, Source
+from quillon.streaming.watch import Watcher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,7 +112,7 @@ def filter_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(view: View, *cols: str) -> DataFrame:
-    return view.df.join(view.positions(), ROW).select(F.col(POS).alias("pos"), *cols)
+    return view.numbered(*cols).select(F.col(POS).alias("pos"), *cols)
 
 
 @register("filter_on_sorted", "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos, c_custkey FROM customer WHERE c_nationkey < 5")
@@ -319,7 +331,8 @@ def set_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fetch_rows", "SELECT event_id, event_type FROM events WHERE event_id BETWEEN 10 AND 19")
 def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").df.where(F.col(ROW).between(10, 19)).select("event_id", "event_type")
+    found = View.all(table(spark, sf_dir, "events")).fetch([*range(19, 9, -1), -5])
+    return spark.createDataFrame([(r.event_id, r.event_type) for r in found if r], "event_id long, event_type string")
 
 
 @register("sample_rows", "SELECT count(*) AS n FROM events WHERE event_id < 100 OR (event_id - 100) IN (SELECT (k * ((SELECT count(*) FROM events) - 100)) // 100 FROM range(100) t(k))")
@@ -362,12 +375,8 @@ def search_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_file(df: DataFrame, header: list[str]) -> str:
     """One delimited file in the folder that all executors share."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillon-")
-    folder = f"{root.rstrip('/')}/delimited-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
     first = spark.createDataFrame([(0, exports.format_record(header))], "part int, line string")
     df.select(F.lit(1).alias("part"), "line").union(first).repartition(1).sortWithinPartitions("part").select("line").write.option("lineSep", "\n").text(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder + "/part-*")
@@ -392,6 +401,372 @@ def delimited_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.df.select(s.value(s.column("doc_id")).alias("doc_id"), F.length(s.text(s.column("text"))).cast("long").alias("chars"))
 
 
+# Files in several dialects and encodings ---------------------------------------------------------------------------
+
+
+def _text_file(spark: SparkSession, data: bytes) -> str:
+    return sources.copy_to(shared_folder(spark), "query", [data])
+
+
+def _nation_file(spark: SparkSession, sf_dir: str, record: Callable[[int, str, int], str], encoding: str = "utf-8", mark: bytes = b"", header: str = "key,name,region") -> str:
+    """The nations, one record each, as bytes in some encoding."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    return _text_file(spark, mark + "".join(f"{x}\n" for x in (header, *(record(*r) for r in rows))).encode(encoding))
+
+
+def _nations(s: Source) -> DataFrame:
+    return s.df.select(s.value(s.column("key")).cast("int").alias("n_nationkey"), s.text(s.column("name")).alias("name"))
+
+
+def _nation_query(name: str, sql: str, record: Callable[[int, str, int], str], encoding: str = "utf-8", mark: bytes = b"", header: str = "key,name,region", **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _nations(Source.open(spark, _nation_file(spark, sf_dir, record, encoding, mark, header), **options))
+
+    register(name, f"SELECT n_nationkey, {sql} AS name FROM nation")(run)
+
+
+_nation_query("delimited_utf16", "n_name || ' é漢'", lambda k, n, r: f"{k},{n} é漢,{r}", "utf-16-le", b"\xff\xfe")
+_nation_query("delimited_utf16_be", "n_name || chr(10) || 'é'", lambda k, n, r: f'{k},"{n}\né",{r}', "utf-16-be", b"\xfe\xff")
+_nation_query("delimited_utf8_mark", "n_name || ' é'", lambda k, n, r: f"{k},{n} é,{r}", "utf-8", b"\xef\xbb\xbf")
+_nation_query("delimited_windows1252", "n_name || ' café €'", lambda k, n, r: f"{k},{n} café €,{r}", "cp1252")
+_nation_query("delimited_tabs", "n_name", lambda k, n, r: f"{k}\t{n}\t{r}", header="key\tname\tregion")
+_nation_query("delimited_crlf", "n_name", lambda k, n, r: f"{k},{n},{r}\r", header="key,name,region\r")
+_nation_query("delimited_comments", "n_name", lambda k, n, r: f"{k},{n},{r}\n# not a record\n", overrides=Overrides(comment="#"))
+_nation_query("delimited_backslashes", "'say \"' || n_name || '\" twice'", lambda k, n, r: f'{k},"say \\"{n}\\" twice",{r}')
+_nation_query("delimited_overrides", "n_name || ',' || n_regionkey", lambda k, n, r: f"{k}|{n},{r}", header="key|name", overrides=Overrides(delimiter="|"))
+
+
+@register("delimited_stdin", "SELECT n_nationkey, n_name AS name FROM nation")
+def delimited_stdin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipe, spooled to the shared folder."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    data = "key,name\n" + "".join(f"{r[0]},{r[1]}\n" for r in rows)
+    return _nations(Source.open(spark, sources.spool(io.BytesIO(data.encode()), shared_folder(spark))))
+
+
+def _ragged(spark: SparkSession, sf_dir: str) -> Source:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    given = F.concat_ws(",", F.col("event_id").cast("string"), "event_type")
+    line = F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 11 == 0, F.concat(given, F.lit(",more"))).otherwise(given)
+    return Source.open(spark, _as_file(events.orderBy("event_id").select(line.alias("line")), ["id", "kind"]))
+
+
+@register("delimited_ragged", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 7 <> 0 AND event_id % 11 = 0 THEN 'more' END AS extra FROM events")
+def delimited_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short records lack fields, long ones have extra columns."""
+    s = _ragged(spark, sf_dir)
+    return s.df.select(s.value(s.column("id")).alias("event_id"), s.text(s.column("kind")).alias("kind"), s.text(s.column("_extra1")).alias("extra"))
+
+
+@register("delimited_counts", "SELECT count(*) AS rows, CAST(count(*) FILTER (event_id % 7 = 0 OR event_id % 11 = 0) AS BIGINT) AS ragged, false AS unterminated FROM events")
+def delimited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _ragged(spark, sf_dir).counts()
+    return spark.createDataFrame([tuple(found.values())], "rows long, ragged long, unterminated boolean")
+
+
+@register("raw_lines", "SELECT count(*) + 1 AS lines, CAST(max(length(n_name)) AS INTEGER) AS widest FROM nation")
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _nation_file(spark, sf_dir, lambda k, n, r: n, header="n")
+    return sources.raw_lines(spark, path).agg(F.count("*").alias("lines"), F.max(F.length("line")).alias("widest"))
+
+
+@register("startup_filter_sort", "SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_partkey FROM part WHERE p_size > 40")
+def startup_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file opened with a first filter, then a first sort."""
+    part = table(spark, sf_dir, "part")
+    path = _as_file(exports.lines(View.all(part)), [c.display for c in part.columns])
+    view = open_view(spark, path, filter="p_size > 40", sort="p_retailprice:desc").active
+    return view.numbered(view.source.value(view.source.column("p_partkey")).alias("p_partkey")).select(F.col(POS).alias("pos"), "p_partkey")
+
+
+@register("reload_changed", "SELECT n_nationkey, n_name AS name FROM nation")
+def reload_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that grows is noticed and opened anew."""
+    path = _text_file(spark, b"key,name,region\n0,first,1\n")
+    local = path.removeprefix("file://").removeprefix("file:")
+    s, watcher = Source.open(spark, path), Watcher(local, every=0)
+    with open(local, "wb") as f:
+        f.writelines(sources.chunks(spark, p := _nation_file(spark, sf_dir, lambda k, n, r: f"{k},{n},{r}"), p.removeprefix("file://").removeprefix("file:")))
+    return _nations(watcher.reload(spark, s) if watcher.poll() == "changed" else s)
+
+
+# Rows by place ----------------------------------------------------------------------------------------------------
+
+
+def _many_files(spark: SparkSession, sf_dir: str) -> Source:
+    """The events in several files without a column that names their rows."""
+    path = f"{shared_folder(spark)}/quillon-events-{uuid.uuid4().hex}.parquet"
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return Source.parquet(spark, path)
+
+
+@register("many_files_rows", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id FROM events")
+def many_files_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _many_files(spark, sf_dir).df.select(F.col(ROW).alias("row_id"), "event_id")
+
+
+@register("many_files_dedupe", "SELECT min(event_id) AS event_id FROM events GROUP BY user_id")
+def many_files_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return View.all(_many_files(spark, sf_dir)).dedupe("user_id").df.select("event_id")
+
+
+@register("many_files_positions", "SELECT row_number() OVER (ORDER BY value DESC, event_id) - 1 AS pos, event_id FROM events")
+def many_files_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(View.all(_many_files(spark, sf_dir)).sort("value:desc"), "event_id")
+
+
+@register("position_of_row", "SELECT count(*) AS pos FROM orders, (SELECT o_totalprice AS p FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)) WHERE o_totalprice > p")
+def position_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row's place in a sorted view, counted without numbering the view."""
+    s = table(spark, sf_dir, "orders")
+    last = s.df.agg(F.max(ROW)).first()[0]
+    return spark.createDataFrame([(View.all(s).sort("o_totalprice:desc").position_of(last),)], "pos long")
+
+
+@register("goto_places", "SELECT a.pos, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders) a WHERE a.pos IN (99, CAST(floor((n - 1) / 4) AS BIGINT), n - 1)")
+def goto_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = View.all(table(spark, sf_dir, "orders")).sort("o_orderdate")
+    places = [v.goto(text) for text in ("100", "25%", "1_000_000_000")]
+    return spark.createDataFrame([(p, v.row_at(p)) for p in places], "pos long, o_orderkey long")
+
+
+@register("first_matches", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id FROM events WHERE event_type = 'click' QUALIFY place < 20")
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matches of a filter, in order, as they are found."""
+    found = itertools.islice(View.all(table(spark, sf_dir, "events")).filter('event_type == "click"').matches(), 20)
+    return spark.createDataFrame([(i, r.event_id) for i, r in enumerate(found)], "place long, event_id long")
+
+
+@register("view_popped", "SELECT c_custkey FROM customer WHERE c_nationkey < 5")
+def view_popped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view pushed on a filter and popped again leaves the filter."""
+    stack = ViewStack(table(spark, sf_dir, "customer"))
+    stack.filter("c_nationkey < 5")
+    stack.dedupe("c_mktsegment")
+    return stack.pop().df.select("c_custkey")
+
+
+@register("sort_by_column", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+def sort_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return View.all(table(spark, sf_dir, "orders")).sort_by("o_total", descending=True).window(0, 30).select("o_orderkey")
+
+
+@register("sort_f64", "SELECT row_number() OVER (ORDER BY v DESC NULLS LAST, event_id) - 1 AS pos, event_id FROM (SELECT event_id, nullif(value, 0) - 50 AS v FROM events)")
+def sort_f64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.nullif("value", F.lit(0.0)) - 50).alias("v"))
+    return _numbered(View.all(Source.from_dataframe(events, "event_id")).sort("v:desc"), "event_id")
+
+
+@register("sort_cost", "SELECT count(*) AS rows, 24 * count(*) AS run_bytes, 8 * count(*) AS result_bytes FROM orders")
+def sort_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = View.all(table(spark, sf_dir, "orders")).sort_cost(1 << 30)
+    return spark.createDataFrame([(cost["rows"], cost["run_bytes"], cost["result_bytes"])], "rows long, run_bytes long, result_bytes long")
+
+
+@register("search_previous", "SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_partkey FROM part QUALIFY p_partkey = (SELECT p_partkey FROM part WHERE contains(p_name, 're') ORDER BY p_retailprice, p_partkey DESC LIMIT 1)")
+def search_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backwards from the top of a sorted view: the last match, from the other end."""
+    s = table(spark, sf_dir, "part")
+    hit = searches.next_match(View.all(s).sort("p_retailprice:desc"), searches.parse_search("p_name: re", s), 0, -1, backwards=True)
+    return spark.createDataFrame([(hit.pos, hit.row_id)], "pos long, p_partkey long")
+
+
+# Types, names, edits, saved views ------------------------------------------------------------------------------------
+
+
+@register("filter_date", "SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10' AND CAST(ts AS DATE) <> DATE '2024-01-12'")
+def filter_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("date").alias("day"))
+    return View.all(Source.from_dataframe(events, "event_id")).filter('day >= "2024-01-10" && day != "2024-01-12"').df.select("event_id")
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> Source:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("value") > 50).alias("big"))
+    return Source.from_dataframe(events, "event_id")
+
+
+@register("filter_bool", "SELECT event_id FROM events WHERE (value > 50) = false")
+def filter_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return View.all(_flagged(spark, sf_dir)).filter("big == false").df.select("event_id")
+
+
+@register("filter_bare_bool", "SELECT event_id FROM events WHERE value > 50 AND NOT event_id < 100")
+def filter_bare_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return View.all(_flagged(spark, sf_dir)).filter("big && !(event_id < 100)").df.select("event_id")
+
+
+@register("filter_printed", "SELECT p_partkey FROM part WHERE (p_size > 20 OR contains(lower(p_name), 're')) AND NOT p_brand IN ('Brand#12', 'Brand#23')")
+def filter_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter printed, read again and printed alike."""
+    text = str(syntax.parse('(p_size>20 or `p_name` contains "RE"i) and not p_brand in ["Brand#12","Brand#23"]'))
+    if str(syntax.parse(text)) != text:
+        raise AssertionError(text)
+    return View.all(table(spark, sf_dir, "part")).filter(text).df.select("p_partkey")
+
+
+@register("dupes_by_prefix", "SELECT p_partkey FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part) WHERE n > 1")
+def dupes_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by the beginning of their names, in any case; one named twice counts once."""
+    return View.all(table(spark, sf_dir, "part")).dupes("P_BRA, p_si, p_size").df.select("p_partkey")
+
+
+@register("recognise_numbers", "SELECT p_partkey, CAST(p_size AS BIGINT) AS i64, CASE WHEN p_size % 3 = 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS f64, CASE WHEN p_size % 2 = 0 THEN CAST(p_size = 0 AS VARCHAR) END AS bool FROM part")
+def recognise_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.functions.values import recognise
+
+    size = F.col("p_size").cast("string")
+    f64 = F.when(F.col("p_size") % 3 == 0, F.concat(size, F.lit("."))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("0x"), size)).otherwise(F.concat(size, F.lit("e0")))
+    flag = F.when(F.col("p_size") == 0, "Yes").when(F.col("p_size") % 2 == 0, "NO").otherwise("2")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", recognise(F.concat(F.lit("+"), size), "i64").alias("i64"), recognise(f64, "f64").alias("f64"), recognise(flag, "bool").cast("string").alias("bool"))
+
+
+@register("recognise_times", "SELECT event_id, date_trunc('second', ts) AS at, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def recognise_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times spelled with an offset, and dates, read back."""
+    from quillon.functions.values import recognise
+
+    spelled = F.concat(F.date_format(F.col("ts") + F.expr("interval 90 minutes"), "yyyy-MM-dd HH:mm:ss"), F.lit("+01:30"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", recognise(spelled, "datetime").alias("at"), recognise(F.date_format("ts", "yyyy-MM-dd"), "date").cast("string").alias("day"))
+
+
+@register("format_times", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def format_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.functions import values
+
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", values.format_datetime(F.col("o_orderdate")).alias("at"), values.format_date(F.col("o_orderdate")).alias("day"))
+
+
+@register("civil_days", "SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS days, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def civil_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.functions import values
+
+    days = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_date(F.col("ts").cast("date")).cast("long")).distinct().collect()
+    return spark.createDataFrame([(values.days_from_civil(*values.civil_from_days(d)), values.spell_date(d)) for (d,) in days], "days long, day string")
+
+
+@register("text_helpers", "SELECT n_name, CASE WHEN length(n_name) <= 6 THEN n_name ELSE n_name[1:5] || '…' END AS cut, CASE WHEN length(n_name) <= 6 THEN lpad(n_name, 6, ' ') ELSE n_name[1:5] || '…' END AS fitted, levenshtein(n_name, 'FRANCE') AS apart, format('{:,}', n_nationkey * 1234567) AS counted, n_nationkey * 1024 AS size FROM nation")
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.functions import text
+
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()
+    return spark.createDataFrame([(n, text.truncate_end(n, 6), text.fit(n, 6, right=True), text.levenshtein(n, "FRANCE"), text.format_count(k * 1234567), text.parse_size(f"{k}K") if k else 0) for k, n in rows], "n_name string, cut string, fitted string, apart long, counted string, size int")
+
+
+@register("edit_undone", "SELECT p_partkey, upper(p_type) AS edited FROM part")
+def edit_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "part").edit("p_type", "upper").edit("p_type", 's/[A-Z]/-/g | prefix "x"').edit("p_type", "undo")
+    s = s.edit("p_type", "undo") if len(s.edits["p_type"]) > 1 else s
+    return s.edit("p_name", "lower").edit("p_name", "reset").df.select("p_partkey", s.text(s.column("p_type")).alias("edited"))
+
+
+@register("edit_canonical", "SELECT p_partkey, '<' || replace(p_type[2:], ' ', '_') AS edited FROM part")
+def edit_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain written out and read again does the same."""
+    from quillon.functions.edits import parse_ops
+
+    chain = " | ".join(map(str, parse_ops('drop 1|replace " " "_" |prefix "<"')))
+    s = table(spark, sf_dir, "part").edit("p_type", chain)
+    return s.df.select("p_partkey", s.text(s.column("p_type")).alias("edited"))
+
+
+@register("export_reordered", "SELECT p_size || ';' || p_brand AS line FROM part")
+def export_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible columns in their new order."""
+    s = table(spark, sf_dir, "part").reorder(["p_size", "p_brand"])
+    for c in ("p_partkey", "p_name", "p_type", "p_retailprice"):
+        s = s.hide(c)
+    return exports.lines(View.all(s), delimiter=";")
+
+
+@register("export_all_columns", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+def export_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns, hidden or not, in the file's order."""
+    return exports.lines(View.all(table(spark, sf_dir, "nation").reorder(["n_name"]).hide("n_regionkey")), "all")
+
+
+@register("export_single_empty", "SELECT CASE WHEN n_regionkey = 1 THEN '\"\"' ELSE n_name END AS line FROM nation")
+def export_single_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One empty field is written in quotes: a blank line would be no record."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.when(F.col("n_regionkey") == 1, "").otherwise(F.col("n_name")).alias("v"))
+    return exports.lines(View.all(Source.from_dataframe(nation, "n_nationkey").hide("n_nationkey")))
+
+
+@register("export_in_order", "SELECT row_number() OVER (ORDER BY n_name DESC) AS place, n_name || ',' || n_regionkey AS line FROM nation")
+def export_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file as written: its lines in the view's order, read back with their places."""
+    path = f"{tempfile.mkdtemp(prefix='quillon-')}/out.csv"
+    exports.export(View.all(table(spark, sf_dir, "nation").hide("n_nationkey")).sort("n_name:desc"), path)
+    with open(path, encoding="utf-8") as f:
+        lines = f.read().split("\n")[1:-1]
+    return spark.createDataFrame([(i, x) for i, x in enumerate(lines, 1)], "place long, line string")
+
+
+@register("saved_view", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'BUILDING'")
+def saved_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view saved by name, found by the file's name, applied by a command."""
+    saved = SavedViews(f"{tempfile.mkdtemp(prefix='quillon-')}/views.json")
+    saved.save(SavedView("owing", 'c_acctbal < 0 && c_mktsegment == "BUILDING"', "cust*"))
+    found = SavedViews(saved.path).all("customer.parquet")
+    return View.all(table(spark, sf_dir, "customer")).filter(found[0].filter).df.select("c_custkey")
+
+
+@register("job_result", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 30")
+def job_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count that runs as a background job."""
+    job = Jobs(spark).submit("filter", lambda: View.all(table(spark, sf_dir, "lineitem")).filter("l_quantity > 30").df.count())
+    job.done.wait()
+    if job.error:
+        raise job.error
+    return spark.createDataFrame([(job.result,)], "n long")
+
+
+# Statistics ---------------------------------------------------------------------------------------------------------
+
+
+@register("profile_top_values", "SELECT name, value, n FROM (SELECT name, value, n, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS k FROM (SELECT 'p_brand' AS name, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY ALL)) WHERE k <= 5")
+def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent values of several columns, in one count."""
+    found = profiles.profile(table(spark, sf_dir, "part"), ["p_brand", "p_size"])
+    return spark.createDataFrame([(p.column, v, n) for p in found for v, n in p.top5], "name string, value string, n long")
+
+
+@register("profile_width_p95", "SELECT quantile_disc(least(length(p_name), 256), 0.95) AS width FROM part")
+def profile_width_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "part")
+    return spark.createDataFrame([(int(profiles.width_p95(s, s.df, s.column("p_name"))),)], "width long")
+
+
+@register("profile_sample_retyped", "SELECT 'i64' AS label, CAST(max(p_size) AS VARCHAR) AS most, true AS stale FROM part")
+def profile_sample_retyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the kept sample, and that they are out of date once the column is read as another type."""
+    sampled = SampleResult.of(table(spark, sf_dir, "part"))
+    (stats,) = sampled.stats("p_size")
+    return spark.createDataFrame([(stats.type, str(stats.max), profiles.stale(stats, sampled.set_type("p_size", "str").source))], "label string, most string, stale boolean")
+
+
+@register("profile_sketch_bounds", "SELECT true AS distinct_near, true AS median_near, true AS high_near")
+def profile_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches against the exact figures: distinct values within 3 %, quantiles within 2.7 % of the rows' ranks."""
+    s = table(spark, sf_dir, "lineitem")
+    c, price = s.column("l_extendedprice"), F.col("l_extendedprice")
+    a = {k: v for k, v in profiles.sketched(s, c).items() if k in ("distinct", "p50", "p95")}
+    found = s.df.agg(*(v.alias(k) for k, v in a.items()), F.count_distinct(price).alias("exact"))
+    ranks = s.df.crossJoin(F.broadcast(found)).agg(*(F.avg((price <= F.col(k)).cast("double")).alias(k) for k in ("p50", "p95")), F.first("distinct").alias("distinct"), F.first("exact").alias("exact"))
+    near = lambda k, share: F.abs(F.col(k) - share) < 0.027
+    return ranks.select((F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("distinct_near"), near("p50", 0.5).alias("median_near"), near("p95", 0.95).alias("high_near"))
+
+
+@register("profile_top_bounded", "SELECT true AS bounded, true AS found")
+def profile_top_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top values by a mergeable sketch: no count is under the true one, none over it by more than the bound."""
+    s = table(spark, sf_dir, "lineitem")
+    c = s.column("l_quantity")
+    sketch = profiles.top_sketch(s, s.df, c, capacity=64)
+    true = s.df.groupBy(F.col("l_quantity").cast("string").alias("value")).agg(F.count("*").alias("n_true"))
+    both = sketch.join(true, "value")
+    return both.agg(F.bool_and((F.col("n") >= F.col("n_true")) & (F.col("n") - F.col("max_overcount") <= F.col("n_true"))).alias("bounded"), (F.count("*") == 5).alias("found"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, sort, first screen."""
     return View.all(table(spark, sf_dir, "lineitem")).filter('l_quantity > 30 && l_returnflag == "R"').sort("l_extendedprice:desc").window(0, 100)
