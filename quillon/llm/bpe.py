@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import os.path
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,11 @@ from quillon.llm.common import materialize, slices
 
 #: Words of byte-level BPE, as published with the vocabulary; its white space is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same over ASCII alone, where the plain engine reads it in half the time.
+ASCII = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\x0b\x0c\r A-Za-z0-9]+|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+"
+#: A stretch of ASCII within other text, from one blank between two letters, where a word begins, to another.
+STRETCH = r"(?<=[A-Za-z]) [A-Za-z][\x00-\x7f]{60,}[A-Za-z](?= [A-Za-z])"
+_words, _ascii_words, _stretches = regex.compile(PATTERN).findall, re.compile(ASCII).findall, re.compile(STRETCH).finditer
 MEMO = 400_000
 COUNTED = 500_000  # words that a task counts before it hands them on
 LONGEST = 64  # bytes of a word in the lexicon
@@ -291,20 +297,32 @@ class Lexicon:
         return self.ids[self.offset[number] : self.offset[number + 1]].tolist()
 
 
+def split_words(text: str) -> list[str]:
+    """The words of ``PATTERN``, in order."""
+    if text.isascii():
+        return _ascii_words(text)
+    out, at = [], 0
+    for found in _stretches(text):
+        out += _words(text[at : found.start()])
+        out += _ascii_words(found[0])
+        at = found.end()
+    out += _words(text[at:])
+    return out
+
+
 class Encoder:
     """Encodes and decodes texts; one for each worker process."""
 
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
-        self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(model.special, key=len, reverse=True)) + ")") if model.special else None
         self.memo: dict[str, tuple[str, int, bytes]] = {}
 
     def parts(self, text: str) -> list[str]:
         """Words, with special strings as words of their own."""
         if self.split is None or not any(s in text for s in self.model.special):
-            return self.words.findall(text)
-        return [w for i, p in enumerate(self.split.split(text)) for w in ([p] if i % 2 else self.words.findall(p))]
+            return split_words(text)
+        return [w for i, p in enumerate(self.split.split(text)) for w in ([p] if i % 2 else split_words(p))]
 
     def learn(self, words: set[str]) -> None:
         """Remember words: those of the automaton by its output, the others by merging."""
@@ -364,7 +382,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, n): how often each word occurs in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(PATTERN).findall, Counter()
+        seen = Counter()
 
         def out():
             rows = [(w.encode("utf-8", "replace"), n) for w, n in seen.items()]
@@ -374,7 +392,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                seen.update(find(text))
+                seen.update(split_words(text))
                 if len(seen) > COUNTED:
                     yield from out()
                     seen.clear()
