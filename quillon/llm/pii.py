@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -41,7 +42,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"\w+")
+#: What goes on with a word once it has begun: marks, and the joiners of scripts that need them.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M") + "\u200c\u200d\ufe0f"
+_WORD = re.compile(rf"\w+(?:[{_MARKS}]+\w*)*")
 _DIGIT = re.compile(r"[0-9]")
 MEMO = 200_000
 FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 23
