@@ -2,14 +2,17 @@
 
 A paragraph is a line that isn't blank. Paragraphs of equal words are one class from the start; of each class one is
 signed with MinHash values over five-word shingles. Twelve bands of three values let a pair of similarity 0.8 through
-with probability 1 - (1 - 0.8^3)^12 = 0.9998. Paragraphs that share a band are joined to the first of its list (no
-pairs are given out), the joins' components are the candidate groups, and within each group the exact Jaccard
-similarity of the shingle sets decides. Verified links are closed into components; of each the first paragraph, by
-document and place, stays.
+with probability 1 - (1 - 0.8^3)^12 = 0.9998. A set of up to three shingles is similar to its equal alone, so it has one
+key, of the whole set, in place of bands. Paragraphs that share a band are joined to the first of its list (no pairs are
+given out), the joins' components are the candidate groups, and within each group the exact Jaccard similarity of the
+shingle sets decides. Verified links are closed into components; of each the first paragraph, by document, text and
+place, stays.
 
 A group is searched by visiting each member once and comparing it with those not yet reached, so a group of near
-copies costs about one pass. Groups over ``group_limit`` are dealt out as pairs of chunks, each pair a task of at most
-two chunks, and lose no link by it.
+copies costs about one pass. Joins that aren't verified chain: where paragraphs of little similarity meet in some band,
+groups grow together. A group over ``group_limit`` is therefore not searched as a whole but list by list: a similar
+pair has met in some band, so comparing within that band's members finds it. A list over the limit is dealt out as pairs
+of chunks, each pair a task of at most two chunks, and loses no link by it.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, materialize, sorted_groups
+from quillon.llm.common import connected_components, materialize, slices, sorted_groups
 from quillon.llm.simhash import text_hash
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS, WHOLE = 12, 3, 3
 MEMO = 200_000
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,15 +78,20 @@ def shingles(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray,
     return out, start
 
 
-def bands(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) band keys."""
+def bands(values: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Each paragraph's band keys, or the one key of a set of up to three shingles."""
     out = np.empty((len(start), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(start), b + 1, np.uint64)
         for r in range(b * ROWS, b * ROWS + ROWS):
             key = fold(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat(fold(values * _A[r] + _B[r]), start))
         out[:, b] = key
-    return out.view(np.int64)
+    out, ends = out.view(np.int64), np.append(start[1:], len(values))
+    few = {}
+    for i in np.flatnonzero(ends - start <= WHOLE).tolist():  # more shingles are different ones, but for repeats: bands will do
+        some = np.unique(values[start[i] : ends[i]])
+        few[i] = np.array([xxhash.xxh64_intdigest(some.tobytes(), len(some)) >> 1], np.int64)
+    return [few.get(i, x) for i, x in enumerate(out)]
 
 
 def paragraphs(text: str) -> list[tuple[int, list[bytes]]]:
@@ -139,7 +147,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _take_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of wanted paragraphs of documents."""
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         groups, phs, sets = [], [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             have = dict(paragraphs(text))
@@ -196,6 +204,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def _chunked(members: DataFrame, by: str, sizes: DataFrame, mark: bytes) -> DataFrame:
+    """(deal, ph, shingles): members (by, ph, shingles) dealt out by group, or by pairs of a large group's chunks."""
+    dealt = members.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("ph"), F.col("chunks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.col(by).cast("string").cast("binary") if by == "key" else F.col(by)
+    deal = F.sha2(F.concat(F.lit(mark), key, F.lit(b":"), F.least("own", "other").cast("string").cast("binary"), F.lit(b":"), F.greatest("own", "other").cast("string").cast("binary")), 256)
+    return other.select(deal.alias("deal"), "ph", "shingles")
+
+
+def compared(rows: DataFrame, distinct: DataFrame, group_limit: int) -> DataFrame:
+    """(deal, ph, shingles): the sets that meet, those of one deal together."""
+    keys = distinct.select(F.explode("at.bands").alias("key"), "ph")
+    stars = keys.repartition("key").sortWithinPartitions("key", "ph").mapInArrow(_stars, "a binary, b binary")
+    groups = materialize(connected_components(stars))
+    wanted = groups.join(distinct.select("ph", "at.doc_id", "at.h", "at.para"), F.col("node") == F.col("ph")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("para", "ph", "component")).alias("wanted"))
+    once = rows.join(wanted.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "wanted"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")))
+    once = once.groupBy("_i", "_h").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))  # repeated rows are one
+    sets = once.select("text", "wanted").mapInArrow(_take_sets, "component binary, ph binary, shingles binary")
+    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > group_limit).select("component")
+    if large.isEmpty():
+        return _chunked(sets, "component", sizes.select("component", F.lit(1).alias("chunks")), b"g")
+    sets = materialize(sets)
+    small = _chunked(sets.join(large, "component", "left_anti"), "component", sizes.select("component", F.lit(1).alias("chunks")), b"g")
+    lists = materialize(keys.join(groups.join(large, "component").select(F.col("node").alias("ph")), "ph").select("key", "ph"))
+    lengths = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.ceil(F.col("n") / group_limit).cast("int").alias("chunks"))
+    return small.union(_chunked(lists.join(sets.select("ph", "shingles"), "ph").select("key", "ph", "shingles"), "key", lengths, b"k"))
+
+
 def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, group_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Two tables: every compared paragraph (doc_id, h, para), h the text's hash; and, for those in a class of several,
     (doc_id, h, para, class_doc, class_para, goes): the class's first paragraph, which is the one to keep, by document,
@@ -204,17 +241,7 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = materialize(rows.mapInArrow(_sign(min_words), "doc_id long, h long, para int, ph binary, bands array<long>"))
     distinct = materialize(signed.where(F.col("bands").isNotNull()).groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para", "bands")).alias("at")))
-    keys = distinct.select(F.explode("at.bands").alias("key"), "ph")
-    stars = keys.repartition("key").sortWithinPartitions("key", "ph").mapInArrow(_stars, "a binary, b binary")
-    groups = materialize(connected_components(stars))
-    wanted = groups.join(distinct.select("ph", "at.doc_id", "at.h", "at.para"), F.col("node") == F.col("ph")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("para", "ph", "component")).alias("wanted"))
-    once = rows.join(wanted.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "wanted"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")))
-    sets = once.select("text", "wanted").mapInArrow(_take_sets, "component binary, ph binary, shingles binary")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / group_limit).cast("int").alias("chunks"))
-    dealt = sets.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("ph"), F.col("chunks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    deal = F.sha2(F.concat(F.col("component"), F.least("own", "other").cast("string").cast("binary"), F.lit(b":"), F.greatest("own", "other").cast("string").cast("binary")), 256)
-    pairs = other.select(deal.alias("deal"), "ph", "shingles").repartition("deal").sortWithinPartitions("deal", "ph")
+    pairs = compared(rows, distinct, group_limit).repartition("deal").sortWithinPartitions("deal", "ph")
     links = connected_components(materialize(pairs.mapInArrow(_verify, "a binary, b binary")))
     named = signed.select("doc_id", "h", "para", "ph").join(links, F.col("ph") == F.col("node"), "left").select("doc_id", "h", "para", F.coalesce("component", "ph").alias("cls"))
     named = materialize(named)

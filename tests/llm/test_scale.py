@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillon.llm import bsi_topk, chat, common, mixing, quality, simhash
+from quillon.llm import bsi_topk, chat, common, mixing, paragraph_dedup, quality, simhash
 
 
 def plan(df):
@@ -31,6 +31,21 @@ def test_copies_cost_one_print(spark):
     assert got["count"] >= 4500
 
 
+def test_weak_collisions_stay_in_their_lists(spark):
+    """A long chain of paragraphs of little similarity grows into one group, which is compared list by list."""
+    lines = [" ".join(f"w{j}" for j in range(4 * k, 4 * k + 24)) for k in range(300)]
+    lines += [f"{lines[k]} more" for k in range(0, 300, 50)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = docs.select("doc_id", simhash.text_hash("text").alias("h"), "text")
+    signed = rows.mapInArrow(paragraph_dedup._sign(1), "doc_id long, h long, para int, ph binary, bands array<long>")
+    distinct = common.materialize(signed.groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para", "bands")).alias("at")))
+    whole, parted = (paragraph_dedup.compared(rows, distinct, limit).groupBy("deal").count().agg(F.max("count")).first()[0] for limit in (4096, 20))
+    assert whole > 100 and parted <= 40
+    for limit in (4096, 20, 2):
+        got = {r.doc_id for r in paragraph_dedup.near_paragraphs(docs, group_limit=limit).where("n_removed > 0").collect()}
+        assert got == set(range(300, 306))
+
+
 def test_label_sample_is_bounded(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("words "), F.repeat(F.lit("a b "), (F.col("id") % 5).cast("int"))).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 5 > 2).cast("int").alias("quality"))
