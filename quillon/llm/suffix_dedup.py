@@ -3,7 +3,7 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Suffixes need
 only be told apart to that depth, so they are dealt to buckets and each bucket is sorted by itself:
 
-1. Dealing. A suffix's anchor is the least hash of the 12-byte strings within its first 50 bytes: equal suffixes have
+1. Dealing. A suffix's anchor is the least hash of the 8-byte strings within its first 50 bytes: equal suffixes have
    one anchor, and neighbours mostly share theirs. Runs of neighbours with one anchor travel together, so a run of n
    suffixes costs n + 49 bytes. Buckets are remainders of the anchors. Buckets that would outgrow a task (an anchor that
    very many different runs share) are found by a count over all texts before; their suffixes are dealt anew, by anchors
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bitmap, materialize, release, slices
 
 LENGTH, PERIOD, RANKED = 50, 21, 30
-GRAMS = (12, 28, LENGTH)  # sizes of the strings whose least hash is an anchor, from the first deal to the last
+GRAMS = (8, 28, LENGTH)  # sizes of the strings whose least hash is an anchor, from the first deal to the last
 LEAD, DEPTH = (0, 8, 16), tuple(range(0, 56, 8))  # words of a suffix sorted at first, words of a ranked sample
 #: A difference cover: every remainder by 21 is a difference of two of these.
 COVER = (0, 1, 4, 14, 16)
@@ -46,7 +46,7 @@ IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: The offset at which positions of two remainders are both sampled.
 MEETS = np.array([[next(d for d in range(PERIOD) if IN_COVER[(a + d) % PERIOD] and IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 PIECE = 1 << 22  # bytes of text that are cut into runs at a time; longer documents come in pieces
-HELD = 24 << 20  # bytes of different runs that a task gathers before it hands them on
+HELD = 32 << 20  # bytes of different runs that a task gathers before it hands them on
 TOGETHER = 16 << 20  # bytes of texts that are packed at a time
 PAD = bytes(128)
 PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -56,7 +56,7 @@ RUNS, MARKS, TEXTS = 0, 1, 2
 
 def pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).data for a in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).data for a in arrays))
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -605,7 +605,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         crowded.append(spark.sparkContext.broadcast(over))
     runs = candidates.mapInArrow(_deal(buckets, blocks, crowded), PACKED_SQL)
-    parts = max(shuffles, -(-total * 4 // (64 << 20)))
+    parts = max(shuffles, -(-total * 4 // (32 << 20)))
     marked = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(blocks), PACKED_SQL)
     block = F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(blocks)).alias("block")
     both = marked.union(rows.select(block, "doc_id", "h", "text").mapInArrow(_pack_texts(blocks), PACKED_SQL))
