@@ -43,11 +43,36 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_delete, spark, path)
+    if _open:
+        _open[-1].paths.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out
 
 
+class Scratch:
+    """Tables of ``materialize`` that were made inside, deleted at its end but for those that are ``kept``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.discard(df._quillon_path)
+        return df
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        for path in self.paths:
+            _delete(self.spark, path)
+
+
+_open: list[Scratch] = []
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     _delete(df.sparkSession, df._quillon_path)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, slices
+from quillon.llm.common import bitmap, materialize, slices
 
 #: Kinds of spans, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -47,7 +47,7 @@ _MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.categ
 _WORD = re.compile(rf"\w+(?:[{_MARKS}]+\w*)*")
 _DIGIT = re.compile(r"[0-9]")
 MEMO = 200_000
-FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 23
+FILTER_BITS = 1 << 26
 
 
 def luhn(digits: str) -> bool:
@@ -252,21 +252,9 @@ def _mark(shared, remove: float, texts: bool, also: bool = False):
 
 
 def _filter(terms: DataFrame):
-    """A broadcast of FILTER_BITS bits, those at the terms' hashes set, in blocks of BLOCK_BITS."""
+    """A broadcast of FILTER_BITS bits, those at the terms' hashes set."""
     at = terms.select(F.xxhash64("term").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
-    blocks = {r[0]: bytes(r[1]) for r in at.repartition(F.floor(F.col("at") / BLOCK_BITS)).mapInArrow(_set_bits, "block long, bits binary").collect()}
-    empty = bytes(BLOCK_BITS // 8)
-    return terms.sparkSession.sparkContext.broadcast(b"".join(blocks.get(i, empty) for i in range(FILTER_BITS // BLOCK_BITS)))
-
-
-def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks: dict[int, np.ndarray] = {}
-    for batch in batches:
-        at = batch.column(0).to_numpy()
-        for block in np.unique(at // BLOCK_BITS).tolist():
-            blocks.setdefault(block, np.zeros(BLOCK_BITS, bool))[at[at // BLOCK_BITS == block] % BLOCK_BITS] = True
-    for block, bits in blocks.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+    return terms.sparkSession.sparkContext.broadcast(bitmap(at, "at", FILTER_BITS) or bytes(FILTER_BITS // 8))
 
 
 def _candidates(shared):

@@ -413,11 +413,11 @@ def test_mix_is_the_plain_one(spark):
     assert {(x.shard, names[x.sid]): x.n for x in m.shard_counts().collect()} == counts
 
 
-def test_lexicon():
+def test_lexicon(tmp_path):
     r = random.Random(4)
     words = sorted({bytes(r.choice(b"abcd ") for _ in range(r.randint(1, 7))) for _ in range(2000)})
     model = bpe.Model(queries.vocabulary_path())
-    path = "/tmp/quillon-test-lexicon"
+    path = str(tmp_path / "lexicon")
     with open(path, "wb") as f:
         f.write(bpe.Lexicon.compile(words, model))
     lexicon = bpe.Lexicon(path)
@@ -443,7 +443,7 @@ def test_words_by_either_engine(texts):
         assert bpe.split_words(t) == want(t)
 
 
-def test_bpe_is_the_library(spark, sf_dir, texts):
+def test_bpe_is_the_library(spark, sf_dir, texts, tmp_path):
     from tokenizers import Tokenizer
 
     ref = Tokenizer.from_file(queries.vocabulary_path())
@@ -453,9 +453,9 @@ def test_bpe_is_the_library(spark, sf_dir, texts):
         assert got[i] == (len(ids), sha(",".join(map(str, ids))), sha(ref.decode(ids, skip_special_tokens=False)))
     r = random.Random(5)
     model = bpe.Model(queries.vocabulary_path())
-    with open("/tmp/quillon-test-lexicon-2", "wb") as f:
+    with open(tmp_path / "lexicon", "wb") as f:
         f.write(bpe.Lexicon.compile([b" the", b"he", b" "], model))
-    enc = bpe.Encoder(model, bpe.Lexicon("/tmp/quillon-test-lexicon-2"))
+    enc = bpe.Encoder(model, bpe.Lexicon(str(tmp_path / "lexicon")))
     alphabet = list("abcABC  \n\t'’019é漢😀 \u0085\x1c.,!<|>") + ["<|endoftext|>", "'s", "  ", " the"]
     for _ in range(3000):
         s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 30)))
@@ -603,6 +603,32 @@ def test_pii_terms_brute(spark, seed):
     assert want and got == pytest.approx(want)
 
 
+def test_pii_query(spark, sf_dir, texts):
+    """The registered query's counts, digests and spans, terms included, against the definitions."""
+    kinds = ("email", "ip", "card", "phone", "term")
+    found, with_term, with_entity = {}, defaultdict(set), defaultdict(set)
+    for t in set(texts.values()):
+        spans = base(t)
+        words = [(m.start(), m.end(), m[0].lower()) for m in pii._WORD.finditer(t) if all(m.end() <= a or b <= m.start() for a, _, b in spans)]
+        found[t] = spans, words
+        for _, _, w in words:
+            with_term[w].add(t)
+        for a, k, b in spans:
+            with_entity[k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])].add(t)
+    n, terms = len(found), set()
+    for e in with_entity.values():
+        for w in {w for t in e for _, _, w in found[t][1] if len(w) > 1 and not w.isdigit()}:
+            m, p = len(with_term[w]), len(with_term[w] & e) / len(with_term[w])
+            low = (p + 1 / (2 * m) - np.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+            if 1 + np.log(low) / max(np.log(n / len(e)), 1e-9) >= 0.9:
+                terms.add(w)
+    for r in queries.op9_pii(spark, sf_dir).collect():
+        spans, words = found[texts[r.doc_id]]
+        spell = lambda x: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(x))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in spans) for j in range(4)]
+        assert r.base_sha256 == sha(spell(spans)) and r.spans == spell(spans + [(a, 4, b) for a, b, w in words if w in terms])
+
+
 def test_pii_terms_of_any_script(spark):
     """Words are split and folded alike however many terms there are."""
     words = ["cafe\u0301ine", "\u0928\u092e\u0938\u094d\u0924\u0947", "xyz\u00b2", "\u0130stanbul", "\u039f\u0394\u039f\u03a3", "Stra\u00dfe"]
@@ -625,6 +651,44 @@ def test_pii_copies_hide_nothing(spark):
         assert [(r.term, r.disclosure) for r in terms] == [("zorblax", 1.0)]
 
 
+def test_trees_are_the_naive_ones():
+    """Histogram fit and flattened walk against a plain recursive fit over the same cuts."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(240, 4))
+    y = (x[:, 1] + x[:, 2] * x[:, 3] + r.normal(scale=0.3, size=240) > 0).astype(float)
+    trees, depth, bins, rate, least, ridge = 6, 3, 8, 0.2, 10, 1.0
+    model = quality.fit(x, y, trees=trees, depth=depth, bins=bins, rate=rate, leaf_rows=least, ridge=ridge)
+    cuts = [sorted({sorted(c)[int(np.floor(q * (len(c) - 1)))] for q in np.linspace(0, 1, bins + 1)[1:-1]}) for c in x.T.tolist()]
+
+    def grow(rows, g, h, left):
+        total_g, total_h, best = sum(g[i] for i in rows), sum(h[i] for i in rows), (1e-9, None)
+        for f in range(x.shape[1]) if left else ():
+            for cut in cuts[f]:
+                a = [i for i in rows if x[i, f] <= cut]
+                if least <= len(a) <= len(rows) - least:
+                    ga, ha = sum(g[i] for i in a), sum(h[i] for i in a)
+                    gain = ga**2 / (ha + ridge) + (total_g - ga) ** 2 / (total_h - ha + ridge) - total_g**2 / (total_h + ridge)
+                    if gain > best[0] + 1e-12:
+                        best = gain, (f, cut)
+        if best[1] is None:
+            return -rate * total_g / (total_h + ridge)
+        f, cut = best[1]
+        return f, cut, grow([i for i in rows if x[i, f] <= cut], g, h, left - 1), grow([i for i in rows if x[i, f] > cut], g, h, left - 1)
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            f, cut, low, high = tree
+            tree = low if row[f] <= cut else high
+        return tree
+
+    margin = np.full(240, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        tree = grow(list(range(240)), p - y, np.maximum(p * (1 - p), 1e-9), depth)
+        margin += [walk(tree, row) for row in x]
+    assert model.margin(x) == pytest.approx(margin, abs=1e-9)
+
+
 def test_quality_held_out(spark, sf_dir):
     scored = queries.op10_quality(spark, sf_dir).toPandas().merge(spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
     kept = scored[scored.held_out]
