@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, exact_dedup, mixing, quality, simhash
-from quillon.llm.common import materialize, read_table
+from quillon.llm.common import Scratch, materialize, read_table, release
 from quillon.llm.queries import vocabulary_path
 
 
@@ -53,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's own tables go once its result is written, the result once the next has
+    read it."""
+    docs = before = None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with Scratch(spark) as scratch:
+            rows = read_table(spark, sf_dir, "documents") if docs is None else docs
+            before, docs = docs, scratch.keep(materialize(stage(spark, rows, sf_dir)))
+        if before is not None:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
