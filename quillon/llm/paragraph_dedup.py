@@ -243,11 +243,13 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     distinct = materialize(signed.where(F.col("bands").isNotNull()).groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para", "bands")).alias("at")))
     pairs = compared(rows, distinct, group_limit).repartition("deal").sortWithinPartitions("deal", "ph")
     links = connected_components(materialize(pairs.mapInArrow(_verify, "a binary, b binary")))
-    named = signed.select("doc_id", "h", "para", "ph").join(links, F.col("ph") == F.col("node"), "left").select("doc_id", "h", "para", F.coalesce("component", "ph").alias("cls"))
-    named = materialize(named)
-    first = named.groupBy("cls").agg(F.min(F.struct("doc_id", "h", "para")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    goes = ~F.struct("doc_id", "h", "para").eqNullSafe(F.col("first"))
-    return named.select("doc_id", "h", "para"), named.join(first, "cls").select("doc_id", "h", "para", F.col("first.doc_id").alias("class_doc"), F.col("first.para").alias("class_para"), goes.alias("goes"))
+    # a class's first paragraph is found among the first ones of equal words, so the paragraphs themselves join once
+    each = signed.groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para")).alias("first"), F.count("*").alias("n"))
+    each = materialize(each.join(links, F.col("ph") == F.col("node"), "left").select("ph", "first", "n", F.coalesce("component", "ph").alias("cls")))
+    first = each.groupBy("cls").agg(F.min("first").alias("_first"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
+    members = signed.join(each.select("ph", "cls").join(first, "cls").select("ph", "_first"), "ph")
+    goes = ~F.struct("doc_id", "h", "para").eqNullSafe(F.col("_first"))
+    return signed.select("doc_id", "h", "para"), members.select("doc_id", "h", "para", F.col("_first.doc_id").alias("class_doc"), F.col("_first.para").alias("class_para"), goes.alias("goes"))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
