@@ -180,5 +180,9 @@ def test_names():
     assert names.column_names([" x ", ""]) == [(" x ", "x"), ("col2", "col2")] and names.column_names(2)[1] == ("col2", "col2")
     cols = names.column_names(["Price", "pricey", "Total"])
     assert names.match_column("tot", cols) == 2 and names.match_column("PRICE", cols) == 0
+    alike = [("Price", "Price"), ("PRICE", "PRICE_2"), ("pricey", "pricey")]
+    assert names.goto_column("price", alike) == 0 and names.goto_column("PRICE_2", alike) == 1 and names.goto_column("pricey", alike) == 2
+    with pytest.raises(names.NameError_):
+        names.goto_column("pri", alike)
     with pytest.raises(names.NameError_, match="ambiguous: Price, pricey"):
         names.match_column("pri", cols)
