@@ -14,11 +14,11 @@ only be told apart to that depth, so they are dealt to buckets and each bucket i
 3. Cover sample. In a bucket's text, positions whose remainder by 21 is in a difference cover ({0, 1, 4, 14, 16}: every
    difference occurs) are sampled. Two equal suffixes hold, at some offset under 21, two sampled positions with 30 bytes
    in common; suffixes without a sampled string that several documents share in reach have no tie and are left out.
-   The samples in reach of the others are ranked by their bytes, to depth 56.
-4. Suffixes. They are sorted by their first 24 bytes. Those that still tie are ordered by a three-way quicksort whose
-   comparison is one of ranks: at the offset where both are sampled. Neighbours in the order are then compared to 50
-   bytes; of each class the smallest document stays and the suffixes of all others are marked. Hashes only choose where
-   to look; what is marked has been compared byte by byte.
+   The samples in reach of the others are ranked by their bytes, to depth 56, before these are sorted.
+4. Suffixes. They are sorted one block of leading bytes at a time, by their first 24 bytes. Those that still tie are
+   ordered by a three-way quicksort whose comparison is one of ranks: at the offset where both are sampled. Neighbours
+   in the order are then compared to 50 bytes; of each class the smallest document stays and the suffixes of all others
+   are marked. Hashes only choose where to look; what is marked has been compared byte by byte.
 5. Each document's marked suffixes cover the bytes that go: texts are shuffled once, to meet their marks.
 
 A task holds one bucket, a few MB of texts or one document.
@@ -46,8 +46,9 @@ IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: The offset at which positions of two remainders are both sampled.
 MEETS = np.array([[next(d for d in range(PERIOD) if IN_COVER[(a + d) % PERIOD] and IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 PIECE = 1 << 22  # bytes of text that are cut into runs at a time; longer documents come in pieces
-HELD = 32 << 20  # bytes of different runs that a task gathers before it hands them on
-TOGETHER = 16 << 20  # bytes of texts that are packed at a time
+HELD = 24 << 20  # bytes of different runs that a task gathers before it hands them on
+TOGETHER = 12 << 20  # bytes of texts that are packed at a time
+SORTED = 1 << 18  # suffixes that are sorted at a time
 PAD = bytes(128)
 PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "bucket long, kind int, payload binary"
@@ -387,8 +388,9 @@ def in_reach(ends: np.ndarray, runs: np.ndarray, shared: np.ndarray) -> np.ndarr
     shared = np.sort(shared)
     first = np.maximum(shared - (PERIOD - 1), np.concatenate([[0], shared[:-1] + 1]))
     n = shared + 1 - first
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return at[at + LENGTH <= ends[runs[at] + 1]]
+    at = np.repeat((first - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+    last = (ends - LENGTH).astype(np.int32)
+    return at[at <= last[runs[at] + 1]]
 
 
 def cover_ranks(big: np.ndarray, suffixes: np.ndarray, size: int) -> np.ndarray:
@@ -396,15 +398,15 @@ def cover_ranks(big: np.ndarray, suffixes: np.ndarray, size: int) -> np.ndarray:
     wanted = np.zeros(size + PERIOD, bool)
     for d in range(PERIOD):
         wanted[suffixes[IN_COVER[(suffixes + d) % PERIOD]] + d] = True
-    at = np.flatnonzero(wanted)
-    words = [big[at + k].astype(np.uint64) for k in DEPTH]
-    order = np.lexsort(words[::-1])
-    new = np.zeros(len(at), bool)
-    for w in words:
-        s = w[order]
+    at = np.flatnonzero(wanted).astype(np.int32)
+    order, new = np.arange(len(at), dtype=np.int32), np.zeros(len(at), bool)
+    for k in DEPTH[::-1]:  # stable, from the last word to the first
+        order = order[np.argsort(big[at[order] + k].astype(np.uint64), kind="stable")]
+    for k in DEPTH:
+        s = big[at[order] + k]
         new[1:] |= s[1:] != s[:-1]
     ranks = np.zeros(size + PERIOD, np.int32)
-    ranks[at[order]] = np.cumsum(new)
+    ranks[at[order]] = np.cumsum(new, dtype=np.int32)
     return ranks
 
 
@@ -428,9 +430,25 @@ def by_ranks(suffixes: np.ndarray, group: np.ndarray, ranks: np.ndarray) -> np.n
     return out
 
 
+def blocks_of(lead: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Positions in ``lead`` by ranges of its first two bytes, at most ``most`` in a range unless two bytes hold more."""
+    prefix = (lead >> np.uint64(48)).astype(np.int64)
+    block = np.bincount(prefix, minlength=1 << 16)
+    total, block_of, number = 0, np.zeros(1 << 16, np.int32), 0
+    for k in np.flatnonzero(block).tolist():
+        total += int(block[k])
+        if total > most and total > block[k]:
+            number, total = number + 1, int(block[k])
+        block_of[k] = number
+    own = block_of[prefix]
+    for n in range(number + 1):
+        yield np.flatnonzero(own == n)
+
+
 def ties(raw: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Positions of the suffixes whose 50 bytes also start in a run of a smaller document. ``raw`` holds the runs side
-    by side, from ``ends[k]`` to ``ends[k + 1]``, and some bytes more; ``owner`` has each run's document."""
+    by side, from ``ends[k]`` to ``ends[k + 1]``, and some bytes more; ``owner`` has each run's document. The samples are
+    ranked first; then the suffixes are sorted one block of leading bytes at a time."""
     none = np.zeros(0, np.int64)
     if len(owner) < 2 or owner.min() == owner.max():
         return none
@@ -440,6 +458,13 @@ def ties(raw: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
     if not len(at):
         return none
     big = words_of(raw, ">")
+    ranks = cover_ranks(big, at, int(ends[-1]))
+    lead = big[at].astype(np.uint64)
+    return np.concatenate([tied_in_block(big, at[part], owner, runs, ranks) for part in blocks_of(lead, SORTED)])
+
+
+def tied_in_block(big: np.ndarray, at: np.ndarray, owner: np.ndarray, runs: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Of suffixes, all of those with some leading bytes, the ones that tie with one of a smaller document."""
     lead = [big[at + k].astype(np.uint64) for k in LEAD]
     order = np.lexsort(lead[::-1])
     new = np.zeros(len(at), bool)
@@ -452,11 +477,10 @@ def ties(raw: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(first, len(at)))
     doc = owner[runs[at]]
     several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    tied = np.repeat(several, size)
-    at, group = at[tied], np.repeat(np.arange(several.sum()), size[several])
+    at, group = at[np.repeat(several, size)], np.repeat(np.arange(several.sum()), size[several])
     if not len(at):
-        return none
-    at = by_ranks(at, group, cover_ranks(big, at, int(ends[-1])))
+        return at
+    at = by_ranks(at, group, ranks)
     same = group[1:] == group[:-1]
     for k in (24, 32, 40, 42):
         w = big[at + k]
@@ -571,7 +595,7 @@ def prime_from(n: int) -> int:
     return max(n, 2)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_bytes: int = 8 << 20, crowded_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bucket_bytes: int = 5 << 20, crowded_bytes: int = 10 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) for each row of ``docs``.
 
     Null text counts as empty. Rows of one id don't remove each other's bytes; rows without an id lose none and remove
@@ -579,7 +603,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts of 4 GB and more can't be numbered and fail. An empty table gives an empty result.
 
     Buckets hold ``bucket_bytes`` of runs on average; one with over ``crowded_bytes`` is dealt anew. Which buckets
-    are crowded is broadcast, one bit a bucket (a 64 millionth of the runs' bytes). Neither changes a result.
+    are crowded is broadcast, one bit a bucket (a 40 millionth of the runs' bytes). Neither changes a result.
     """
     spark = docs.sparkSession
     i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

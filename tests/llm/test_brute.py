@@ -216,6 +216,8 @@ def test_suffixes_compares_bytes(spark, monkeypatch):
     want = {int(e) + k for s, o, e in zip(runs, owner, ends, strict=False) for k in range(len(s) - 49) if least[s[k : k + 50]] < o}
     raw = np.frombuffer(b"".join(runs) + suffix_dedup.PAD, np.uint8)
     assert set(suffix_dedup.ties(raw, ends, owner).tolist()) == want and want
+    monkeypatch.setattr(suffix_dedup, "SORTED", 50)  # many blocks of leading bytes
+    assert set(suffix_dedup.ties(raw, ends, owner).tolist()) == want
     monkeypatch.setattr(suffix_dedup, "string_keys", lambda eight, at, size: np.zeros(len(at), np.uint64))
     assert set(suffix_dedup.ties(raw, ends, owner).tolist()) == want
 
