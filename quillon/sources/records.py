@@ -71,8 +71,8 @@ def records(text: str, dialect) -> Iterator[Record]:
 def open_after(line: str, inside: bool, dialect) -> bool:
     """Whether a quote is open after a physical line, given whether one was open before it."""
     q, d = dialect.quote, dialect.delimiter
-    if q is None or (not inside and q not in line):
-        return False
+    if q is None or q not in line:  # most lines: nothing opens, nothing closes
+        return inside and q is not None
     pattern = field_pattern(d, q, dialect.escape)
     at = 0
     if inside:
