@@ -201,22 +201,23 @@ class View:
         found = self.df.where(F.col(ROW) == row_id).select(*(k.alias(f"_o{i}") for i, (k, _) in enumerate(self.order)), ROW).first()
         return None if found is None else list(found)
 
-    def before(self, key: list) -> Column:
-        """Whether a row stands before the one of this key."""
-        out, ties = F.lit(False), F.lit(True)
+    def before(self, key: list, ties: bool = True) -> Column:
+        """Whether a row stands before the one of this key; without ``ties``, by the sort keys alone."""
+        out, tied = F.lit(False), F.lit(True)
         for (k, descending), v in zip(self.order, key, strict=False):
             if v is None:
                 ahead, tie = k.isNotNull(), k.isNull()
             else:
                 v = F.lit(v).cast(self.df.select(k.alias("k")).schema[0].dataType)
                 ahead, tie = F.coalesce(k > v if descending else k < v, F.lit(False)), F.coalesce(k == v, F.lit(False))
-            out, ties = out | (ties & ahead), ties & tie
-        return out | (ties & (F.col(ROW) < key[-1]))
+            out, tied = out | (tied & ahead), tied & tie
+        return out | (tied & (F.col(ROW) < key[-1])) if ties else out
 
-    def position_of(self, row_id: int) -> int | None:
-        """Where a row stands, None if it isn't in the view: the count of the rows before it."""
+    def position_of(self, row_id: int, ties: bool = True) -> int | None:
+        """Where a row stands, None if it isn't in the view: the count of the rows before it. Without ``ties``, where the
+        first row of equal sort keys stands."""
         key = self.key_of(row_id)
-        return None if key is None else self.df.where(self.before(key)).count()
+        return None if key is None else self.df.where(self.before(key, ties)).count()
 
     def row_at(self, pos: int) -> int | None:
         found = self.window(pos, 1).select(ROW).first()

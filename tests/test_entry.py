@@ -34,3 +34,13 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(entry.__file__)
+
+
+@pytest.mark.parametrize("copies", [0, 1, 3])
+def test_position_among_equal_prices(spark, sf_dir, tmp_path, copies):
+    """Copies of the last order's price, under other keys, don't move its place."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT o.* REPLACE (o_orderkey + 1500 * k AS o_orderkey) FROM '{sf_dir}/orders.parquet' o, range({copies}) t(k)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = core.QUERIES["position_of_row"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.sql(core.ORACLE_SQL["position_of_row"]).fetchall()
