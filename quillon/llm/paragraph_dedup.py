@@ -13,6 +13,15 @@ copies costs about one pass. Joins that aren't verified chain: where paragraphs
 groups grow together. A group over ``group_limit`` is therefore not searched as a whole but list by list: a similar
 pair has met in some band, so comparing within that band's members finds it. A list over the limit is dealt out as pairs
 of chunks, each pair a task of at most two chunks, and loses no link by it.
+
+Band keys are dealt to buckets, packed: each task joins the equal keys it has itself and sends one row a key, so a key
+that most paragraphs share costs one a task. Paragraphs are named there by 48 bits of their words' hash and keys by 50
+bits; a collision only adds a candidate. Texts are then read again for the words of candidates alone.
+
+A passage may also repeat inside lines that differ, or across line breaks. Of each document's strings of 40 words,
+whatever its lines, winnowing takes the least hash of every 12 in a row: a run of more than 50 words that two documents
+share holds a string that is taken in both. ``n_shared`` counts the taken strings that another document's have too; it
+is zero where no 40 words are shared, and changes nothing of what is removed.
 """
 
 from __future__ import annotations
@@ -22,15 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, materialize, slices, sorted_groups
+from quillon.llm.common import bitmap, connected_components, materialize, slices, sorted_groups
 from quillon.llm.simhash import text_hash
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, WHOLE = 12, 3, 3
 MEMO = 200_000
+GRAM, REACH = 40, 12  # a run of GRAM + REACH - 1 words holds a string that is taken
+BUCKETS, FLUSH, FILTER_BITS = 1024, 1_000_000, 1 << 27
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -102,63 +113,247 @@ def paragraphs(text: str) -> list[tuple[int, list[bytes]]]:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("para", pa.int32()), ("ph", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign(min_words: int):
+def _sign(min_words: int, every: bool = True, banded: bool = True):
+    """Paragraphs with their band keys, those that the task has signed before without; only the fresh ones unless
+    ``every``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows, fresh, words = [], [], []
-                for i, h, text in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True):
-                    for line, w in paragraphs(text):
-                        if len(w) >= min_words:
-                            ph = xxhash.xxh3_128_digest(b" ".join(w))
-                            if ph not in seen:
-                                seen.add(ph)
-                                fresh.append(len(rows))
-                                words.append(w)
+        for batch in slices(batches, 500):
+            rows, fresh, words = [], [], []
+            for i, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for line, w in paragraphs(text):
+                    if len(w) >= min_words:
+                        ph = xxhash.xxh3_128_digest(b" ".join(w))
+                        new = banded and ph not in seen
+                        if new:
+                            seen.add(ph)
+                            fresh.append(len(rows))
+                            words.append(w)
+                        if every or new:
                             rows.append((i, h, line, ph))
-                if len(seen) > MEMO:
-                    seen.clear()
-                if rows:
-                    signed: list = [None] * len(rows)
-                    if words:
-                        for at, x in zip(fresh, bands(*shingles(words, hashes)), strict=True):
-                            signed[at] = x
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SIGNED.types, strict=False)), pa.array(signed, pa.list_(pa.int64()))], schema=SIGNED)
+            if len(seen) > MEMO:
+                seen.clear()
+            if rows:
+                signed: list = [None] * len(rows)
+                if words:
+                    for at, x in zip(fresh, bands(*shingles(words, hashes)), strict=True):
+                        signed[at] = x
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SIGNED.types, strict=False)), pa.array(signed, pa.list_(pa.int64()))], schema=SIGNED)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: each is joined to the first of its key; a list of any length streams by."""
-    key = first = None
+DEALT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("pairs", pa.binary())])
+DEALT_SQL = "bucket int, settled boolean, pairs binary"
+
+
+def pack(a: np.ndarray, b: np.ndarray, wide: int, long: int) -> np.ndarray:
+    """A row of bytes a pair: the low bytes of each."""
+    low = [np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :n] for x, n in ((a, wide), (b, long))]
+    return np.concatenate(low, axis=1)
+
+
+def unpack(data: bytes, wide: int, long: int) -> list[np.ndarray]:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, wide + long)
+    out = []
+    for lo, n in ((0, wide), (wide, long)):
+        x = np.zeros((len(rows), 8), np.uint8)
+        x[:, :n] = rows[:, lo : lo + n]
+        out.append(x.view("<u8").ravel())
+    return out
+
+
+def deal(a: np.ndarray, b: np.ndarray, settled: tuple[np.ndarray, np.ndarray], wide: int, long: int) -> pa.RecordBatch:
+    """Pairs (a, b), sorted by a, by the leading bits of a; settled ones in a row of their own."""
+    cut = np.searchsorted(a, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(54))
+    cut[-1] = len(a)
+    rows = pack(a, b, wide, long)
+    out = [(k, False, rows[cut[k] : cut[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cut)).tolist()]
+    if len(settled[0]):
+        out.append((int(settled[0][0]) % BUCKETS, True, pack(*settled, 8, 8).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), DEALT.types, strict=True)], schema=DEALT)
+
+
+def met(table: pa.Table, wide: int, long: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The pairs of whole buckets, a with its bucket in the leading bits, and the settled ones."""
+    a, b, done = [], [], [np.zeros(0, np.uint64)] * 2
+    for bucket, settled, data in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        if settled:
+            done = [np.concatenate(x) for x in zip(done, unpack(data, 8, 8), strict=True)]
+        else:
+            x, y = unpack(data, wide, long)
+            a.append((x & np.uint64((1 << 54) - 1)) | np.uint64(bucket << 54))
+            b.append(y)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)], done
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs by a, then b, and whether each is the first of its a."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.append(True, a[1:] != a[:-1])[: len(a)]
+    own = first | np.append(True, b[1:] != b[:-1])[: len(a)]
+    return a[own], b[own], first[own]
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least b of each a, and links that join the others of an a to it, each link once."""
+    a, b, first = in_order(a, b)
+    low = b[first][np.cumsum(first) - 1] if len(b) else b
+    x, y, _ = in_order(b[~first], low[~first])
+    return a[first], b[first], x, y
+
+
+def _named(phs: pa.Array) -> np.ndarray:
+    """Paragraphs' names among candidates: 48 bits of their words' hash."""
+    return np.frombuffer(b"".join(phs.to_pylist()), "<u8")[::2] & np.uint64((1 << 48) - 1)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Band keys and the names of the paragraphs that have them, from (ph, bands)."""
     for batch in batches:
-        a, b = [], []
-        for k, ph in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key:
-                key, first = k, ph
-            else:
-                a.append(ph)
-                b.append(first)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        phs, keys = batch.columns
+        if batch.num_rows:
+            yield keys.flatten().to_numpy().view(np.uint64), np.repeat(_named(phs), keys.value_lengths().to_numpy())
 
 
-def _take_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle sets of wanted paragraphs of documents."""
-    hashes = WordHashes()
+def _deal_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for pair in _keys(batches):
+        held.append(pair)
+        n += len(pair[0])
+        if n >= FLUSH:
+            a, b, *links = stars(*map(np.concatenate, zip(*held, strict=True)))
+            yield deal(a, b, links, 5, 6)
+            held, n = [], 0
+    if held:
+        a, b, *links = stars(*map(np.concatenate, zip(*held, strict=True)))
+        yield deal(a, b, links, 5, 6)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in sorted_groups(batches, "bucket"):
+        (a, b), done = met(table, 5, 6)
+        _, _, x, y = stars(a, b)
+        yield pa.RecordBatch.from_arrays([np.concatenate(z).view(np.int64) for z in zip((x, y), done, strict=True)], ["a", "b"])
+
+
+def _listed(shared):
+    """(key, node): the band keys of paragraphs in a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for keys, names in _keys(batches):
+            at = names & np.uint64(FILTER_BITS - 1)
+            some = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (keys, names)], ["key", "node"])
+
+    return run
+
+
+def _take_words(shared):
+    """(node, ph, words): the words of paragraphs in a filter, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, set()
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(0).to_pylist():
+                for _, w in paragraphs(text):
+                    words = b" ".join(w)
+                    ph = xxhash.xxh3_128_digest(words)
+                    name = int.from_bytes(ph[:6], "little")
+                    at = name % FILTER_BITS
+                    if bits[at >> 3] >> (at & 7) & 1 and ph not in seen:
+                        seen.add(ph)
+                        out.append((name, ph, words))
+            if len(seen) > MEMO:
+                seen.clear()
+            if out:
+                nodes, phs, words = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(phs, pa.binary()), pa.array(words, pa.binary())], ["node", "ph", "words"])
+
+    return run
+
+
+def sliding(x: np.ndarray, f: np.ufunc, width: int) -> np.ndarray:
+    """``f`` over every ``width`` values in a row."""
+    k = 1
+    while 2 * k <= width:
+        x = f(x[:-k], x[k:])
+        k *= 2
+    return f(x[: len(x) - width + k], x[width - k :]) if k < width else x
+
+
+_BASE = 0x9E3779B97F4A7C15
+_power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def taken(values: np.ndarray) -> np.ndarray:
+    """Hashes of the 40-word strings that winnowing takes of a document's words, different ones."""
+    n = len(values)
+    if n < GRAM + REACH - 1:
+        return np.zeros(0, np.uint64)
+    if len(_power[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _power[k] = np.cumprod(np.append(np.uint64(1), np.full(2 * n, base, np.uint64)), dtype=np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(values * _power[0][:n], dtype=np.uint64))
+    grams = fold((sums[GRAM:] - sums[:-GRAM]) * _power[1][: n - GRAM + 1])
+    edge = np.zeros(REACH - 1, np.uint64)
+    least = sliding(grams, np.minimum, REACH)
+    return np.unique(grams[sliding(np.concatenate([edge, least, edge]), np.maximum, REACH) == grams])
+
+
+def shared_by_several(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings a of documents b, sorted; the first of each string and whether documents differ on it. A document's lowest
+    bit tells that the pair has been settled."""
+    a, b, first = in_order(a, b)
+    at = np.cumsum(first) - 1
+    several = np.bincount(at, (b | np.uint64(1)) != (b[first] | np.uint64(1))[at], first.sum()) > 0 if len(a) else first
+    return a, b, first, several[at] if len(a) else first
+
+
+def _deal_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, held, n = WordHashes(), [], 0
+
+    def flush() -> pa.RecordBatch:
+        a, b, first, several = shared_by_several(*map(np.concatenate, zip(*held, strict=True)))
+        return deal(a[first], b[first] | several[first].astype(np.uint64), (b[several], a[several]), 7, 8)
+
     for batch in slices(batches):
-        groups, phs, sets = [], [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            have = dict(paragraphs(text))
-            for w in wanted:
-                values, _ = shingles([have[w["para"]]], hashes)
-                groups.append(w["component"]), phs.append(w["ph"]), sets.append(np.unique(values).tobytes())
-                if len(sets) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (groups, phs, sets)], ["component", "ph", "shingles"])
-                    groups, phs, sets = [], [], []
-        if sets:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (groups, phs, sets)], ["component", "ph", "shingles"])
+        for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            grams = taken(np.array(hashes.of(text.encode("utf-8", "replace").lower().split()), np.uint64))
+            if len(grams):
+                held.append((grams, np.full(len(grams), d & ((1 << 64) - 2), np.uint64)))
+                n += len(grams)
+        if n >= FLUSH:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in sorted_groups(batches, "bucket"):
+        (a, b), done = met(table, 7, 8)
+        a, b, _, several = shared_by_several(a, b)
+        fresh = several & (b & np.uint64(1) == 0)
+        yield pa.RecordBatch.from_arrays([np.concatenate(z).view(np.int64) for z in zip((b[fresh], a[fresh]), done, strict=True)], ["d", "gram"])
+
+
+def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, n_shared): how many of the 40-word strings taken of a document another has too, where any; d from
+    ``_document``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    dealt = docs.select(_document(id_col, text_col).alias("d"), text.alias("text")).mapInArrow(_deal_passages, DEALT_SQL)
+    met_ = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "d long, gram long")
+    return met_.distinct().groupBy("d").agg(F.count("*").alias("n_shared"))
+
+
+def _document(id_col: str, text_col: str) -> Column:
+    """A document's name: its id and text, 63 bits."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col)).bitwiseAND(F.lit(-2))
 
 
 def similar_forest(sets: list[np.ndarray], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -189,48 +384,50 @@ def similar_forest(sets: list[np.ndarray], threshold: float = SIMILARITY) -> lis
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for table in sorted_groups(batches, "deal"):
-        deals, phs, sets = (table.column(c).to_pylist() for c in ("deal", "ph", "shingles"))
-        a, b, at = [], [], 0
-        while at < len(deals):
-            stop = at
-            while stop < len(deals) and deals[stop] == deals[at]:
-                stop += 1
-            if stop - at > 1:
-                for i, j in similar_forest([np.frombuffer(s, np.uint64) for s in sets[at:stop]]):
-                    a.append(phs[at + i]), b.append(phs[at + j])
-            at = stop
+        a, b, group, last = [], [], {}, None
+
+        def link(group=group, a=a, b=b) -> None:
+            if len(group) > 1:
+                phs = list(group)
+                values, start = shingles([w.split(b" ") for w in group.values()], hashes)
+                for i, j in similar_forest([np.unique(x) for x in np.split(values, start[1:])]):
+                    a.append(phs[i]), b.append(phs[j])
+            group.clear()
+
+        for d, ph, words in zip(*(table.column(c).to_pylist() for c in ("deal", "ph", "words")), strict=True):
+            if d != last:
+                link()
+                last = d
+            group[ph] = words  # several tasks may have brought it
+        link()
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _chunked(members: DataFrame, by: str, sizes: DataFrame, mark: bytes) -> DataFrame:
-    """(deal, ph, shingles): members (by, ph, shingles) dealt out by group, or by pairs of a large group's chunks."""
-    dealt = members.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("ph"), F.col("chunks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = F.col(by).cast("string").cast("binary") if by == "key" else F.col(by)
-    deal = F.sha2(F.concat(F.lit(mark), key, F.lit(b":"), F.least("own", "other").cast("string").cast("binary"), F.lit(b":"), F.greatest("own", "other").cast("string").cast("binary")), 256)
-    return other.select(deal.alias("deal"), "ph", "shingles")
+def _filter_of(nodes: DataFrame):
+    at = nodes.select(F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
+    return nodes.sparkSession.sparkContext.broadcast(bitmap(at, "at", FILTER_BITS) or bytes(FILTER_BITS // 8))
 
 
 def compared(rows: DataFrame, distinct: DataFrame, group_limit: int) -> DataFrame:
-    """(deal, ph, shingles): the sets that meet, those of one deal together."""
-    keys = distinct.select(F.explode("at.bands").alias("key"), "ph")
-    stars = keys.repartition("key").sortWithinPartitions("key", "ph").mapInArrow(_stars, "a binary, b binary")
-    groups = materialize(connected_components(stars))
-    wanted = groups.join(distinct.select("ph", "at.doc_id", "at.h", "at.para"), F.col("node") == F.col("ph")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("para", "ph", "component")).alias("wanted"))
-    once = rows.join(wanted.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "wanted"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")))
-    once = once.groupBy("_i", "_h").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))  # repeated rows are one
-    sets = once.select("text", "wanted").mapInArrow(_take_sets, "component binary, ph binary, shingles binary")
-    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("n")))
-    large = sizes.where(F.col("n") > group_limit).select("component")
-    if large.isEmpty():
-        return _chunked(sets, "component", sizes.select("component", F.lit(1).alias("chunks")), b"g")
-    sets = materialize(sets)
-    small = _chunked(sets.join(large, "component", "left_anti"), "component", sizes.select("component", F.lit(1).alias("chunks")), b"g")
-    lists = materialize(keys.join(groups.join(large, "component").select(F.col("node").alias("ph")), "ph").select("key", "ph"))
-    lengths = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.ceil(F.col("n") / group_limit).cast("int").alias("chunks"))
-    return small.union(_chunked(lists.join(sets.select("ph", "shingles"), "ph").select("key", "ph", "shingles"), "key", lengths, b"k"))
+    """(deal, ph, words): the paragraphs that meet, those of one deal together: a group, or a pair of a large group's
+    list's chunks. A paragraph may come several times."""
+    keys = distinct.select("ph", F.col("at.bands").alias("bands"))
+    links = keys.mapInArrow(_deal_keys, DEALT_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long")
+    groups = materialize(connected_components(links))
+    large = materialize(groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("component"))
+    words = rows.select("text").mapInArrow(_take_words(_filter_of(groups)), "node long, ph binary, words binary")
+    deals = groups.join(large, "component", "left_anti").select("node", F.concat(F.lit("g"), "component").alias("deal"))
+    if not large.isEmpty():
+        members = materialize(groups.join(large, "component", "left_semi").select("node"))
+        lists = materialize(keys.mapInArrow(_listed(_filter_of(members)), "key long, node long").join(members, "node", "left_semi").distinct())
+        lengths = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.ceil(F.col("n") / group_limit).cast("int").alias("chunks"))
+        own = lists.join(lengths, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        deals = deals.union(other.select("node", F.concat_ws(":", F.lit("k"), "key", F.least("own", "other"), F.greatest("own", "other"))))
+    return words.join(deals, "node").select("deal", "ph", "words")
 
 
 def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, group_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -239,42 +436,54 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text and place, and whether this is another."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(min_words), "doc_id long, h long, para int, ph binary, bands array<long>"))
-    distinct = materialize(signed.where(F.col("bands").isNotNull()).groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para", "bands")).alias("at")))
+    columns = "doc_id long, h long, para int, ph binary, bands array<long>"
+    signed = materialize(rows.mapInArrow(_sign(min_words, banded=False), columns).drop("bands"))
+    distinct = rows.mapInArrow(_sign(min_words, every=False), columns).select("ph", F.struct("bands").alias("at"))  # once a task
     pairs = compared(rows, distinct, group_limit).repartition("deal").sortWithinPartitions("deal", "ph")
     links = connected_components(materialize(pairs.mapInArrow(_verify, "a binary, b binary")))
     # a class's first paragraph is found among the first ones of equal words, so the paragraphs themselves join once
     each = signed.groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para")).alias("first"), F.count("*").alias("n"))
-    each = materialize(each.join(links, F.col("ph") == F.col("node"), "left").select("ph", "first", "n", F.coalesce("component", "ph").alias("cls")))
+    each = each.join(links, F.col("ph") == F.col("node"), "left").where((F.col("n") > 1) | F.col("component").isNotNull())
+    each = materialize(each.select("ph", "first", "n", F.coalesce("component", "ph").alias("cls")))
     first = each.groupBy("cls").agg(F.min("first").alias("_first"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
     members = signed.join(each.select("ph", "cls").join(first, "cls").select("ph", "_first"), "ph")
     goes = ~F.struct("doc_id", "h", "para").eqNullSafe(F.col("_first"))
     return signed.select("doc_id", "h", "para"), members.select("doc_id", "h", "para", F.col("_first.doc_id").alias("class_doc"), F.col("_first.para").alias("class_para"), goes.alias("goes"))
 
 
+def _count(text_col: str, min_words: int = 1) -> Column:
+    """How many paragraphs a text has."""
+    white = "[ \\t\\r\\x0B\\f]"
+    some = f"(?:{white.replace('[', '[^')}+{white}+){{{min_words - 1}}}{white.replace('[', '[^')}"
+    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
+    return F.size(F.filter(lines, lambda x: x.rlike(some))).cast("long")
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """(doc_id, h, class_id, n_paragraphs, n_removed, removed, classes): a row's id, its text's hash and what goes."""
-    compared, members = paragraph_classes(docs, id_col, text_col, **options)
-    counts = compared.distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    _, members = paragraph_classes(docs, id_col, text_col, **options)
     found = members.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("para", "class_doc", "class_para"))).alias("classes"), F.sort_array(F.collect_list(F.when(F.col("goes"), F.col("para")))).alias("removed"), F.min("class_doc").alias("class_id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_i"), text_hash(text_col).alias("_h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_i"), text_hash(text_col).alias("_h"), _count(text_col, options.get("min_words", 1)).alias("n_paragraphs"))
     same = F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))
-    out = rows.join(counts, same, "left").select("_i", "_h", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs")).join(found, same, "left")
+    out = rows.join(found, same, "left")
     none = F.array().cast("array<int>")
     return out.select(F.col("_i").alias("doc_id"), F.col("_h").alias("h"), F.coalesce("class_id", "_i").alias("class_id"), "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("classes", F.array().cast("array<struct<para:int,class_doc:bigint,class_para:int>>")).alias("classes"))
 
 
 def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, class_id, n_paragraphs, n_removed, removed, classes) for each row of ``docs``.
+    """(doc_id, class_id, n_paragraphs, n_removed, removed, classes, n_shared) for each row of ``docs``.
 
     class_id is the smallest document that keeps a paragraph of the row's classes (its own id if none is shared).
     n_paragraphs counts the compared ones (of at least ``min_words`` words). removed has the line numbers that go;
-    classes has (para, class_doc, class_para) of every paragraph in a class of several, the kept one included. Null
-    and empty texts have no paragraphs. A row is known by its id and its text: rows repeated in both are one document
+    classes has (para, class_doc, class_para) of every paragraph in a class of several, the kept one included.
+    n_shared counts the row's taken 40-word strings that another document has: over 0 wherever a passage of over 50 words
+    repeats, inside lines too; those of a first document count as well. Null and empty texts have no paragraphs. A row is known by its id and its text: rows repeated in both are one document
     here, returned for each row, and agree; several texts of one id, or of none, are several documents. A null id ranks
     before all others. An empty table gives an empty result.
     """
-    return _judged(docs, id_col, text_col, **options).drop("h")
+    judged = _judged(docs, id_col, text_col, **options).withColumn("d", F.xxhash64("doc_id", "h").bitwiseAND(F.lit(-2)))
+    passages = materialize(shared_passages(docs, id_col, text_col))
+    return judged.join(passages, "d", "left").drop("h", "d").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)).cast("long"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
