@@ -41,7 +41,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, WHOLE = 12, 3, 3
 MEMO = 200_000
 GRAM, REACH = 40, 12  # a run of GRAM + REACH - 1 words holds a string that is taken
-BUCKETS, FLUSH, FILTER_BITS = 1024, 1_000_000, 1 << 27
+BUCKETS, FLUSH, FILTER_BITS = 1024, 250_000, 1 << 27
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -233,7 +233,7 @@ def _deal_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in sorted_groups(batches, "bucket"):
+    for table in sorted_groups(slices(batches), "bucket"):
         (a, b), done = met(table, 5, 6)
         _, _, x, y = stars(a, b)
         yield pa.RecordBatch.from_arrays([np.concatenate(z).view(np.int64) for z in zip((x, y), done, strict=True)], ["a", "b"])
@@ -335,7 +335,7 @@ def _deal_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in sorted_groups(batches, "bucket"):
+    for table in sorted_groups(slices(batches), "bucket"):
         (a, b), done = met(table, 7, 8)
         a, b, _, several = shared_by_several(a, b)
         fresh = several & (b & np.uint64(1) == 0)
