@@ -45,6 +45,9 @@ BUCKETS, FLUSH, FILTER_BITS = 1024, 250_000, 1 << 27
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
+LONG, BLOCK = 32, 1 << 17
+_TABLE = _rng.integers(0, 2**64, LONG << 8, np.uint64)
+_IN_WORD = ~np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _C = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WIDTH + 1)], np.uint64)
 
 
@@ -53,30 +56,35 @@ def fold(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes:
-    """XXH64 of words, remembered for the frequent ones."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> list[int]:
-        known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return out
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and where they start. Up to 32 bytes: the sum of a random number for each byte and its
+    place (tabulation; two words collide with probability 2^-64); longer ones: XXH64. Taken by blocks of the text."""
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(_IN_WORD[raw], prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK, "right")))
+        if hi == lo + 1 and end[lo] - start[lo] > LONG:
+            out[lo] = xxhash.xxh64_intdigest(text[start[lo] : end[lo]])
+        else:
+            base = start[lo]
+            a, b = start[lo:hi] - base, end[lo:hi] - base
+            place = np.arange(b[-1]) - np.repeat(a, np.diff(a, append=b[-1]))
+            sums = np.zeros(len(place) + 1, np.uint64)
+            np.cumsum(_TABLE[np.minimum(place, LONG - 1) << 8 | raw[base : base + b[-1]]], out=sums[1:])
+            out[lo:hi] = sums[b] - sums[a]
+            for k in (lo + np.flatnonzero(b - a > LONG)).tolist():
+                out[k] = xxhash.xxh64_intdigest(text[start[k] : end[k]])
+        lo = hi
+    return out, start
 
 
-def shingles(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of paragraphs, one after the other, and where each paragraph's start. A paragraph of fewer than
-    five words (at least one) has one shingle: all its words."""
-    flat = np.fromiter((h for w in words for h in hashes.of(w)), np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
+def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of paragraphs, given as words with a blank between, one after the other, and where each paragraph's
+    start. A paragraph of fewer than five words (at least one) has one shingle: all its words."""
+    flat, _ = word_hashes(b"\n".join(words))
+    size = np.fromiter((w.count(b" ") + 1 for w in words), np.int64, len(words))
     first = np.cumsum(size) - size
     count = np.maximum(size - WIDTH + 1, 1)
     start = np.cumsum(count) - count
@@ -113,37 +121,60 @@ def paragraphs(text: str) -> list[tuple[int, list[bytes]]]:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("para", pa.int32()), ("ph", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign(min_words: int, every: bool = True, banded: bool = True):
-    """Paragraphs with their band keys, those that the task has signed before without; only the fresh ones unless
-    ``every``."""
+def _sign(min_words: int, banded: bool = True):
+    """Paragraphs with their band keys, those that the task has signed before without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in slices(batches, 500):
             rows, fresh, words = [], [], []
             for i, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for line, w in paragraphs(text):
                     if len(w) >= min_words:
-                        ph = xxhash.xxh3_128_digest(b" ".join(w))
-                        new = banded and ph not in seen
-                        if new:
+                        one = b" ".join(w)
+                        ph = xxhash.xxh3_128_digest(one)
+                        if banded and ph not in seen:
                             seen.add(ph)
                             fresh.append(len(rows))
-                            words.append(w)
-                        if every or new:
-                            rows.append((i, h, line, ph))
+                            words.append(one)
+                        rows.append((i, h, line, ph))
             if len(seen) > MEMO:
                 seen.clear()
             if rows:
                 signed: list = [None] * len(rows)
                 if words:
-                    for at, x in zip(fresh, bands(*shingles(words, hashes)), strict=True):
+                    for at, x in zip(fresh, bands(*shingles(words)), strict=True):
                         signed[at] = x
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SIGNED.types, strict=False)), pa.array(signed, pa.list_(pa.int64()))], schema=SIGNED)
 
     return run
 
 
+def _fresh_keys(min_words: int):
+    """Band keys and the names of the paragraphs that have them, from (text): paragraphs once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen = set()
+        for batch in slices(batches, 250):
+            words, names = [], []
+            for text in batch.column(0).to_pylist():
+                for _, w in paragraphs(text):
+                    if len(w) >= min_words:
+                        one = b" ".join(w)
+                        ph = xxhash.xxh3_128_digest(one)
+                        if ph not in seen:
+                            seen.add(ph)
+                            words.append(one)
+                            names.append(int.from_bytes(ph[:6], "little"))
+            if len(seen) > MEMO:
+                seen.clear()
+            if words:
+                keys = bands(*shingles(words))
+                yield np.concatenate(keys).view(np.uint64), np.repeat(np.array(names, np.uint64), [len(x) for x in keys])
+
+    return run
+
+
 DEALT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("pairs", pa.binary())])
 DEALT_SQL = "bucket int, settled boolean, pairs binary"
 
@@ -218,9 +249,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield keys.flatten().to_numpy().view(np.uint64), np.repeat(_named(phs), keys.value_lengths().to_numpy())
 
 
-def _deal_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal_keys(batches: Iterator[pa.RecordBatch], read=_keys) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
-    for pair in _keys(batches):
+    for pair in read(batches):
         held.append(pair)
         n += len(pair[0])
         if n >= FLUSH:
@@ -239,12 +270,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([np.concatenate(z).view(np.int64) for z in zip((x, y), done, strict=True)], ["a", "b"])
 
 
-def _listed(shared):
+def _listed(shared, read=_keys):
     """(key, node): the band keys of paragraphs in a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        for keys, names in _keys(batches):
+        for keys, names in read(batches):
             at = names & np.uint64(FILTER_BITS - 1)
             some = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (keys, names)], ["key", "node"])
@@ -315,15 +346,18 @@ def shared_by_several(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _deal_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held, n = WordHashes(), [], 0
+    held, n = [], 0
 
     def flush() -> pa.RecordBatch:
         a, b, first, several = shared_by_several(*map(np.concatenate, zip(*held, strict=True)))
         return deal(a[first], b[first] | several[first].astype(np.uint64), (b[several], a[several]), 7, 8)
 
-    for batch in slices(batches):
-        for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            grams = taken(np.array(hashes.of(text.encode("utf-8", "replace").lower().split()), np.uint64))
+    for batch in slices(batches, 64):
+        ds, texts = batch.column(0).to_pylist(), [t.encode("utf-8", "replace").lower() for t in batch.column(1).to_pylist()]
+        hashes, start = word_hashes(b"\n".join(texts))
+        cut = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        for d, lo, hi in zip(ds, [0, *cut], cut, strict=False):
+            grams = taken(hashes[lo:hi])
             if len(grams):
                 held.append((grams, np.full(len(grams), d & ((1 << 64) - 2), np.uint64)))
                 n += len(grams)
@@ -384,14 +418,13 @@ def similar_forest(sets: list[np.ndarray], threshold: float = SIMILARITY) -> lis
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for table in sorted_groups(batches, "deal"):
         a, b, group, last = [], [], {}, None
 
         def link(group=group, a=a, b=b) -> None:
             if len(group) > 1:
                 phs = list(group)
-                values, start = shingles([w.split(b" ") for w in group.values()], hashes)
+                values, start = shingles(list(group.values()))
                 for i, j in similar_forest([np.unique(x) for x in np.split(values, start[1:])]):
                     a.append(phs[i]), b.append(phs[j])
             group.clear()
@@ -411,18 +444,22 @@ def _filter_of(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(bitmap(at, "at", FILTER_BITS) or bytes(FILTER_BITS // 8))
 
 
-def compared(rows: DataFrame, distinct: DataFrame, group_limit: int) -> DataFrame:
+def compared(rows: DataFrame, distinct: DataFrame | None, group_limit: int, min_words: int = 1) -> DataFrame:
     """(deal, ph, words): the paragraphs that meet, those of one deal together: a group, or a pair of a large group's
-    list's chunks. A paragraph may come several times."""
-    keys = distinct.select("ph", F.col("at.bands").alias("bands"))
-    links = keys.mapInArrow(_deal_keys, DEALT_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long")
+    list's chunks. A paragraph may come several times. The texts are signed by the worker that deals out their keys,
+    unless ``distinct`` has the paragraphs' keys."""
+    if distinct is None:
+        keys, read = rows.select("text"), _fresh_keys(min_words)
+    else:
+        keys, read = distinct.select("ph", F.col("at.bands").alias("bands")), _keys
+    links = keys.mapInArrow(lambda batches: _deal_keys(batches, read), DEALT_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long")
     groups = materialize(connected_components(links))
     large = materialize(groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("component"))
     words = rows.select("text").mapInArrow(_take_words(_filter_of(groups)), "node long, ph binary, words binary")
     deals = groups.join(large, "component", "left_anti").select("node", F.concat(F.lit("g"), "component").alias("deal"))
     if not large.isEmpty():
         members = materialize(groups.join(large, "component", "left_semi").select("node"))
-        lists = materialize(keys.mapInArrow(_listed(_filter_of(members)), "key long, node long").join(members, "node", "left_semi").distinct())
+        lists = materialize(keys.mapInArrow(_listed(_filter_of(members), read), "key long, node long").join(members, "node", "left_semi").distinct())
         lengths = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.ceil(F.col("n") / group_limit).cast("int").alias("chunks"))
         own = lists.join(lengths, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -438,8 +475,7 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     columns = "doc_id long, h long, para int, ph binary, bands array<long>"
     signed = materialize(rows.mapInArrow(_sign(min_words, banded=False), columns).drop("bands"))
-    distinct = rows.mapInArrow(_sign(min_words, every=False), columns).select("ph", F.struct("bands").alias("at"))  # once a task
-    pairs = compared(rows, distinct, group_limit).repartition("deal").sortWithinPartitions("deal", "ph")
+    pairs = compared(rows, None, group_limit, min_words).repartition("deal").sortWithinPartitions("deal", "ph")
     links = connected_components(materialize(pairs.mapInArrow(_verify, "a binary, b binary")))
     # a class's first paragraph is found among the first ones of equal words, so the paragraphs themselves join once
     each = signed.groupBy("ph").agg(F.min(F.struct("doc_id", "h", "para")).alias("first"), F.count("*").alias("n"))

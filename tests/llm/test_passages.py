@@ -69,3 +69,36 @@ def test_packed_pairs_meet(monkeypatch, flush):
     for a, b in zip(*(c.to_pylist() for c in links.columns), strict=True):
         top[find(name[a])] = find(name[b])
     assert len({find(i) for i in range(60)}) == 1 and links.num_rows <= 120
+
+
+def test_hashes_of_words():
+    """Words are those of split, equal ones alike and others apart, whatever stands around them, in blocks or not."""
+    draw = random.Random(8)
+    words = [bytes(draw.choice(b"ab\xc3\xa9\x00-") for _ in range(draw.choice((1, 2, 5, 31, 32, 33, 90)))) for _ in range(3000)] + [b"x" * 300_000, b"x" * 299_999]
+    draw.shuffle(words)
+    text = b" " + b"".join(w + draw.choice((b" ", b"\n", b" \t\r", b"\x0b\x0c")) for w in words + words[::-1])
+    hashes, start = paragraph_dedup.word_hashes(text)
+    split = text.split()
+    assert [text[s : s + len(w)] for s, w in zip(start.tolist(), split, strict=True)] == split
+    assert len(set(zip(split, hashes.tolist(), strict=True))) == len(set(split)) == len(set(hashes.tolist()))
+    assert [len(x) for x in paragraph_dedup.word_hashes(b" \n")] == [len(x) for x in paragraph_dedup.word_hashes(b"")] == [0, 0]
+
+
+def test_no_stage_has_two_python_workers(spark, monkeypatch):
+    """Each core holds one Python worker: a second one beside it took an executor over its memory."""
+    frame, plans = type(spark.range(1)), []
+    plain = frame.mapInArrow
+
+    def noted(self, *args, **options):
+        plans.append((out := plain(self, *args, **options))._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    lines = [" ".join(f"w{j}" for j in range(4 * k, 4 * k + 24)) for k in range(60)]  # a group over the limit, too
+    docs = spark.createDataFrame(list(enumerate([*lines, f"{lines[0]} more"])), "doc_id long, text string")
+    assert [r.doc_id for r in paragraph_dedup.near_paragraphs(docs, group_limit=10).where("n_removed > 0").collect()] == [60]
+    for plan in plans:
+        ops = [x.strip(" +-:") for x in plan.splitlines()]
+        maps = [x for x in ops if x.startswith(("MapInArrow", "Repartition", "Aggregate", "Join"))]
+        assert not any(a.startswith("MapInArrow") and b.startswith("MapInArrow") for a, b in zip(maps, maps[1:], strict=False)), plan
+    assert len(plans) >= 7
