@@ -31,11 +31,9 @@ from quillon.llm.common import materialize, slices
 
 #: Words of byte-level BPE, as published with the vocabulary; its white space is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: The same over ASCII alone, where the plain engine reads it in half the time.
-ASCII = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\x0b\x0c\r A-Za-z0-9]+|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+"
 #: A stretch of ASCII within other text, from one blank between two letters, where a word begins, to another.
 STRETCH = r"(?<=[A-Za-z]) [A-Za-z][\x00-\x7f]{60,}[A-Za-z](?= [A-Za-z])"
-_words, _ascii_words, _stretches = regex.compile(PATTERN).findall, re.compile(ASCII).findall, re.compile(STRETCH).finditer
+_words, _stretches = regex.compile(PATTERN).findall, re.compile(STRETCH).finditer
 MEMO = 400_000
 COUNTED = 500_000  # words that a task counts before it hands them on
 LONGEST = 64  # bytes of a word in the lexicon
@@ -50,6 +48,17 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _plain_words():
+    """``PATTERN`` for texts without characters above U+FFFF, where the plain engine reads them in under half the time;
+    its classes are those of ``regex``, written out."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    letter, number, white = ("".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(rf"{c}+", every)) for c in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+").findall
+
+
+_plain = _plain_words()
+
+
 class Model:
     """A byte-level BPE vocabulary: bytes of each id, rank and result of each merge, special strings."""
 
@@ -299,12 +308,12 @@ class Lexicon:
 
 def split_words(text: str) -> list[str]:
     """The words of ``PATTERN``, in order."""
-    if text.isascii():
-        return _ascii_words(text)
+    if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+        return _plain(text)
     out, at = [], 0
     for found in _stretches(text):
         out += _words(text[at : found.start()])
-        out += _ascii_words(found[0])
+        out += _plain(found[0])
         at = found.end()
     out += _words(text[at:])
     return out
@@ -316,7 +325,8 @@ class Encoder:
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(model.special, key=len, reverse=True)) + ")") if model.special else None
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.names: dict[str, str] = {}  # a word's ids, joined by commas
+        self.pieces: dict[str, bytes] = {}  # their bytes
 
     def parts(self, text: str) -> list[str]:
         """Words, with special strings as words of their own."""
@@ -326,24 +336,29 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Remember words: those of the automaton by its output, the others by merging."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        fresh = [w for w in words if w not in self.memo]
+        if len(self.names) > MEMO:
+            self.names.clear()
+            self.pieces.clear()
+        fresh = [w for w in words if w not in self.names]
         raw = [w.encode("utf-8", "replace") for w in fresh]
         found = self.lexicon.find(raw).tolist()
         unseen = iter(self.model.merge_many([b for b, number in zip(raw, found, strict=True) if number < 0]))
-        of, name, memo, special = self.model.bytes_at, self.model.name_at, self.memo, self.model.special
+        of, name, names, pieces = self.model.bytes_at, self.model.name_at, self.names, self.pieces
         hits = self.lexicon.many([number for number in found if number >= 0])
         for word, number in zip(fresh, found, strict=True):
             ids = next(hits if number >= 0 else unseen)
-            if word in special:
-                ids = [special[word]]
-            memo[word] = (name[ids[0]], of[ids[0]]) if len(ids) == 1 else (",".join([name[i] for i in ids]), b"".join([of[i] for i in ids]))
+            if len(ids) == 1:
+                names[word], pieces[word] = name[ids[0]], of[ids[0]]
+            else:
+                names[word], pieces[word] = ",".join([name[i] for i in ids]), b"".join([of[i] for i in ids])
+        for word, i in self.model.special.items():
+            if word in names:
+                names[word], pieces[word] = name[i], of[i]
 
     def encode(self, text: str) -> list[int]:
         words = self.parts(text)
         self.learn(set(words))
-        return [int(i) for w in words for i in self.memo[w][0].split(",")]
+        return [int(i) for w in words for i in self.names[w].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.model.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -354,11 +369,10 @@ class Encoder:
         for lo in range(0, len(texts), 512):
             parts = [self.parts(t) for t in texts[lo : lo + 512]]
             self.learn(set().union(*parts))
-            memo = self.memo
+            name, piece = self.names.__getitem__, self.pieces.__getitem__
             for words in parts:
-                pieces = [memo[w] for w in words]
-                ids = ",".join([p[0] for p in pieces])
-                decoded = b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
+                ids = ",".join(map(name, words))
+                decoded = b"".join(map(piece, words)).decode("utf-8", "replace")
                 out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return out
 

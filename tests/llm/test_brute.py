@@ -445,6 +445,23 @@ def test_words_by_either_engine(texts):
         assert bpe.split_words(t) == want(t)
 
 
+def test_plain_engine_reads_the_basic_plane(monkeypatch):
+    """Every character up to U+FFFF is split as by the vocabulary's expression, without the slower engine; those above
+    still are, too."""
+    import regex
+
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    draw = random.Random(11)
+    draw.shuffle(every)
+    texts = ["".join(c + draw.choice(("", "", " ", "  ", "e", "7", "'ll", " \n")) for c in every[lo : lo + 997]) for lo in range(0, len(every), 997)]
+    texts += ["\ud800 a\udfff", "naïve cafés don't  ", "中文 ٤٥½ x²  y"]
+    want = [regex.compile(bpe.PATTERN).findall(t) for t in texts]
+    high = ["\U0001f600 \U00020000a \U0001d7d8 1", "café " + "plain words " * 20 + "\U00010400b"]
+    assert [bpe.split_words(t) for t in high] == [regex.compile(bpe.PATTERN).findall(t) for t in high]
+    monkeypatch.setattr(bpe, "_words", None)
+    assert [bpe.split_words(t) for t in texts] == want
+
+
 def test_bpe_is_the_library(spark, sf_dir, texts, tmp_path):
     from tokenizers import Tokenizer
 
